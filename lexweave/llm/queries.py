@@ -1,8 +1,11 @@
 """The subpackage's queries and their SQL."""
 
-from lexweave.llm import exact_dedup, minhash_dedup
+from lexweave.llm import byte_bpe, decontaminate, exact_dedup, minhash_dedup, toxicity
 
 QUERIES = {
+    "op4_toxicity": toxicity.op4_toxicity,
+    "op7_byte_bpe": byte_bpe.op7_byte_bpe,
+    "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_minhash_dedup": minhash_dedup.op10_minhash_dedup,
 }

@@ -8,6 +8,7 @@ import uuid
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -119,3 +120,10 @@ def numbered(docs: DataFrame) -> DataFrame:
 def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """The rows of docs, as numbered() returns them, whose ROW is in kept; one shuffle of the texts."""
     return docs.join(kept.select(ROW), ROW, "left_semi").drop(ROW)
+
+
+def schema_with(df: DataFrame, added: dict[str, str]) -> StructType:
+    """The schema of df without columns of the added names, then these names with their types."""
+    new = StructType.fromDDL(", ".join(f"`{name}` {kind}" for name, kind in added.items()))
+    names = {name.lower() for name in added}
+    return StructType([f for f in df.schema.fields if f.name.lower() not in names] + new.fields)

@@ -44,8 +44,8 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def _hash(data: np.ndarray, bounds: np.ndarray, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of the texts data[bounds[i]:bounds[i + 1]], and where each text's words begin."""
+def _hash(data: np.ndarray, bounds: np.ndarray, separators: np.ndarray, heads: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all words of the texts data[bounds[i]:bounds[i + 1]], where each text's words begin, and the hashes of the words' heads."""
     _grow(len(data) + 1)
     low = _LOWERED.astype(np.uint8)[data]
     word = ~separators[low]
@@ -63,7 +63,12 @@ def _hash(data: np.ndarray, bounds: np.ndarray, separators: np.ndarray) -> tuple
         prefix = np.zeros(len(data) + 1, np.uint64)
         np.cumsum((low.astype(np.uint64) + np.uint64(1)) * _powers[: len(data)], out=prefix[1:])
         hashes = mix((prefix[ends] - prefix[starts]) * _inverses[starts])
-    return hashes, np.searchsorted(starts, bounds)
+        parts = np.zeros((len(heads), len(starts)), np.uint64)
+        for k, size in enumerate(heads):
+            whole = ends - starts > size
+            at = starts[whole]
+            parts[k, whole] = mix((prefix[at + size] - prefix[at]) * _inverses[at] + np.uint64(size))
+    return hashes, np.searchsorted(starts, bounds), parts
 
 
 def hashed(text: pa.Array, separators: np.ndarray = BLANKS) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -71,6 +76,12 @@ def hashed(text: pa.Array, separators: np.ndarray = BLANKS) -> Iterator[tuple[in
 
     Texts are lower-cased (A-Z only) first; null counts as empty.
     """
+    for at, hashes, bounds, _ in hashed_with_heads(text, separators, ()):
+        yield at, hashes, bounds
+
+
+def hashed_with_heads(text: pa.Array, separators: np.ndarray, heads: tuple[int, ...]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """As hashed, with a row of hashes for each of the heads: of a word's first so many bytes, 0 for words that aren't longer."""
     text = text.cast(pa.large_string()).fill_null("")
     if not len(text):
         return
@@ -82,10 +93,10 @@ def hashed(text: pa.Array, separators: np.ndarray = BLANKS) -> Iterator[tuple[in
         to = max(at + 1, int(np.searchsorted(ends, ends[at] + CHUNK, "right")) - 1)
         part = data[ends[at] : ends[to]]
         if len(part):
-            hashes, bounds = _hash(part, ends[at : to + 1] - ends[at], separators)
+            hashes, bounds, parts = _hash(part, ends[at : to + 1] - ends[at], separators, heads)
         else:
-            hashes, bounds = np.zeros(0, np.uint64), np.zeros(to - at + 1, np.int64)
-        yield at, hashes, bounds
+            hashes, bounds, parts = np.zeros(0, np.uint64), np.zeros(to - at + 1, np.int64), np.zeros((len(heads), 0), np.uint64)
+        yield at, hashes, bounds, parts
         at = to
 
 

@@ -9,10 +9,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm.shared import hot_join, lower_ascii, saved
+from lexweave.llm.shared import ROW, hot_join, keep_rows, lower_ascii, numbered, saved
 
 
 class DigestIndex:
@@ -48,6 +48,10 @@ class DigestIndex:
         self.spark.catalog.refreshTable(self.table)
 
 
+def _digest() -> Column:
+    return F.unhex(F.sha2(lower_ascii(F.col("text")).cast("binary"), 256))
+
+
 def deduplicate(docs: DataFrame, index: DigestIndex) -> DataFrame:
     """Compare docs (doc_id, text, ...) with the index and among themselves; append what is new.
 
@@ -61,12 +65,16 @@ def deduplicate(docs: DataFrame, index: DigestIndex) -> DataFrame:
     """
     own = {"digest", "keep_id", "keep_row", "group_size", "kept", "row_nr"}
     rest = [c for c in docs.columns if c.lower() not in own]
-    rows = docs.select(*(F.col(f"`{c}`") for c in rest), F.unhex(F.sha2(lower_ascii(F.col("text")).cast("binary"), 256)).alias("digest"), F.monotonically_increasing_id().alias("row_nr"))
+    rows = docs.select(*(F.col(f"`{c}`") for c in rest), _digest().alias("digest"), F.monotonically_increasing_id().alias("row_nr"))
     return _decide(saved(rows, "digests"), index)
 
 
-def _decide(rows: DataFrame, index: DigestIndex) -> DataFrame:
-    """rows (doc_id, digest, row_nr, ...) are a written table; see deduplicate."""
+def _add(rows: DataFrame, index: DigestIndex) -> tuple[DataFrame, int]:
+    """Append the digests of rows, a written table (doc_id, digest, row_nr, ...), that the index lacks.
+
+    Returns each digest of rows with its last row there and with what the index has of it, and the
+    number of rows.
+    """
     groups = saved(
         rows.groupBy("digest")
         .agg(F.max(F.struct("doc_id", "row_nr")).alias("last"), F.count("*").alias("group_size"))
@@ -75,9 +83,13 @@ def _decide(rows: DataFrame, index: DigestIndex) -> DataFrame:
     )
     index.append(groups.join(index.read().select("digest").hint("merge"), "digest", "left_anti"))
     known = index.read().select("digest", "keep_id", "keep_row", F.col("group_size").alias("size"))
-    # a text of an earlier batch has another row_nr or doc_id than this batch's last one, or is the same row again
-    mine = groups.select("digest", F.col("keep_id").alias("my_id"), F.col("keep_row").alias("my_row"), F.col("group_size").alias("weight")).join(known.hint("merge"), "digest")
-    total = rows.count()
+    mine = groups.select("digest", F.col("keep_id").alias("my_id"), F.col("keep_row").alias("my_row"), F.col("group_size").alias("weight"))
+    return mine.join(known.hint("merge"), "digest"), rows.count()
+
+
+def _decide(rows: DataFrame, index: DigestIndex) -> DataFrame:
+    """rows (doc_id, digest, row_nr, ...) are a written table; see deduplicate."""
+    mine, total = _add(rows, index)
     return hot_join(rows, mine, "digest", "weight", total).select(
         *(F.col(f"`{c}`") for c in rows.columns if c != "row_nr"),
         "keep_id",
@@ -86,10 +98,19 @@ def _decide(rows: DataFrame, index: DigestIndex) -> DataFrame:
     )
 
 
+def drop_exact_duplicates(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
+    """docs (doc_id, text, ...) without the rows that deduplicate drops; all columns stay as they are."""
+    docs = numbered(docs)
+    index = index or DigestIndex(docs.sparkSession, f"digest_index_{uuid.uuid4().hex}")
+    rows = saved(docs.select("doc_id", _digest().alias("digest"), F.col(ROW).alias("row_nr")), "digests")
+    groups, _ = _add(rows, index)
+    return keep_rows(docs, groups.filter("my_id <=> keep_id AND my_row = keep_row").select(F.col("keep_row").alias(ROW)))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the one that stays, the group's size and the text's digest."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    rows = saved(docs.select("doc_id", F.unhex(F.sha2(lower_ascii(F.col("text")).cast("binary"), 256)).alias("digest"), F.monotonically_increasing_id().alias("row_nr")), "digests")
+    rows = saved(docs.select("doc_id", _digest().alias("digest"), F.monotonically_increasing_id().alias("row_nr")), "digests")
     found = _decide(rows, DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}"))
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 

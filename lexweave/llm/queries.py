@@ -1,13 +1,17 @@
 """The subpackage's queries and their SQL."""
 
-from lexweave.llm import byte_bpe, decontaminate, exact_dedup, minhash_dedup, toxicity
+import corpus_pipeline
+from lexweave.llm import byte_bpe, decontaminate, exact_dedup, license_scan, minhash_dedup, toxicity, url_filter
 
 QUERIES = {
+    "op1_license_scan": license_scan.op1_license_scan,
+    "op3_url_filter": url_filter.op3_url_filter,
     "op4_toxicity": toxicity.op4_toxicity,
     "op7_byte_bpe": byte_bpe.op7_byte_bpe,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_minhash_dedup": minhash_dedup.op10_minhash_dedup,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL = {

@@ -1,10 +1,11 @@
 """The subpackage's queries and their SQL."""
 
 import corpus_pipeline
-from lexweave.llm import byte_bpe, decontaminate, exact_dedup, license_scan, minhash_dedup, toxicity, url_filter
+from lexweave.llm import byte_bpe, decontaminate, exact_dedup, license_scan, minhash_dedup, quality, toxicity, url_filter
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
+    "op2_quality": quality.op2_quality,
     "op3_url_filter": url_filter.op3_url_filter,
     "op4_toxicity": toxicity.op4_toxicity,
     "op7_byte_bpe": byte_bpe.op7_byte_bpe,

@@ -1,13 +1,14 @@
 """The subpackage's queries and their SQL."""
 
 import corpus_pipeline
-from lexweave.llm import byte_bpe, decontaminate, exact_dedup, kneser_ney, license_scan, minhash_dedup, quality, toxicity, url_filter
+from lexweave.llm import byte_bpe, decontaminate, exact_dedup, kneser_ney, license_scan, line_dedup, minhash_dedup, quality, toxicity, url_filter
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
     "op2_quality": quality.op2_quality,
     "op3_url_filter": url_filter.op3_url_filter,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_kneser_ney": kneser_ney.op6_kneser_ney,
     "op7_byte_bpe": byte_bpe.op7_byte_bpe,
     "op8_decontaminate": decontaminate.op8_decontaminate,
@@ -17,5 +18,6 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op5_line_dedup": line_dedup.ORACLE,
     "op9_exact_dedup": exact_dedup.ORACLE,
 }

@@ -1,0 +1,30 @@
+import re
+
+import pytest
+from compare import connection, rows
+
+import corpus_pipeline
+from lexweave.llm import queries
+
+
+def test_names():
+    assert {re.match(r"op\d+_|pipeline", name)[0] for name in queries.QUERIES} == {*(f"op{n}_" for n in range(1, 11)), "pipeline"}
+    assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_query(spark, data, name):
+    assert rows(queries.QUERIES[name](spark, data).toPandas()) == rows(connection(data).sql(queries.ORACLE_SQL[name]).df())
+
+
+def test_pipeline(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    last = docs
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, last, data)
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert out.columns == docs.columns
+        n = out.count()
+        assert 0.5 * last.count() < n <= last.count()
+        last = corpus_pipeline.saved(out, "test")
+    assert last.count() == last.select("doc_id").distinct().count()

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-DECISION = StructType.fromDDL(
+#: The canonical decision, as DDL.
+DECISION = (
     "id string, source string, source_id string, source_url string, document_type string, title string, case_number string, court string, "
     "decision_date timestamp_ntz, publication_date timestamp_ntz, gdpr_articles array<string>, bdsg_sections array<string>, keywords array<string>, "
     "full_text_original string, full_text_anonymized string, leitsatz string, tenor string, tatbestand string, entscheidungsgruende string, "
@@ -17,7 +18,8 @@ DECISION = StructType.fromDDL(
     "nachfolge_entscheidung_id string, created_at timestamp_ntz, updated_at timestamp_ntz, last_crawled_at timestamp_ntz"
 )
 
-EVENT = StructType.fromDDL(
+#: The nested event record, as DDL.
+EVENT = (
     "id string, timestamp timestamp, event_type string, priority string, category string, message string, component string, operation string, "
     "context map<string,string>, metadata map<string,string>, performance struct<duration_ms:double,memory_mb:double,cpu_percent:double>, "
     "business_impact struct<user_impact:string,revenue_impact:string,feature_affected:string>, error struct<type:string,message:string,stack_trace:string>, "
@@ -29,8 +31,9 @@ DOCUMENT_TYPES = ("court_decision", "authority_decision", "guideline", "opinion"
 QUALITY_RANGE = (1, 5)
 
 
-def conform(df: DataFrame, schema: StructType = DECISION) -> DataFrame:
+def conform(df: DataFrame, schema: str | StructType = DECISION) -> DataFrame:
     """df with exactly the schema's columns: missing ones null, present ones cast (null where that fails)."""
+    schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     have = set(df.columns)
     return df.select(*(F.col(f.name).try_cast(f.dataType).alias(f.name) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields))
 

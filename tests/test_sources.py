@@ -84,3 +84,24 @@ def test_streams(spark, tmp_path):
     assert sum(r.n for r in drained(jobs.hourly(stream), "complete")) == 30
     (last,) = drained(jobs.rolling_baselines(stream), "update")
     assert last.seen == 30
+
+
+def test_schema(spark):
+    from lexweave import schema
+
+    df = schema.conform(spark.createDataFrame([("1", "t", "x"), ("1", None, "3")], "id string, title string, quality_score string"))
+    assert df.columns[:3] == ["id", "source", "source_id"] and [r.quality_score for r in df.collect()] == [None, 3]
+    assert schema.duplicated_keys(df, "id").first().n == 2
+    assert sorted(r.broken for r in schema.violations(df).collect()) == [["source"], ["title", "source"]]
+
+
+def test_event_round_trip(spark, tmp_path):
+    from lexweave.schema import EVENT
+
+    row = spark.createDataFrame([], EVENT).schema
+    event = {"id": "1", "timestamp": datetime(2024, 1, 2), "component": "c", "category": "error", "performance": {"duration_ms": 5.0}, "error": {"type": "E"}, "triage": {"tags": ["a"], "requires_analysis": True, "priority_score": 90}}
+    events = spark.createDataFrame([event], row)
+    sinks.write_events(events, str(tmp_path / "log"))
+    flat = readers.flat_events(spark.read.schema(EVENT).json(str(tmp_path / "log"))).first()
+    assert (flat.id, flat.duration_ms, flat.error_type, flat.priority_score, flat.component) == ("1", 5.0, "E", 90, "c")
+    assert sinks.kept_events(events, datetime(2024, 1, 20)).count() == 1 and sinks.kept_events(events, datetime(2024, 3, 1)).count() == 0

@@ -101,3 +101,41 @@ def scan(docs: DataFrame) -> DataFrame:
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License notices in every document."""
     return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def _oracle() -> str:
+    notices = [(label, text, True) for text, label in PHRASES.items()] + [(label, text, False) for label, text in NOTICES]
+    values = ", ".join(f"({k}, '{label}', {str(base).lower()}, '{text}')" for k, (label, text, base) in enumerate(notices))
+    return rf"""
+WITH t AS (SELECT template, label, base, string_split(text, ' ') AS w FROM (VALUES {values}) x(template, label, base, text)),
+tg AS (SELECT template, label, base, len(w) - 1 AS grams, k, w[k + 1] AS a, w[k + 2] AS b FROM (SELECT *, unnest(range(len(w) - 1)) AS k FROM t)),
+d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
+  FROM documents
+),
+g AS (SELECT r, p, w[p + 1] AS a, w[p + 2] AS b FROM (SELECT r, w, unnest(range(greatest(len(w) - 1, 0))) AS p FROM d)),
+l AS (
+  SELECT r, template, label, base, grams, p - k AS diagonal, bit_or(1::BIGINT << k::INT) AS seen, min(p) AS b, max(p) AS e
+  FROM g JOIN tg USING (a, b) GROUP BY ALL
+),
+n AS (SELECT *, CASE WHEN base OR diagonal - lag(diagonal) OVER (PARTITION BY r, template ORDER BY diagonal) > {GAP} THEN 1 ELSE 0 END AS new FROM l),
+u AS (SELECT *, sum(new) OVER (PARTITION BY r, template ORDER BY diagonal) AS run FROM n),
+f AS (
+  SELECT r, template, label, base, min(diagonal) AS start,
+    CASE WHEN max(e) - min(b) + 1 <= grams + {LONGER} THEN bit_count(bit_or(seen)) ELSE max(bit_count(seen)) END::DOUBLE / grams AS cover
+  FROM u GROUP BY r, template, label, base, grams, run
+),
+h AS (
+  SELECT r, count(*) FILTER (base AND cover = 1) AS n_base, min(start) FILTER (base AND cover = 1) AS first_word, max(start) FILTER (base AND cover = 1) AS last_word,
+    array_to_string(list_sort(list(DISTINCT label) FILTER (base AND cover = 1)), ',') AS base_labels,
+    array_to_string(list_sort(list(DISTINCT label) FILTER (CASE WHEN base THEN cover = 1 ELSE cover >= {COVER} END)), ',') AS labels,
+    max(CASE WHEN base THEN (cover = 1)::INT ELSE cover END) AS score
+  FROM f GROUP BY r
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
+FROM d LEFT JOIN h USING (r)
+"""
+
+
+ORACLE = _oracle()

@@ -18,6 +18,8 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_license_scan": license_scan.ORACLE,
+    "op3_url_filter": url_filter.ORACLE,
     "op5_line_dedup": line_dedup.ORACLE,
     "op9_exact_dedup": exact_dedup.ORACLE,
 }

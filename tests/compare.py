@@ -17,7 +17,7 @@ def connection(folder: str) -> duckdb.DuckDBPyConnection:
 
 def rows(df: pd.DataFrame) -> list[tuple]:
     def plain(x):
-        if x is None or x is pd.NaT or x != x:
+        if x is None or x is pd.NaT or x is pd.NA or x != x:
             return None
         if isinstance(x, numbers.Real) and not isinstance(x, bool):
             return round(float(x), 5)

@@ -57,17 +57,17 @@ CONTEXT_TERMS = ["personenbezogen", "datenschutz", "dsgvo", "verarbeitung"]
 TENOR_TERMS = ["datenschutz", "dsgvo", "personenbezogen", "bußgeld"]
 
 #: Unicode case and classes, and \n as the only line end.
-_FLAGS = "(?iUd)"
+FLAGS = "(?iUd)"
 
 
-def found(text: Column, *patterns: str, flags: str = _FLAGS) -> Column:
+def found(text: Column, *patterns: str, flags: str = FLAGS) -> Column:
     """Whether any of the patterns matches."""
     return text.rlike(flags + "|".join(f"(?:{p})" for p in patterns))
 
 
 def _groups(text: Column, pattern: str, n: int) -> Column:
     """For each match an array of its groups."""
-    return F.arrays_zip(*(F.regexp_extract_all(text, F.lit(_FLAGS + pattern), F.lit(k + 1)).alias(f"g{k}") for k in range(n)))
+    return F.arrays_zip(*(F.regexp_extract_all(text, F.lit(FLAGS + pattern), F.lit(k + 1)).alias(f"g{k}") for k in range(n)))
 
 
 def article_name(article: Column, paragraph: Column, letter: Column) -> Column:
@@ -95,7 +95,7 @@ def bdsg_sections(text: Column) -> Column:
 def keywords(text: Column) -> Column:
     """The first match of each keyword pattern, in the patterns' order, distinct."""
     text = F.coalesce(text, F.lit(""))
-    hits = [F.regexp_extract(text, _FLAGS + p, 1) for p in KEYWORD_PATTERNS]
+    hits = [F.regexp_extract(text, FLAGS + p, 1) for p in KEYWORD_PATTERNS]
     return F.array_distinct(F.array_remove(F.array(*hits), ""))
 
 
@@ -126,7 +126,7 @@ class FilterConfig:
 
 def stage1_keywords(text: Column) -> Column:
     """Up to ten first matches, of up to 50 characters, in the patterns' order."""
-    hits = [F.substring(F.regexp_extract(text, f"{_FLAGS}({p})", 1), 1, 50) for _, patterns in STAGE1 for p in patterns]
+    hits = [F.substring(F.regexp_extract(text, f"{FLAGS}({p})", 1), 1, 50) for _, patterns in STAGE1 for p in patterns]
     return F.slice(F.array_distinct(F.array_remove(F.array(*hits), "")), 1, 10)
 
 

@@ -8,8 +8,8 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.functions import anonymise, legal, scalars
-from lexweave.operators import duplicates, event_stats, filters, stats
+from lexweave.functions import anonymise, derived, legal, scalars, sections, swiss
+from lexweave.operators import crawls, duplicates, event_stats, filters, stats
 from lexweave.plans.views import VIEWS_SQL, Views
 from lexweave.search import index
 
@@ -472,6 +472,85 @@ def page_urls(v):
     return v.table("pages").select("page_id", scalars.normal_url(F.col("url")).alias("url"), scalars.last_path_part(F.col("url")).alias("last"))
 
 
+@query(f"SELECT doc_id, {_weights_sql(swiss.RELEVANCE, "lower(text || ' ' || source || '    ')").replace("d'accès", "d''accès")} + CASE WHEN doc_id % 2 = 0 THEN 3 ELSE 0 END AS score FROM legal_docs")
+def swiss_scores(v):
+    none, court = F.lit(""), F.when(F.col("doc_id") % 2 == 0, "Bundesgericht").otherwise("Obergericht")
+    return v.legal_docs.select("doc_id", swiss.relevance(F.col("text"), F.col("source"), none, none, none, court).alias("score"))
+
+
+@query("""SELECT doc_id, CASE WHEN contains(left(text, 500), 'Bundesgericht') THEN 'Bundesgericht' WHEN doc_id % 2 = 0 THEN 'Kantonsgericht ' || lang ELSE 'Schweizer Gericht' END AS court FROM legal_docs""")
+def swiss_courts(v):
+    canton = F.when(F.col("doc_id") % 2 == 0, F.col("lang"))
+    return v.legal_docs.select("doc_id", swiss.court_of(F.lit(None).cast("string"), F.col("text"), canton).alias("court"))
+
+
+@query()
+def text_sections(v):
+    text = F.concat(F.lit("Leitsatz:\nEin Leitsatz über Einwilligung und Daten.\nTenor:\nDie Klage wird abgewiesen, Kosten trägt jeder.\nGründe:\n"), "text")
+    return v.legal_docs.select("doc_id", sections.sections(text).alias("s")).select("doc_id", "s.leitsatz", "s.tenor", F.length("s.entscheidungsgruende").alias("n"))
+
+
+@query(r"""SELECT doc_id, nullif(regexp_extract(left(text, 1000), '(\b\d{1,2}\.\s*\d{1,2}\.\s*\d{4}\b)', 1), '') AS date FROM legal_docs""")
+def head_dates(v):
+    return v.legal_docs.select("doc_id", sections.head_data(F.col("text")).alias("h")).select("doc_id", "h.date")
+
+
+@query("""SELECT id, CASE WHEN court IS NULL THEN '' ELSE court || ' ' END || 'Urteil (' || case_number || ')' || CASE WHEN decision_date IS NULL THEN '' ELSE ' vom ' || strftime(decision_date, '%Y-%m-%d') END AS title FROM decisions""")
+def generated_titles(v):
+    return v.decisions.select("id", derived.title(F.col("court"), F.lit("Urteil"), F.col("case_number"), F.date_format("decision_date", "yyyy-MM-dd")).alias("title"))
+
+
+@query("""WITH w AS (SELECT *, list_filter(string_split(title, ' '), lambda x: len(x) > 3 AND lower(x) NOT IN ('der', 'die', 'das', 'und', 'oder', 'vom', 'am', 'im'))[1:5] AS words,
+    CASE WHEN contains(court, 'BGH') THEN ['Bundesgerichtshof'] WHEN contains(court, 'OLG') THEN ['Oberlandesgericht'] WHEN contains(court, 'LG') THEN ['Landgericht'] WHEN contains(court, 'AG') THEN ['Amtsgericht'] ELSE [] END AS kind FROM decisions)
+  SELECT id, array_to_string(list_concat(words, kind, CASE WHEN len(gdpr_articles) > 0 THEN list_concat(['DSGVO'], list_transform(gdpr_articles[1:3], lambda a: 'Art. ' || a || ' DSGVO')) ELSE [] END)[1:10], '|') AS keywords FROM w""")
+def derived_keywords(v):
+    return v.decisions.select("id", F.array_join(derived.keywords(F.col("title"), F.col("court"), F.col("gdpr_articles")), "|").alias("keywords"))
+
+
+@query("SELECT id, md5(title || '_' || coalesce(strftime(decision_date, '%Y-%m-%d'), '')) AS fallback_id FROM decisions")
+def fallback_ids(v):
+    return v.decisions.select("id", derived.fallback_id(F.col("title"), F.date_format("decision_date", "yyyy-MM-dd")).alias("fallback_id"))
+
+
+@query("SELECT doc_id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN '{n}' END" for n, p in derived.RESIDUALS.items()) + "], lambda x: x IS NOT NULL), '|') AS left_over FROM documents")
+def residual_data(v):
+    return v.documents.select("doc_id", F.array_join(derived.residuals(F.col("text")), "|").alias("left_over"))
+
+
+@query("SELECT event_id, CASE WHEN duration_ms > 5000 THEN 'critical' WHEN duration_ms > 1000 THEN 'medium' ELSE 'info' END AS priority, CASE WHEN duration_ms > 1000 THEN 'performance_degradation' ELSE 'system_metric' END AS kind FROM event_log")
+def duration_priorities(v):
+    return v.events.select("event_id", derived.duration_priority(F.col("duration_ms")).alias("priority"), derived.duration_type(F.col("duration_ms")).alias("kind"))
+
+
+@query("""WITH s AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'pending_stage1' WHEN 1 THEN 'pending_stage2' ELSE 'approved' END AS status, priority_score AS c FROM event_log)
+  SELECT event_id, CASE WHEN status <> 'pending_stage2' THEN CASE status WHEN 'pending_stage1' THEN 'pending_stage2' ELSE status END WHEN c >= 80 THEN 'approved' WHEN c >= 50 THEN 'review_required' ELSE 'rejected' END AS status FROM s""")
+def staging_states(v):
+    status = F.when(F.col("event_id") % 3 == 0, "pending_stage1").when(F.col("event_id") % 3 == 1, "pending_stage2").otherwise("approved")
+    return v.events.select("event_id", F.when(status == "pending_stage1", derived.promoted(status)).otherwise(derived.decided(status, F.col("priority_score"))).alias("status"))
+
+
+# --- crawls
+
+
+@query("""WITH s AS (SELECT unnest(['source0', 'source1', 'source2', 'other']) AS source), n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY started_at DESC, id) AS k FROM crawl_logs),
+  l AS (SELECT s.source, status, coalesce(finished_at, started_at) AS last_run, total_fetched, total_processed, total_errors FROM s LEFT JOIN n ON s.source = n.source AND k = 1)
+  SELECT source, coalesce(status, 'never_run') AS status, last_run, date_trunc('day', last_run) + INTERVAL 2 HOUR + CASE WHEN date_trunc('day', last_run) + INTERVAL 2 HOUR <= TIMESTAMP '2001-08-01' THEN INTERVAL 1 DAY ELSE INTERVAL 0 DAY END AS next_run,
+    coalesce(total_fetched, 0) AS total_fetched, coalesce(total_processed, 0) AS total_processed, coalesce(total_errors, 0) AS total_errors FROM l""")
+def crawl_status(v):
+    return crawls.crawl_status(v.crawl_logs, ["source0", "source1", "source2", "other"], AS_OF)
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (status IN ('completed', 'success')) AS successful, round(100.0::DOUBLE * count(*) FILTER (status IN ('completed', 'success')) / count(*), 2) AS success_rate FROM crawl_logs")
+def crawl_success(v):
+    return crawls.success_rate(v.crawl_logs)
+
+
+@query("""SELECT id, date_diff('second', started_at, finished_at) AS seconds, round(total_fetched::DOUBLE / greatest(date_diff('second', started_at, finished_at), 1), 2) AS rate,
+  round(100.0::DOUBLE * (total_processed - total_errors) / greatest(total_processed, 1), 2) AS success FROM crawl_logs""")
+def crawl_progress(v):
+    return crawls.progress(v.crawl_logs)
+
+
 # --- search
 
 

@@ -86,6 +86,16 @@ class Views:
         )
         return self.table("documents").select("doc_id", "source", "lang", F.expr(lead).alias("text"))
 
+    @cached_property
+    def crawl_logs(self) -> DataFrame:
+        """A crawl for each order of 1999 or later."""
+        return self.table("orders").filter("o_orderdate >= TIMESTAMP_NTZ '1999-01-01 00:00:00'").selectExpr(
+            "o_orderkey AS id", "concat('source', o_custkey % 6) AS source", "o_orderdate AS started_at",
+            "if(o_orderkey % 5 = 0, null, o_orderdate + make_dt_interval(0, 0, cast(o_orderkey % 90 as int))) AS finished_at",
+            "CASE o_orderstatus WHEN 'F' THEN 'failed' WHEN 'O' THEN 'completed' ELSE 'running' END AS status",
+            "cast(o_orderkey % 500 as int) AS total_fetched", "cast(o_orderkey % 400 as int) AS total_processed", "cast(o_orderkey % 40 as int) AS total_errors",
+        )
+
     @cached_property
     def documents(self) -> DataFrame:
         return self.table("documents")
@@ -128,5 +138,10 @@ legal_docs AS (
     CASE WHEN doc_id % 3 = 0 THEN 'Art. ' || (doc_id % 20 + 1) || '-' || (doc_id % 20 + 4) || ' DSGVO. §§ ' || (doc_id % 10 + 1) || ' bis ' || (doc_id % 10 + 3) || ' BDSG. Bußgeld EUR 20.000. ' ELSE '' END ||
     CASE WHEN doc_id % 4 = 0 THEN 'Die Verarbeitung personenbezogener Daten. Article 17(1) GDPR. ' ELSE '' END || coalesce(text, '') AS text
   FROM documents
+),
+crawl_logs AS (
+  SELECT o_orderkey AS id, 'source' || (o_custkey % 6) AS source, o_orderdate AS started_at, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderdate + to_minutes(o_orderkey % 90) END AS finished_at,
+    CASE o_orderstatus WHEN 'F' THEN 'failed' WHEN 'O' THEN 'completed' ELSE 'running' END AS status, (o_orderkey % 500)::INT AS total_fetched, (o_orderkey % 400)::INT AS total_processed, (o_orderkey % 40)::INT AS total_errors
+  FROM orders WHERE o_orderdate >= TIMESTAMP '1999-01-01'
 )
 """

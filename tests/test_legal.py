@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lexweave.functions import anonymise, legal, scalars
+from lexweave.functions import anonymise, derived, legal, scalars, sections, swiss
 
 
 def one(spark, text, f):
@@ -73,3 +73,29 @@ def test_scalars(spark):
     assert one(spark, "Das Urteil ist rechtskräftig.", scalars.finality) == "rechtskraeftig"
     assert one(spark, " 12 ", lambda c: scalars.typed(F.trim(c))).int == 12
     assert one(spark, "n/a", scalars.typed) == (None, None, None, None)
+
+
+def test_sections(spark):
+    text = "Urteil\nLeitsatz:\nDie Einwilligung muss freiwillig sein.\n\n\n\nMehr.\nTenor:\nDie Klage wird abgewiesen; Kosten trägt sie.\nTatbestand\nkurz\nGründe:\nDie Klage ist nicht begründet, weil\n- 12 -\nnichts folgt."
+    got = one(spark, text, sections.sections)
+    assert got.leitsatz == "Die Einwilligung muss freiwillig sein.\n\nMehr." and got.tenor.startswith("Die Klage wird") and got.tatbestand is None
+    assert got.entscheidungsgruende == "Die Klage ist nicht begründet, weil\nnichts folgt."
+    assert one(spark, None, sections.sections) == (None,) * 4
+    head = one(spark, "OLG Hamm, 3 U 12/20, Urteil vom 15.03.2024", sections.head_data)
+    assert (head.docket, head.date, head.court) == ("3 U 12/20", "15.03.2024", "OLG Hamm")
+
+
+def test_swiss(spark):
+    assert one(spark, "Art. 8 DSG und Art. 6 DSGVO", swiss.references) == ["Art. 6 DSGVO", "DSG Art. 8"]
+    none = F.lit(None).cast("string")
+    assert one(spark, "Das Tribunal fédéral", lambda c: swiss.court_of(none, c, F.lit("ZH"))) == "Bundesgericht"
+    assert one(spark, "nichts", lambda c: swiss.court_of(none, c, F.lit("ZH"))) == "Kantonsgericht ZH"
+    assert one(spark, "Personendaten nach DSG", lambda c: swiss.relevance(c, none, none, none, F.lit("Datenschutzrecht"), F.lit("Bundesgericht"))) == 22
+
+
+def test_derived(spark):
+    assert one(spark, "/x/../y", derived.attack) == "path_traversal" and one(spark, "/ok", derived.attack) is None
+    assert one(spark, "13.07.2021", lambda c: derived.first_date(F.lit("x"), c)).year == 2021
+    assert one(spark, "", lambda c: derived.title(c, c, c, c)) == "Unbenannte Entscheidung"
+    assert one(spark, "Nach der DSGVO", lambda c: derived.relevant(F.array().cast("array<string>"), c))
+    assert one(spark, "pending_stage1", lambda c: derived.decided(c, F.lit(90))) == "pending_stage1"

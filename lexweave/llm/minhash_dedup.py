@@ -1,17 +1,18 @@
 """Near-duplicate documents by a multi-index Hamming join of b-bit MinHash signatures.
 
-A document's set of word shingles gives a signature of SYMBOLS b-bit minima. The signature is cut
-into CHUNKS pieces. If two signatures differ in at most DISTANCE symbols, then by pigeonhole some
-piece differs in at most ERRORS = 1 symbols, since CHUNKS * (ERRORS + 1) > DISTANCE. So each piece is
-entered once for every symbol left out, and signatures within the distance share an entry for sure.
-At a similarity of 0.8, a symbol differs with a chance of 0.2, and more than 25 of 64 do with about
-2e-4; candidates are then confirmed on the full shingle sets.
+A document's set of word shingles gives a signature of 65 minima of 12 bits, cut into 13 pieces of 5.
+If two signatures differ in at most 25 symbols, then by pigeonhole some piece differs in at most one,
+since 13 * (1 + 1) > 25. So each piece is entered once for every symbol left out, and signatures
+within the distance share an entry for sure. At a similarity of 0.8, a symbol differs with a chance
+of 0.2, and more than 25 of 65 do with about 2e-4. Candidates are confirmed on the full shingle sets.
 
 Texts with equal sets form one class, and all joins run on classes. Entries are resolved in two
-passes that never list all pairs of a large bucket: first each class meets the smallest class of its
-buckets; what is linked is contracted; then only rows outside a bucket's largest component meet the
-rows of other components there. A bucket of mutual copies thus costs its length, and no link between
-components is lost, for every pair of rows of different components is still met.
+passes that never list all pairs of a large bucket: first each class meets the smallest and the
+largest leader of its buckets, and in a few turns members of its buckets' largest groups; what is
+linked is contracted; then only rows outside a bucket's largest group meet the rows of other groups. A bucket of mutual copies thus costs its
+length, and no link between components is lost, for every pair of rows of different components is
+still met: in the first entry that the two share, where a longer sketch (1,024 minima of one bit)
+must also agree as far as a similarity of 0.8 makes it (all but about 1e-4 do).
 """
 
 from __future__ import annotations
@@ -26,14 +27,27 @@ from pyspark.sql import functions as F
 from lexweave.llm.shared import ROW, components, hot_join, keep_rows, numbered, saved
 from lexweave.llm.words import hashed, mix, pair
 
-SYMBOLS, CHUNKS, ERRORS, DISTANCE, BITS = 64, 13, 1, 25, 16
+PIECES, PLACES, BITS, DISTANCE = 13, 5, 12, 25
+SYMBOLS = PIECES * PLACES
+SKETCH_BITS, SKETCH_DISTANCE = 1024, 138
 SIMILARITY = 80  # per cent
 #: So many class numbers (16 MB) may be broadcast; more take a shuffle join.
 MOST_BROADCAST = 1_000_000
+#: Turns in which rows meet members of their buckets' largest groups before the rest is met.
+ROUNDS = 4
 
-_PIECES = np.array_split(np.arange(SYMBOLS), CHUNKS)
-_SEEDS = mix(np.arange(1, 2 * SYMBOLS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_XOR, _TIMES = _SEEDS[:SYMBOLS], _SEEDS[SYMBOLS:] | np.uint64(1)
+#: A bit for each symbol of a piece, in which all its bits are gathered.
+_FOLDED = sum(1 << (BITS * k) for k in range(PLACES))
+_WORDS = [f"w{k}" for k in range(PIECES + SKETCH_BITS // 64)]
+
+
+def _seeds(n: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
+    seeds = mix(np.arange(1, 2 * n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(salt))
+    return seeds[:n], seeds[n:] | np.uint64(1)
+
+
+_XOR, _TIMES = _seeds(SYMBOLS, 1)
+_SKETCH_XOR, _SKETCH_TIMES = _seeds(SKETCH_BITS, 2)
 
 
 def shingle_hashes(words: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -65,12 +79,13 @@ def _signed(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
                 n[i] = len(own)
                 with np.errstate(over="ignore"):
                     cls[i] = mix(np.array([mix(own).sum(dtype=np.uint64) ^ np.uint64(len(own))]))[0].view(np.int64)
-            sig = np.zeros((m, SYMBOLS), np.uint16)
+            sig = np.zeros((m, PIECES), np.uint64)
             if len(full):
                 for k in range(SYMBOLS):
                     with np.errstate(over="ignore"):
                         values = (shingles ^ _XOR[k]) * _TIMES[k]
-                    sig[full, k] = mix(np.minimum.reduceat(values, cuts[full])) & np.uint64((1 << BITS) - 1)
+                    symbol = mix(np.minimum.reduceat(values, cuts[full])) & np.uint64((1 << BITS) - 1)
+                    sig[full, k // PLACES] |= symbol << np.uint64(BITS * (k % PLACES))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(ROW)[at : at + m],
@@ -84,31 +99,59 @@ def _signed(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(cls, n, sig) -> (key, cls, n), a row for each piece and symbol left out."""
+    """(cls, n, sig) -> (key, at, cls, n), a row for each piece and symbol left out; at is the symbol."""
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16).reshape(-1, SYMBOLS).astype(np.uint64)
-        keys = np.empty((len(sig), SYMBOLS), np.uint64)
-        for piece in _PIECES:
-            for out in piece:
-                acc = np.full(len(sig), int(out) + 1, np.uint64)
-                for k in piece:
-                    if k != out:
-                        acc = pair(acc, sig[:, k])
-                keys[:, out] = acc
-        for c in range(0, len(sig), 1000):
-            part = slice(c, c + 1000)
+        for c in range(0, batch.num_rows, 1000):
+            part = batch.slice(c, 1000)
+            sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint64).reshape(-1, PIECES)
+            keys = np.empty((len(sig), SYMBOLS), np.uint64)
+            for k in range(SYMBOLS):
+                left = ~np.uint64(((1 << BITS) - 1) << (BITS * (k % PLACES)))
+                keys[:, k] = mix((sig[:, k // PLACES] & left) ^ (np.uint64(k + 1) << np.uint64(60)) ^ mix(np.array([k + 1], np.uint64)))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(keys[part].ravel().view(np.int64)),
-                    pa.array(np.repeat(batch.column("cls").to_numpy()[part], SYMBOLS)),
-                    pa.array(np.repeat(batch.column("n").to_numpy()[part], SYMBOLS)),
+                    pa.array(keys.ravel().view(np.int64)),
+                    pa.array(np.tile(np.arange(SYMBOLS, dtype=np.int32), len(sig))),
+                    pa.array(np.repeat(part.column("cls").to_numpy(), SYMBOLS)),
+                    pa.array(np.repeat(part.column("n").to_numpy(), SYMBOLS)),
                 ],
-                ["key", "cls", "n"],
+                ["key", "at", "cls", "n"],
             )
 
 
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cls, sig, own) -> (cls, w0, w1, ...): the signature's pieces and the sketch, 64 bits a column."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = np.empty((batch.num_rows, len(_WORDS)), np.uint64)
+        for i, (sig, own) in enumerate(zip(batch.column("sig"), batch.column("own"), strict=True)):
+            own = np.frombuffer(own.as_buffer(), np.uint64)
+            low = np.full(SKETCH_BITS, ~np.uint64(0))
+            for c in range(0, len(own), 512):
+                with np.errstate(over="ignore"):
+                    low = np.minimum(low, ((own[c : c + 512, None] ^ _SKETCH_XOR) * _SKETCH_TIMES).min(0))
+            rows[i] = np.concatenate([np.frombuffer(sig.as_buffer(), np.uint64), np.packbits((mix(low) & np.uint64(1)).astype(np.uint8)).view(np.uint64)])
+        yield pa.RecordBatch.from_arrays([batch.column("cls"), *(pa.array(rows[:, k].copy().view(np.int64)) for k in range(len(_WORDS)))], ["cls", *_WORDS])
+
+
+def _first_met() -> str:
+    """SQL for rows l and r of one entry: sketch and signature are near, and this is the first entry that they share.
+
+    The sketch comes first, as it is cheap and few pairs pass it. In a piece without a difference, all
+    entries are shared, and the first one counts.
+    """
+    sketch = " + ".join(f"bit_count(l.w{k} ^ r.w{k})" for k in range(PIECES, len(_WORDS)))
+    fold = "x -> x | shiftrightunsigned(x, 6)", "x -> x | shiftrightunsigned(x, 3)", f"x -> bit_count((x | shiftrightunsigned(x, 1) | shiftrightunsigned(x, 2)) & {_FOLDED}L)"
+    differ = "zip_with(l.pieces, r.pieces, (x, y) -> x ^ y)"
+    for step in fold:
+        differ = f"transform({differ}, {step})"
+    piece = f"cast(floor(l.at / {PLACES}) as int)"
+    met = f"forall(transform({differ}, (d, i) -> struct(d as d, i as i)), s -> s.i > {piece} OR (s.i < {piece} AND s.d > 1) OR (s.i = {piece} AND (s.d = 1 OR l.at % {PLACES} = 0)))"
+    near = f"aggregate({differ}, 0, (a, d) -> a + d) <= {DISTANCE}"
+    return f"{sketch} <= {SKETCH_DISTANCE} AND {met} AND {near}"
+
+
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """(ROW, text) -> (ROW, own) with the sorted shingle hashes."""
     for batch in batches:
@@ -129,22 +172,28 @@ def _confirmed(batches: Iterator[pa.RecordBatch], similarity: int) -> Iterator[p
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
-def _links(docs: DataFrame, pairs: DataFrame, classes: DataFrame, width: int, similarity: int) -> DataFrame:
+def _links(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     """The pairs (a, b) of classes that hold on full sets, as a written table."""
-    spark = docs.sparkSession
-    pairs = saved(pairs, "near-pairs")
-    needed = saved(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.select("cls", ROW), "cls"), "near-needed")
-    size = needed.count()
-    if not size:
-        return spark.createDataFrame([], "a bigint, b bigint")
-    small = (lambda x: F.broadcast(x)) if size <= MOST_BROADCAST else (lambda x: x)
-    texts = docs.select(ROW, "text").join(small(needed), ROW).select(ROW, "text")
-    sets = texts.mapInArrow(lambda it: _sets(it, width), f"{ROW} bigint, own binary")
-    sets = saved(sets.join(small(needed), ROW).select("cls", "own"), "near-sets")
     wide = pairs.join(sets.select(F.col("cls").alias("b"), F.col("own").alias("own_b")), "b").join(sets.select(F.col("cls").alias("a"), F.col("own").alias("own_a")), "a")
     return saved(wide.mapInArrow(lambda it: _confirmed(it, similarity), "a bigint, b bigint"), "near-links")
 
 
+def _pointers(links: DataFrame) -> DataFrame:
+    """(cls, component): the smallest class that two steps along links to smaller ones reach; enough to contract by."""
+    up = links.select(F.greatest("a", "b").alias("cls"), F.least("a", "b").alias("to")).groupBy("cls").agg(F.min("to").alias("to"))
+    far = up.select(F.col("cls").alias("to"), F.col("to").alias("next"))
+    two = up.join(far, "to", "left").select("cls", F.coalesce("next", "to").alias("to"))
+    return two.join(far, "to", "left").select("cls", F.coalesce("next", "to").alias("component"))
+
+
+def _full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(cls, own) for the classes wanted (ROW, cls), from the text of the row ROW; a written table."""
+    small = F.broadcast if wanted.count() <= MOST_BROADCAST else (lambda x: x)
+    texts = docs.select(ROW, "text").join(small(wanted.select(ROW)), ROW)
+    sets = texts.mapInArrow(lambda it: _sets(it, width), f"{ROW} bigint, own binary")
+    return saved(sets.join(small(wanted), ROW).select("cls", "own"), "near-sets")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, similarity: int = SIMILARITY) -> DataFrame:
     """For each row of docs (doc_id, text): ROW, doc_id, n_shingles, component_id, kept.
 
@@ -168,24 +217,35 @@ def _near(docs: DataFrame, width: int, similarity: int) -> DataFrame:
     sized = rows.filter("n > 0").groupBy("cls", "n").agg(F.min("doc_id").alias("rep"), F.min(ROW).alias(ROW), F.count("*").alias("copies"))
     sized = saved(sized, "near-classes")
     classes = rows.select(ROW, "sig").join(sized.select(ROW, "cls", "n"), ROW)
-    entries = classes.select("cls", "n", "sig").mapInArrow(_entries, "key bigint, cls bigint, n int")
+    entries = classes.select("cls", "n", "sig").mapInArrow(_entries, "key bigint, at int, cls bigint, n int")
     shared = entries.groupBy("key").agg(F.count("*").alias("c"), F.min("cls").alias("first")).filter("c > 1")
     hits = saved(entries.join(shared.select("key", "first"), "key"), "near-hits")
+    sets = _full_sets(docs, saved(sized.select(ROW, "cls").join(hits.select("cls").distinct(), "cls"), "near-wanted"), width)
 
-    fits = "100 * least(l.n, r.n) >= {} * greatest(l.n, r.n)".format(similarity)
     stars = hits.filter("cls <> first").groupBy("cls").agg(F.min("first").alias("lo"), F.max("first").alias("hi"))
     stars = stars.select(F.col("cls").alias("b"), F.explode(F.array_distinct(F.array("lo", "hi"))).alias("a")).select("a", "b")
-    links = _links(docs, stars, sized, width, similarity)
-
-    grouped = components(links, "near-stars")
-    hits = hits.select("key", "cls", "n").join(grouped.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", "n", F.coalesce("component", "cls").alias("comp"))
-    parts = hits.groupBy("key", "comp").agg(F.count("*").alias("c"))
-    mixed = parts.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("main"), F.count("*").alias("k")).filter("k > 1").select("key", F.col("main.comp").alias("main"))
-    hits = saved(hits.join(mixed, "key"), "near-mixed")
-    left, right = hits.filter("comp <> main").alias("l"), hits.alias("r")
-    cross = left.join(right, F.expr(f"l.key = r.key AND l.comp <> r.comp AND (r.comp = r.main OR l.cls < r.cls) AND {fits}"))
-    cross = cross.select(F.expr("least(l.cls, r.cls)").alias("a"), F.expr("greatest(l.cls, r.cls)").alias("b")).distinct()
-    more = _links(docs, cross, sized, width, similarity)
+    links = _links(stars, sets, similarity)
+
+    # contract what is linked; rows outside a bucket's largest group then meet a few members of it, in turn
+    hits = hits.drop("first")
+    for turn in range(ROUNDS):
+        parts = hits.join(_pointers(links), "cls", "left").withColumn("comp", F.coalesce("component", "cls")).drop("component")
+        sums = parts.groupBy("key", "comp").agg(F.count("*").alias("c"), F.min(F.xxhash64("cls", F.lit(turn))).alias("h"))
+        main = sums.groupBy("key").agg(F.max(F.struct("c", "comp", "h")).alias("main"), F.count("*").alias("k")).filter("k > 1").select("key", F.col("main.comp").alias("main"), F.col("main.h").alias("h"))
+        mixed = saved(parts.join(main, "key"), "near-mixed")
+        if turn == ROUNDS - 1:
+            break
+        heads = mixed.filter(F.xxhash64("cls", F.lit(turn)) == F.col("h")).filter("comp = main").select("key", F.col("cls").alias("a"))
+        met = mixed.filter("comp <> main").join(heads, "key").groupBy("cls").agg(F.min("a").alias("lo"), F.max("a").alias("hi"))
+        met = met.select(F.col("cls").alias("b"), F.explode(F.array_distinct(F.array("lo", "hi"))).alias("a")).select("a", "b")
+        links = saved(links.unionByName(_links(met, sets, similarity)), "near-links")
+    hits = mixed.drop("h")
+    left = hits.select("cls").distinct().join(sized.select(ROW, "cls"), "cls")
+    sketches = saved(rows.select(ROW, "sig").join(left, ROW).join(sets, "cls").select("cls", "sig", "own").mapInArrow(_sketched, "cls bigint, " + ", ".join(f"{w} bigint" for w in _WORDS)), "near-sketches")
+    hits = hits.join(sketches, "cls").withColumn("pieces", F.array(*_WORDS[:PIECES])).drop(*_WORDS[:PIECES])
+    fits = f"100 * least(l.n, r.n) >= {similarity} * greatest(l.n, r.n)"
+    cross = hits.filter("comp <> main").alias("l").join(hits.alias("r"), F.expr(f"l.key = r.key AND l.comp <> r.comp AND (r.comp = r.main OR l.cls < r.cls) AND {fits} AND {_first_met()}"))
+    more = _links(cross.select(F.expr("least(l.cls, r.cls)").alias("a"), F.expr("greatest(l.cls, r.cls)").alias("b")), sets, similarity)
 
     whole = components(links.unionByName(more), "near-components")
     named = sized.join(whole.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "rep", ROW, "copies", F.coalesce("component", "cls").alias("component"))

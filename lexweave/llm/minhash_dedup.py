@@ -179,7 +179,7 @@ def _links(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
 
 
 def _pointers(links: DataFrame) -> DataFrame:
-    """(cls, component): the smallest class that two steps along links to smaller ones reach; enough to contract by."""
+    """(cls, component): the class that three steps along links to the smallest neighbour reach; enough to contract by in turns."""
     up = links.select(F.greatest("a", "b").alias("cls"), F.least("a", "b").alias("to")).groupBy("cls").agg(F.min("to").alias("to"))
     far = up.select(F.col("cls").alias("to"), F.col("to").alias("next"))
     two = up.join(far, "to", "left").select("cls", F.coalesce("next", "to").alias("to"))
@@ -229,7 +229,8 @@ def _near(docs: DataFrame, width: int, similarity: int) -> DataFrame:
     # contract what is linked; rows outside a bucket's largest group then meet a few members of it, in turn
     hits = hits.drop("first")
     for turn in range(ROUNDS):
-        parts = hits.join(_pointers(links), "cls", "left").withColumn("comp", F.coalesce("component", "cls")).drop("component")
+        groups = _pointers(links) if turn < ROUNDS - 1 else components(links, "near-groups").withColumnRenamed("node", "cls")
+        parts = hits.join(groups, "cls", "left").withColumn("comp", F.coalesce("component", "cls")).drop("component")
         sums = parts.groupBy("key", "comp").agg(F.count("*").alias("c"), F.min(F.xxhash64("cls", F.lit(turn))).alias("h"))
         main = sums.groupBy("key").agg(F.max(F.struct("c", "comp", "h")).alias("main"), F.count("*").alias("k")).filter("k > 1").select("key", F.col("main.comp").alias("main"), F.col("main.h").alias("h"))
         mixed = saved(parts.join(main, "key"), "near-mixed")

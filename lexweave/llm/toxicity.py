@@ -27,8 +27,9 @@ from lexweave.llm.words import NOT_ALNUM, hashed_with_heads
 MOST_TRAINED = 20_000
 #: Tokens with a score of their own, at most: the most significant ones.
 MOST_WORDS = 50_000
-#: Least |z| of a token's log-odds, and the prior's weight as a share of all counts.
-LEAST_Z, PRIOR_SHARE = 5.0, 0.05
+#: Least |z| of a token's log-odds, and the prior's weight as a share of all counts. At 2, a token of four
+#: toxic texts and no clean one counts; at 1, chance tokens of single texts hide the real ones.
+LEAST_Z, PRIOR_SHARE = 2.0, 0.05
 #: Bytes of the heads of longer words that count as tokens besides the words.
 HEADS = (4, 5, 6, 7, 8)
 #: A text counts as toxic from this score on; a passage as significant up to this p-value.

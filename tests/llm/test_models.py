@@ -72,6 +72,25 @@ def test_toxicity(spark, table, made):
     assert toxicity.drop_toxic(table(EDGE), labels.limit(0)).count() == 4
 
 
+def test_toxicity_few_labels(spark):
+    """About 40 toxic texts to learn from, as on the small tables: held-out ones are rejected all the same."""
+    rnd = random.Random(11)
+    docs, labels = [], []
+    for i in range(420):
+        text = [f"wort{rnd.randrange(300)}" for _ in range(rnd.randrange(20, 80))]
+        toxic = i % 8 == 0
+        if toxic:
+            text.insert(rnd.randrange(len(text)), rnd.choice(["trash", "idiot", "vermin"]))
+        docs.append((i, " ".join(text)))
+        labels.append((i, int(toxic)))
+    docs, frame = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    got = {r.doc_id: r.predicted for r in toxicity.score(docs, toxicity.fit(docs, frame)).collect()}
+    held = [(got[i], t) for i, t in labels if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert 35 <= sum(t for i, t in labels) - sum(t for _, t in held) <= 45
+    assert np.mean([p for p, t in held if t]) > 0.8 and np.mean([p for p, t in held if not t]) < 0.1
+    assert toxicity.drop_toxic(docs, frame).count() == sum(p == 0 for p in got.values()) < len(labels)
+
+
 def test_quality(spark, table, made):
     docs, labels, truth = made
     model = quality.fit(docs, labels)

@@ -2,8 +2,13 @@
 
 Fixed masks pick some positions of a window of words and ignore the others, so a window still
 matches where ignored words were replaced. The hashes of all windows of the test items are joined
-with those of all windows of the documents; each hit puts an item at an offset of a document, and the
-item is then compared word by word at that offset.
+with those of all windows of the documents; each hit puts an item at an offset of a document. Offsets
+with enough hits are compared word by word.
+
+The masks are all of three words within five places. Let m of an item's n words stand in place. The
+m - 2 runs of three such words next to each other span 2 (n - 2) places at most, taken together, and
+two at least each; so at least m - 2 - 2 (n - m) / 3 of them lie within five places, which is more than
+0 from SHARE and LEAST on. Each is a hit of one mask, whichever words were replaced.
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ from lexweave.llm.shared import ROW, numbered, saved
 from lexweave.llm.words import NOT_ALNUM, hashed, mix
 
 #: Positions that count (1) and that are ignored (0).
-MASKS = ("11111111", "1110010111", "1101100111", "1011011011")
+MASKS = ("111", "1101", "1011", "11001", "10101", "10011")
 #: An item is found where this share of its words, and at least LEAST of them, stand in place.
 SHARE, LEAST = 0.5, 8
 #: Items with fewer words are too short to tell and are never reported.
@@ -76,7 +81,7 @@ def _items(batches: Iterator[pa.RecordBatch], masks: tuple[str, ...]) -> Iterato
 
 
 def _documents(batches: Iterator[pa.RecordBatch], masks: tuple[str, ...], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(ROW, text) -> (ROW, words, hits) of texts with a window that the filter lets through."""
+    """(ROW, text) -> (ROW, hits) of texts with a window that the filter lets through."""
     for batch in batches:
         for at, words, bounds in hashed(batch.column("text"), NOT_ALNUM):
             found_at, found = [], []
@@ -95,16 +100,19 @@ def _documents(batches: Iterator[pa.RecordBatch], masks: tuple[str, ...], bits:
             first = np.append(first, len(text))
             hits = pa.StructArray.from_arrays([pa.array((starts - bounds[text]).astype(np.int32)), pa.array(hashes.view(np.int64))], ["pos", "hash"])
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(ROW).take(pa.array(at + docs)),
-                    batch.column("doc_id").take(pa.array(at + docs)),
-                    pa.array([words[bounds[i] : bounds[i + 1]].view(np.int64) for i in docs], pa.list_(pa.int64())),
-                    pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), hits),
-                ],
-                [ROW, "doc_id", "doc_words", "hits"],
+                [batch.column(ROW).take(pa.array(at + docs)), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), hits)],
+                [ROW, "hits"],
             )
 
 
+def _doc_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(ROW, doc_id, text) -> (ROW, doc_id, doc_words)"""
+    for batch in batches:
+        for at, words, bounds in hashed(batch.column("text"), NOT_ALNUM):
+            own = pa.LargeListArray.from_arrays(pa.array(bounds.astype(np.int64)), pa.array(words.view(np.int64))).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(ROW).slice(at, len(own)), batch.column("doc_id").slice(at, len(own)), own], [ROW, "doc_id", "doc_words"])
+
+
 def find_passages(docs: DataFrame, items: DataFrame, masks: tuple[str, ...] = MASKS, share: float = SHARE, least: int = LEAST) -> DataFrame:
     """Items (item_id, text) that stand in docs (doc_id, text): ROW, doc_id, item_id, n_words, matched, first_word, share.
 
@@ -113,7 +121,9 @@ def find_passages(docs: DataFrame, items: DataFrame, masks: tuple[str, ...] = MA
     ``least`` of them or all of a shorter item, equal the document's words in place; the offset with
     the most such words is given, the first on ties (it is negative where the document starts within
     the item). Repeated rows of docs are reported each; repeated rows of an item once, by item_id and
-    words. Null or empty texts and items under SHORTEST words are never reported; null item_ids are
+    words. With MASKS, nothing is missed from a share of 0.5 and a least of 8 words on. Words put in or
+    left out split an item over two offsets, of which each counts alone. Null or empty texts and items
+    under SHORTEST words are never reported; null item_ids are
     reported as null. Other columns are ignored. Empty tables give an empty result.
     """
     return _find(numbered(docs), items, masks, share, least)
@@ -135,12 +145,17 @@ def _find(docs: DataFrame, items: DataFrame, masks: tuple[str, ...], share: floa
 
     texts = docs.select(ROW, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     shared = spark.sparkContext.broadcast(bits)
-    found = saved(texts.mapInArrow(lambda it: _documents(it, every, shared.value), f"{ROW} bigint, doc_id bigint, doc_words array<bigint>, hits {kind}"), "seed-hits")
+    found = texts.select(ROW, "text").mapInArrow(lambda it: _documents(it, every, shared.value), f"{ROW} bigint, hits {kind}")
     seeds = found.select(ROW, F.explode("hits").alias("h")).select(ROW, F.col("h.pos").alias("doc_pos"), F.col("h.hash").alias("hash"))
     small = F.broadcast if hashes.count() <= MOST_BROADCAST else (lambda x: x)
     key = F.xxhash64("item_id", "item_words").alias("item")
-    places = seeds.join(small(hashes.select("hash", key, "item_pos")), "hash").select(ROW, "item", (F.col("doc_pos") - F.col("item_pos")).alias("offset")).distinct()
-    pairs = places.join(small(tests.select(key, "item_id", "n_words", "item_words")), "item").join(found.select(ROW, "doc_id", "doc_words"), ROW)
+    wanted = F.ceil(F.least(F.col("n_words").cast("double"), F.greatest(F.lit(float(least)), F.lit(share) * F.col("n_words"))))
+    enough = F.greatest(F.lit(1), F.ceil((5 * wanted - 2 * F.col("n_words") - 6) / 3)) if set(masks) == set(MASKS) else F.lit(1)
+    places = seeds.join(small(hashes.select("hash", key, "item_pos", enough.alias("enough"))), "hash").groupBy(ROW, "item", (F.col("doc_pos") - F.col("item_pos")).alias("offset")).agg(F.count("*").alias("c"), F.first("enough").alias("enough"))
+    places = saved(places.filter("c >= enough").select(ROW, "item", "offset"), "seed-places")
+    rows = places.select(ROW).distinct()
+    own = texts.join(F.broadcast(rows) if rows.count() <= MOST_BROADCAST else rows, ROW, "left_semi").mapInArrow(_doc_words, f"{ROW} bigint, doc_id bigint, doc_words array<bigint>")
+    pairs = places.join(small(tests.select(key, "item_id", "n_words", "item_words")), "item").join(own, ROW)
     begin, length = F.greatest(F.lit(0), -F.col("offset")), F.least(F.col("n_words"), F.size("doc_words") - F.col("offset"))
     same = F.zip_with(F.slice("doc_words", F.col("offset") + begin + 1, length - begin), F.slice("item_words", begin + 1, length - begin), lambda x, y: (x == y).cast("int"))
     matched = F.aggregate(same, F.lit(0), lambda a, x: a + x).cast("long")

@@ -103,3 +103,27 @@ def test_decontaminate(spark, table, items):
     assert kept.count() == len(docs) - len({i for i, _ in want}) and kept.first().score == "x"
     assert decontaminate.find_passages(table([]), frame).count() == 0
     assert decontaminate.find_passages(table(docs), frame.limit(0)).count() == 0
+
+
+def test_decontaminate_at_share(spark, table):
+    """Copies with up to half of their words replaced, at random and in regular patterns, against brute force."""
+    rnd = random.Random(12)
+    items = [(k, [f"t{rnd.randrange(10**6)}" for _ in range(n)]) for k, n in enumerate([9, 10, 13, 16, 17, 20, 24, 40, 59] * 2)]
+    docs = []
+    for key, item in items:
+        n = len(item)
+        least = max(8, -(-n // 2))
+        for gone in (range(1, n, 2), range(0, n, 5), [n // 2], *(rnd.sample(range(n), n - least + late) for late in (0, 0, 0, 1))):
+            gone = set(list(gone)[: n - least] if isinstance(gone, range) else gone)
+            lead = [f"d{rnd.randrange(10**6)}" for _ in range(rnd.randrange(0, 30))]
+            docs.append((len(docs), " ".join([*lead, *(f"r{rnd.randrange(10**6)}" if k in gone else w for k, w in enumerate(item)), *lead])))
+    want = set()
+    for i, text in docs:
+        w = text.split()
+        for key, item in items:
+            best = max(sum(w[o + k] == x for k, x in enumerate(item) if 0 <= o + k < len(w)) for o in range(-len(item), len(w)))
+            if best >= max(8, len(item) / 2):
+                want.add((i, key, best))
+    frame = spark.createDataFrame([(k, " ".join(x)) for k, x in items], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id, r.matched) for r in decontaminate.find_passages(table(docs), frame).collect()}
+    assert got == want and len(want) == len(docs) * 6 // 7

@@ -118,3 +118,18 @@ def test_lines(spark, table):
     assert cleaned[101] == "\n" if want[101, 2] and want[101, 0] else cleaned[101]
     assert cleaned[100] is None
     assert line_dedup.find_repeats(table([])).count() == 0
+
+
+def test_short_lines(spark, table):
+    """With least = 1, repeats of lines of one to four words go as well, and lines without words stay."""
+    rnd = random.Random(13)
+    rows = [(k, "\n".join(" ".join(rnd.choice("abcdefghijk") for _ in range(rnd.choice([0, 1, 2, 3, 4, 6]))) for _ in range(5))) for k in range(30)]
+    seen, want = [], {}
+    for key, text in rows:
+        for no, line in enumerate(text.split("\n")):
+            s = set(words(line))
+            want[key, no] = bool(s) and any(9 * len(s & t) >= 4 * (len(s) + len(t)) for t in seen)
+            seen.append(s)
+    docs = table(rows)
+    assert {(r.doc_id, r.line_no): r.removed for r in line_dedup.find_repeats(docs, least=1).collect()} == want
+    assert any(want.values()) and line_dedup.drop_repeats(table([(1, "Of.\nx"), (2, "of.\n\ny")]), least=1).orderBy("doc_id").collect()[1].text == "\ny"

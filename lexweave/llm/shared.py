@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -22,11 +23,14 @@ _own_dir: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir, with a subfolder for this application.
 
-    Only where that setting is missing, as in local tests, is a temporary folder used.
+    Where that setting is missing, a session in local mode takes a temporary folder; any other is an error,
+    as its executors wouldn't see the driver's folder.
     """
     app = spark.sparkContext.applicationId
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = _own_dir.setdefault(app, "") or _own_dir.update({app: tempfile.mkdtemp(prefix="lexweave-")}) or _own_dir[app]
     return f"{base.rstrip('/')}/{app}"
 
@@ -34,13 +38,22 @@ def shared_dir(spark: SparkSession) -> str:
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back.
 
-    This cuts the lineage at a table that survives a lost executor. The files stay until the
-    application's subfolder is removed.
+    This cuts the lineage at a table that survives a lost executor. The files stay until forget() or
+    until the application's subfolder is removed.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    return table
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that saved() returned, once all that reads them has been written."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.written_to)
+        path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def lower_ascii(text: Column) -> Column:
@@ -101,19 +114,38 @@ def components(edges: DataFrame, name: str = "components", most: int = 60) -> Da
 ROW = "__row"
 
 
+#: Plans over one scan that keep each of its rows at most once, and as it is.
+_ONE_TO_ONE = ("Project", "Filter", "SubqueryAlias", "View")
+
+
+def _is_scan(docs: DataFrame) -> bool:
+    """Whether docs is a deterministic chain of projections and filters over one scan of files."""
+    plan = docs._jdf.queryExecution().analyzed()
+    if not plan.deterministic():
+        return False
+    while plan.nodeName() in _ONE_TO_ONE:
+        plan = plan.children().head()
+    return plan.nodeName() == "LogicalRelation"
+
+
 def numbered(docs: DataFrame) -> DataFrame:
     """docs with ROW, a number that a row has at every reading, however the files are split.
 
-    It hashes the row's file and its place there (64 bits: among n rows, about n * n / 2**65 pairs
-    share a number). What isn't a scan of Parquet files is written first.
+    It is the hash of the row's file plus its place there: rows of one file always differ, and among f
+    files of r rows some two rows of different files share a number with a chance of f * f * r / 2**64.
+    What isn't a chain of projections and filters over one scan of files (exploded or joined rows, say)
+    is written first. A column of the name ROW is a user's own and is refused.
     """
+    if ROW in (c.lower() for c in docs.columns):
+        raise ValueError(f"the column {ROW} is reserved")
     try:
-        place = docs.metadataColumn("_metadata")
-        return docs.withColumn(ROW, F.xxhash64(place["file_path"], place["row_index"]))
-    except AnalysisException:
+        place = docs.metadataColumn("_metadata") if _is_scan(docs) else None
+    except AnalysisException:  # a relation without files
+        place = None
+    if place is None:
         docs = saved(docs, "rows")
         place = docs.metadataColumn("_metadata")
-        return docs.withColumn(ROW, F.xxhash64(place["file_path"], place["row_index"]))
+    return docs.withColumn(ROW, F.xxhash64(place["file_path"]) + place["row_index"])
 
 
 def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:

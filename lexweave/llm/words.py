@@ -44,8 +44,8 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def _hash(data: np.ndarray, bounds: np.ndarray, separators: np.ndarray, heads: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all words of the texts data[bounds[i]:bounds[i + 1]], where each text's words begin, and the hashes of the words' heads."""
+def _hash(data: np.ndarray, bounds: np.ndarray, separators: np.ndarray, heads: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all words of the texts data[bounds[i]:bounds[i + 1]], where each text's words begin among them, the hashes of the words' heads, and the words' places in data."""
     _grow(len(data) + 1)
     low = _LOWERED.astype(np.uint8)[data]
     word = ~separators[low]
@@ -68,7 +68,7 @@ def _hash(data: np.ndarray, bounds: np.ndarray, separators: np.ndarray, heads: t
             whole = ends - starts > size
             at = starts[whole]
             parts[k, whole] = mix((prefix[at + size] - prefix[at]) * _inverses[at] + np.uint64(size))
-    return hashes, np.searchsorted(starts, bounds), parts
+    return hashes, np.searchsorted(starts, bounds), parts, starts
 
 
 def hashed(text: pa.Array, separators: np.ndarray = BLANKS) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -80,8 +80,8 @@ def hashed(text: pa.Array, separators: np.ndarray = BLANKS) -> Iterator[tuple[in
         yield at, hashes, bounds
 
 
-def hashed_with_heads(text: pa.Array, separators: np.ndarray, heads: tuple[int, ...]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """As hashed, with a row of hashes for each of the heads: of a word's first so many bytes, 0 for words that aren't longer."""
+def _chunks(text: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For runs of texts: the number of the first, the UTF-8 bytes, and each text's bounds in them; null counts as empty."""
     text = text.cast(pa.large_string()).fill_null("")
     if not len(text):
         return
@@ -91,15 +91,36 @@ def hashed_with_heads(text: pa.Array, separators: np.ndarray, heads: tuple[int,
     at = 0
     while at < len(text):
         to = max(at + 1, int(np.searchsorted(ends, ends[at] + CHUNK, "right")) - 1)
-        part = data[ends[at] : ends[to]]
-        if len(part):
-            hashes, bounds, parts = _hash(part, ends[at : to + 1] - ends[at], separators, heads)
-        else:
-            hashes, bounds, parts = np.zeros(0, np.uint64), np.zeros(to - at + 1, np.int64), np.zeros((len(heads), 0), np.uint64)
-        yield at, hashes, bounds, parts
+        yield at, data[ends[at] : ends[to]], ends[at : to + 1] - ends[at]
         at = to
 
 
+def hashed_with_heads(text: pa.Array, separators: np.ndarray, heads: tuple[int, ...]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """As hashed, with a row of hashes for each of the heads: of a word's first so many bytes, 0 for words that aren't longer."""
+    for at, data, bounds in _chunks(text):
+        if len(data):
+            hashes, cuts, parts, _ = _hash(data, bounds, separators, heads)
+        else:
+            hashes, cuts, parts = np.zeros(0, np.uint64), np.zeros(len(bounds), np.int64), np.zeros((len(heads), 0), np.uint64)
+        yield at, hashes, cuts, parts
+
+
+def hashed_by_line(text: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For runs of texts: the number of the first, the hashes of the blank-separated words, each word's line, and each text's bounds among the lines.
+
+    Lines end at a newline or at the end of the text, so that every text has one at least; those of a run are numbered from 0.
+    """
+    for at, data, bounds in _chunks(text):
+        breaks = np.flatnonzero(data == 10)
+        lines = np.concatenate([[0], np.cumsum(np.diff(np.searchsorted(breaks, bounds)) + 1)])
+        if len(data):
+            hashes, cuts, _, starts = _hash(data, bounds, BLANKS, ())
+            line = np.searchsorted(breaks, starts) + np.repeat(np.arange(len(bounds) - 1), np.diff(cuts))
+        else:
+            hashes, line = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        yield at, hashes, line, lines
+
+
 def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """A hash of two hashes in order."""
     with np.errstate(over="ignore"):

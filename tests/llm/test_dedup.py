@@ -2,10 +2,11 @@ import hashlib
 import random
 from collections import defaultdict
 
+import pytest
 from conftest import AZ, words
 
 from lexweave.llm import exact_dedup, line_dedup, minhash_dedup
-from lexweave.llm.shared import components
+from lexweave.llm.shared import ROW, components, numbered
 
 EDGE = [(1, None), (2, ""), (3, "A b"), (4, "a B"), (4, "a B"), (None, "a b"), (5, "É"), (6, "é"), (7, "word " * 30000), (8, "word " * 30000), (9, "one"), (10, " \n\t ")]
 
@@ -107,11 +108,8 @@ def test_lines(spark, table):
     for key, text in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
         for no, line in enumerate((text or "").split("\n")):
             s = set(words(line))
-            if len(s) >= 5:
-                want[key, no] = any(9 * len(s & t) >= 4 * (len(s) + len(t)) for t in seen)
-                seen.append(s)
-            else:
-                want[key, no] = False
+            want[key, no] = bool(s) and any(9 * len(s & t) >= 4 * (len(s) + len(t)) for t in seen)
+            seen.append(s)
     docs = table(rows)
     assert {(r.doc_id, r.line_no): r.removed for r in line_dedup.find_repeats(docs).collect()} == want
     cleaned = {r.doc_id: r.text for r in line_dedup.drop_repeats(docs).collect()}
@@ -120,16 +118,49 @@ def test_lines(spark, table):
     assert line_dedup.find_repeats(table([])).count() == 0
 
 
-def test_short_lines(spark, table):
-    """With least = 1, repeats of lines of one to four words go as well, and lines without words stay."""
-    rnd = random.Random(13)
-    rows = [(k, "\n".join(" ".join(rnd.choice("abcdefghijk") for _ in range(rnd.choice([0, 1, 2, 3, 4, 6]))) for _ in range(5))) for k in range(30)]
+def brute_repeats(rows, least=1):
     seen, want = [], {}
     for key, text in rows:
-        for no, line in enumerate(text.split("\n")):
+        for no, line in enumerate((text or "").split("\n")):
             s = set(words(line))
-            want[key, no] = bool(s) and any(9 * len(s & t) >= 4 * (len(s) + len(t)) for t in seen)
-            seen.append(s)
+            want[key, no] = len(s) >= least and any(9 * len(s & t) >= 4 * (len(s) + len(t)) for t in seen)
+            if len(s) >= least:
+                seen.append(s)
+    return want
+
+
+def test_short_lines(spark, table):
+    """Repeats of lines of one to four words go as well, and lines without words stay."""
+    rnd = random.Random(13)
+    rows = [(k, "\n".join(" ".join(rnd.choice("abcdefghijk") for _ in range(rnd.choice([0, 1, 2, 3, 4, 6]))) for _ in range(5))) for k in range(30)]
+    want = brute_repeats(rows)
     docs = table(rows)
-    assert {(r.doc_id, r.line_no): r.removed for r in line_dedup.find_repeats(docs, least=1).collect()} == want
-    assert any(want.values()) and line_dedup.drop_repeats(table([(1, "Of.\nx"), (2, "of.\n\ny")]), least=1).orderBy("doc_id").collect()[1].text == "\ny"
+    assert {(r.doc_id, r.line_no): r.removed for r in line_dedup.find_repeats(docs).collect()} == want
+    assert {(r.doc_id, r.line_no): r.removed for r in line_dedup.find_repeats(docs, least=5).collect()} == brute_repeats(rows, 5)
+    assert any(want.values()) and line_dedup.drop_repeats(table([(1, "Of.\nx"), (2, "of.\n\ny")])).orderBy("doc_id").collect()[1].text == "\ny"
+
+
+def test_large_buckets(spark, table, monkeypatch):
+    """A group of near copies beyond LARGE, dealt over several tasks, loses nothing."""
+    monkeypatch.setattr(line_dedup, "LARGE", 4)
+    monkeypatch.setattr(line_dedup, "TASK_ROWS", 7)
+    rnd = random.Random(14)
+    base = [f"b{k}" for k in range(30)]
+    rows = [(k, noisy(base, rnd.choice([0.02, 0.1, 0.2, 0.3]), rnd)) for k in range(120)]
+    assert {(r.doc_id, r.line_no): r.removed for r in line_dedup.find_repeats(table(rows)).collect()} == brute_repeats(rows)
+
+
+def test_lines_clashing_columns(spark, table):
+    docs = table([(1, "a b\na b"), (2, None), (3, "")]).selectExpr("doc_id", "text AS TEXT", "1 AS gone_", "2 AS line_no", "3 AS n", "4 AS removed")
+    got = {r.doc_id: r for r in line_dedup.drop_repeats(docs).collect()}
+    assert got[1].TEXT == "a b" and got[2].TEXT is None and got[3].TEXT == "" and got[1].gone_ == 1 and got[1].removed == 4
+    assert line_dedup.drop_repeats(docs.filter("doc_id > 9")).columns == docs.columns
+
+
+def test_numbered(spark, table):
+    docs = table([(k, "x\ny") for k in range(20)])
+    for df in (docs, docs.select("doc_id"), docs.filter("doc_id > 3"), docs.selectExpr("doc_id", "explode(split(text, 'x')) AS text"), docs.join(docs.select("doc_id"), "doc_id"), docs.unionByName(docs), docs.orderBy("text").limit(5)):
+        got = numbered(df)
+        assert got.select(ROW).distinct().count() == df.count() == got.count()
+    with pytest.raises(ValueError):
+        numbered(docs.withColumnRenamed("score", ROW))

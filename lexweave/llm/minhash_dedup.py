@@ -9,10 +9,12 @@ of 0.2, and more than 25 of 65 do with about 2e-4. Candidates are confirmed on t
 Texts with equal sets form one class, and all joins run on classes. Entries are resolved in two
 passes that never list all pairs of a large bucket: first each class meets the smallest and the
 largest leader of its buckets, and in a few turns members of its buckets' largest groups; what is
-linked is contracted; then only rows outside a bucket's largest group meet the rows of other groups. A bucket of mutual copies thus costs its
-length, and no link between components is lost, for every pair of rows of different components is
-still met: in the first entry that the two share, where a longer sketch (1,024 minima of one bit)
-must also agree as far as a similarity of 0.8 makes it (all but about 1e-4 do).
+linked is contracted; then only rows outside a bucket's largest group meet the rows of other groups.
+A bucket of mutual copies thus costs its length, and no link between components is lost, for every
+pair of rows of different components is still met: in the first entry that the two share, if their
+sizes and images allow the similarity. An image has 1,024 bits, of which each shingle flips one, so
+bits by which two images differ are shingles by which the sets differ: this rules out no similar pair,
+and nearly every other one of texts of up to some hundred words.
 """
 
 from __future__ import annotations
@@ -24,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm.shared import ROW, components, hot_join, keep_rows, numbered, saved
+from lexweave.llm.shared import ROW, components, forget, hot_join, keep_rows, numbered, saved
 from lexweave.llm.words import hashed, mix, pair
 
 PIECES, PLACES, BITS, DISTANCE = 13, 5, 12, 25
 SYMBOLS = PIECES * PLACES
-SKETCH_BITS, SKETCH_DISTANCE = 1024, 138
+IMAGE_BITS = 1024
 SIMILARITY = 80  # per cent
 #: So many class numbers (16 MB) may be broadcast; more take a shuffle join.
 MOST_BROADCAST = 1_000_000
@@ -38,7 +40,7 @@ ROUNDS = 4
 
 #: A bit for each symbol of a piece, in which all its bits are gathered.
 _FOLDED = sum(1 << (BITS * k) for k in range(PLACES))
-_WORDS = [f"w{k}" for k in range(PIECES + SKETCH_BITS // 64)]
+_WORDS = [f"w{k}" for k in range(PIECES + IMAGE_BITS // 64)]
 
 
 def _seeds(n: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
@@ -47,7 +49,6 @@ def _seeds(n: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 _XOR, _TIMES = _seeds(SYMBOLS, 1)
-_SKETCH_XOR, _SKETCH_TIMES = _seeds(SKETCH_BITS, 2)
 
 
 def shingle_hashes(words: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -119,29 +120,25 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(cls, sig, own) -> (cls, w0, w1, ...): the signature's pieces and the sketch, 64 bits a column."""
+def _imaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cls, sig, own) -> (cls, w0, w1, ...): the signature's pieces and the image, 64 bits a column."""
     for batch in batches:
         if not batch.num_rows:
             continue
         rows = np.empty((batch.num_rows, len(_WORDS)), np.uint64)
         for i, (sig, own) in enumerate(zip(batch.column("sig"), batch.column("own"), strict=True)):
-            own = np.frombuffer(own.as_buffer(), np.uint64)
-            low = np.full(SKETCH_BITS, ~np.uint64(0))
-            for c in range(0, len(own), 512):
-                with np.errstate(over="ignore"):
-                    low = np.minimum(low, ((own[c : c + 512, None] ^ _SKETCH_XOR) * _SKETCH_TIMES).min(0))
-            rows[i] = np.concatenate([np.frombuffer(sig.as_buffer(), np.uint64), np.packbits((mix(low) & np.uint64(1)).astype(np.uint8)).view(np.uint64)])
+            bits = np.bincount((np.frombuffer(own.as_buffer(), np.uint64) % np.uint64(IMAGE_BITS)).astype(np.int64), minlength=IMAGE_BITS) & 1
+            rows[i] = np.concatenate([np.frombuffer(sig.as_buffer(), np.uint64), np.packbits(bits.astype(np.uint8)).view(np.uint64)])
         yield pa.RecordBatch.from_arrays([batch.column("cls"), *(pa.array(rows[:, k].copy().view(np.int64)) for k in range(len(_WORDS)))], ["cls", *_WORDS])
 
 
-def _first_met() -> str:
-    """SQL for rows l and r of one entry: sketch and signature are near, and this is the first entry that they share.
+def _first_met(similarity: int) -> str:
+    """SQL for rows l and r of one entry: images and signatures are near, and this is the first entry that they share.
 
-    The sketch comes first, as it is cheap and few pairs pass it. In a piece without a difference, all
-    entries are shared, and the first one counts.
+    The images come first, as they are cheap to compare and few pairs pass. In a piece without a
+    difference, all entries are shared, and the first one counts.
     """
-    sketch = " + ".join(f"bit_count(l.w{k} ^ r.w{k})" for k in range(PIECES, len(_WORDS)))
+    apart = " + ".join(f"bit_count(l.w{k} ^ r.w{k})" for k in range(PIECES, len(_WORDS)))
     fold = "x -> x | shiftrightunsigned(x, 6)", "x -> x | shiftrightunsigned(x, 3)", f"x -> bit_count((x | shiftrightunsigned(x, 1) | shiftrightunsigned(x, 2)) & {_FOLDED}L)"
     differ = "zip_with(l.pieces, r.pieces, (x, y) -> x ^ y)"
     for step in fold:
@@ -149,7 +146,7 @@ def _first_met() -> str:
     piece = f"cast(floor(l.at / {PLACES}) as int)"
     met = f"forall(transform({differ}, (d, i) -> struct(d as d, i as i)), s -> s.i > {piece} OR (s.i < {piece} AND s.d > 1) OR (s.i = {piece} AND (s.d = 1 OR l.at % {PLACES} = 0)))"
     near = f"aggregate({differ}, 0, (a, d) -> a + d) <= {DISTANCE}"
-    return f"{sketch} <= {SKETCH_DISTANCE} AND {met} AND {near}"
+    return f"{100 + similarity} * ({apart}) <= {100 - similarity} * (l.n + r.n) AND {met} AND {near}"
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -220,38 +217,44 @@ def _near(docs: DataFrame, width: int, similarity: int) -> DataFrame:
     entries = classes.select("cls", "n", "sig").mapInArrow(_entries, "key bigint, at int, cls bigint, n int")
     shared = entries.groupBy("key").agg(F.count("*").alias("c"), F.min("cls").alias("first")).filter("c > 1")
     hits = saved(entries.join(shared.select("key", "first"), "key"), "near-hits")
-    sets = _full_sets(docs, saved(sized.select(ROW, "cls").join(hits.select("cls").distinct(), "cls"), "near-wanted"), width)
+    wanted = saved(sized.select(ROW, "cls").join(hits.select("cls").distinct(), "cls"), "near-wanted")
+    sets = _full_sets(docs, wanted, width)
 
     stars = hits.filter("cls <> first").groupBy("cls").agg(F.min("first").alias("lo"), F.max("first").alias("hi"))
     stars = stars.select(F.col("cls").alias("b"), F.explode(F.array_distinct(F.array("lo", "hi"))).alias("a")).select("a", "b")
     links = _links(stars, sets, similarity)
 
     # contract what is linked; rows outside a bucket's largest group then meet a few members of it, in turn
-    hits = hits.drop("first")
+    hits_ = hits.drop("first")
     for turn in range(ROUNDS):
         groups = _pointers(links) if turn < ROUNDS - 1 else components(links, "near-groups").withColumnRenamed("node", "cls")
-        parts = hits.join(groups, "cls", "left").withColumn("comp", F.coalesce("component", "cls")).drop("component")
+        parts = hits_.join(groups, "cls", "left").withColumn("comp", F.coalesce("component", "cls")).drop("component")
         sums = parts.groupBy("key", "comp").agg(F.count("*").alias("c"), F.min(F.xxhash64("cls", F.lit(turn))).alias("h"))
         main = sums.groupBy("key").agg(F.max(F.struct("c", "comp", "h")).alias("main"), F.count("*").alias("k")).filter("k > 1").select("key", F.col("main.comp").alias("main"), F.col("main.h").alias("h"))
         mixed = saved(parts.join(main, "key"), "near-mixed")
         if turn == ROUNDS - 1:
             break
+        old = links
         heads = mixed.filter(F.xxhash64("cls", F.lit(turn)) == F.col("h")).filter("comp = main").select("key", F.col("cls").alias("a"))
         met = mixed.filter("comp <> main").join(heads, "key").groupBy("cls").agg(F.min("a").alias("lo"), F.max("a").alias("hi"))
         met = met.select(F.col("cls").alias("b"), F.explode(F.array_distinct(F.array("lo", "hi"))).alias("a")).select("a", "b")
-        links = saved(links.unionByName(_links(met, sets, similarity)), "near-links")
+        more = _links(met, sets, similarity)
+        links = saved(old.unionByName(more), "near-links")
+        forget(old, more, mixed)
+    forget(hits)
     hits = mixed.drop("h")
     left = hits.select("cls").distinct().join(sized.select(ROW, "cls"), "cls")
-    sketches = saved(rows.select(ROW, "sig").join(left, ROW).join(sets, "cls").select("cls", "sig", "own").mapInArrow(_sketched, "cls bigint, " + ", ".join(f"{w} bigint" for w in _WORDS)), "near-sketches")
-    hits = hits.join(sketches, "cls").withColumn("pieces", F.array(*_WORDS[:PIECES])).drop(*_WORDS[:PIECES])
+    images = saved(rows.select(ROW, "sig").join(left, ROW).join(sets, "cls").select("cls", "sig", "own").mapInArrow(_imaged, "cls bigint, " + ", ".join(f"{w} bigint" for w in _WORDS)), "near-images")
+    hits = hits.join(images, "cls").withColumn("pieces", F.array(*_WORDS[:PIECES])).drop(*_WORDS[:PIECES])
     fits = f"100 * least(l.n, r.n) >= {similarity} * greatest(l.n, r.n)"
-    cross = hits.filter("comp <> main").alias("l").join(hits.alias("r"), F.expr(f"l.key = r.key AND l.comp <> r.comp AND (r.comp = r.main OR l.cls < r.cls) AND {fits} AND {_first_met()}"))
+    cross = hits.filter("comp <> main").alias("l").join(hits.alias("r"), F.expr(f"l.key = r.key AND l.comp <> r.comp AND (r.comp = r.main OR l.cls < r.cls) AND {fits} AND {_first_met(similarity)}"))
     more = _links(cross.select(F.expr("least(l.cls, r.cls)").alias("a"), F.expr("greatest(l.cls, r.cls)").alias("b")), sets, similarity)
 
     whole = components(links.unionByName(more), "near-components")
-    named = sized.join(whole.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "rep", ROW, "copies", F.coalesce("component", "cls").alias("component"))
-    least = named.groupBy("component").agg(F.min("rep").alias("component_id"), F.min(ROW).alias("first_row"))
-    named = saved(named.join(least, "component").select("cls", "component_id", "first_row", "copies"), "near-named")
+    named = saved(sized.join(whole.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "rep", ROW, "copies", F.coalesce("component", "cls").alias("component")), "near-members")
+    least = named.groupBy("component").agg(F.min("rep").alias("component_id"), F.min(ROW).alias("first_row"), F.count("*").alias("size"))
+    named = saved(hot_join(named, least, "component", "size", named.count()).select("cls", "component_id", "first_row", "copies"), "near-named")
+    forget(mixed, images, sets, links, more, wanted)
     full = rows.filter("n > 0").select(ROW, "doc_id", "cls", "n")
     out = hot_join(full, named, "cls", "copies", full.count()).select(ROW, "doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", "first_row")
     bare = rows.filter("n = 0").select(ROW, "doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col(ROW).alias("first_row"))

@@ -97,7 +97,8 @@ def components(edges: DataFrame, name: str = "components", most: int = 60) -> Da
             .filter("u <> v")
             .distinct()
         )
-        now = saved(small, name)
+        before, now = now, saved(small, name)
+        forget(before)
         # stars only: no node has two smaller neighbours or is a centre's centre
         many = now.groupBy("u").agg(F.count("*").alias("c")).filter("c > 1").select("u")
         if now.select(F.col("v").alias("u")).join(now.select("u"), "u", "left_semi").unionByName(many).isEmpty():

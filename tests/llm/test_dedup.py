@@ -91,6 +91,17 @@ def test_near(spark, table):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_near_large_group(spark, table):
+    """Many near copies of one text, of which some are linked with none: every link is found, no other is made."""
+    rnd = random.Random(5)
+    base = [f"w{k}" for k in range(70)]
+    rows = [(k, noisy(base, rnd.choice([0.01, 0.04, 0.07, 0.1]), rnd)) for k in range(150)]
+    sets, label = brute_components(rows, 2)
+    got = minhash_dedup.near_duplicates(table(rows), width=2).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(i, rows[k][0]) for (i, _), k in zip(rows, label, strict=True)}
+    assert 10 < len(set(label)) < 140
+
+
 def test_near_edges(spark, table):
     got = minhash_dedup.near_duplicates(table([(None, "a b c d e f"), (None, "a b c d e f"), (None, None)]), width=5).collect()
     assert [r.component_id for r in got] == [None] * 3 and sum(r.kept for r in got) == 2

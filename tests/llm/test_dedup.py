@@ -13,7 +13,7 @@ EDGE = [(1, None), (2, ""), (3, "A b"), (4, "a B"), (4, "a B"), (None, "a b"), (
 
 def test_exact(spark, table):
     got = exact_dedup.deduplicate(table(EDGE), exact_dedup.DigestIndex(spark, "t_exact"))
-    assert {"lower_ascii", "score"} - set(got.columns) == {"lower_ascii"}
+    assert {"score", "row_nr", "n", "cls"} <= set(got.columns)
     rows = got.collect()
     groups = defaultdict(list)
     for r in rows:
@@ -29,8 +29,10 @@ def test_exact(spark, table):
 def test_exact_against_earlier_batches(spark, table):
     index = exact_dedup.DigestIndex(spark, "t_batches", buckets=4)
     first = table([(1, "a"), (2, "b")])
-    assert exact_dedup.drop_exact_duplicates(first, index).count() == 2
-    assert exact_dedup.drop_exact_duplicates(first, index).count() == 2  # the same rows again
+    assert exact_dedup.drop_exact_duplicates(first, index, "one").count() == 2
+    assert exact_dedup.drop_exact_duplicates(first, index, "one").count() == 2  # the same batch again
+    assert exact_dedup.drop_exact_duplicates(first, index).count() == 0  # the same rows in another batch
+    assert [r.kept for r in exact_dedup.deduplicate(table([(1, "A"), (None, "b")]), index).collect()] == [False, False]
     new = exact_dedup.drop_exact_duplicates(table([(9, "A"), (8, "c"), (7, "C")]), index)
     assert [(r.doc_id, r.text, r.score) for r in new.collect()] == [(8, "c", "x")]
     assert index.read().count() == 3

@@ -20,11 +20,12 @@ import regex
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 
-from lexweave.llm.shared import schema_with
+from lexweave.llm.shared import schema_with, small_batches
+from lexweave.llm.words import column
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Pre-tokens that a worker remembers besides the vocabulary's own; then it starts anew.
-REMEMBERED = 300_000
+#: Bytes of pre-tokens and ids that a worker remembers besides the vocabulary's own; then it starts anew. A longer pre-token isn't kept.
+REMEMBERED, LONGEST = 8 << 20, 200
 #: Texts that a worker takes together.
 BATCH = 200
 
@@ -35,10 +36,10 @@ _TO_CHARS = dict(enumerate(BYTE_CHARS))
 
 
 def read_ranks(path: str) -> list[bytes]:
-    """The tokens of a rank file (base64 token and rank a line), by rank."""
+    """The tokens of a rank file (base64 token and rank a line), by rank; a rank that is missing has the empty token."""
     with open(path, "rb") as file:
-        ranks = {int(rank): base64.b64decode(token) for token, rank in map(bytes.split, file)}
-    return [ranks[i] for i in range(len(ranks))]
+        ranks = {int(rank): base64.b64decode(token) for token, rank in filter(None, map(bytes.split, file))}
+    return [ranks.get(i, b"") for i in range(max(ranks, default=-1) + 1)]
 
 
 def _varint(n: int) -> bytes:
@@ -60,7 +61,9 @@ def _field(number: int, value: bytes | int | float) -> bytes:
 
 def model_proto(tokens: list[bytes]) -> bytes:
     """A sentencepiece model of type BPE with these tokens, and after them the unknown piece."""
-    pieces = [_field(1, "".join(BYTE_CHARS[b] for b in token).encode()) + _field(2, float(-rank)) + _field(3, 1) for rank, token in enumerate(tokens)]
+    # a rank without token gets a piece of a character that stands for no byte, so that ids stay ranks
+    names = ["".join(BYTE_CHARS[b] for b in token) or chr(0xF0000 + rank) for rank, token in enumerate(tokens)]
+    pieces = [_field(1, name.encode()) + _field(2, float(-rank)) + _field(3, 1 if token else 5) for rank, (name, token) in enumerate(zip(names, tokens, strict=True))]
     pieces.append(_field(1, "<unknown piece>".encode()) + _field(2, 0.0) + _field(3, 2))
     trainer = _field(3, 2) + _field(4, len(pieces))  # model_type BPE, vocab_size
     normaliser = _field(1, b"identity") + _field(3, 0) + _field(4, 0) + _field(5, 0)  # no dummy prefix, no squeezing or escaping of blanks
@@ -80,31 +83,45 @@ class Codec:
                 self.known[token.decode()] = struct.pack("<I", rank)
             except UnicodeDecodeError:
                 pass
-        self.found = dict(self.known)
+        self.found, self.size = dict(self.known), 0
+        # decoding: the id's piece, and for each of its characters the byte that it stands for
+        byte_of = {c: b for b, c in enumerate(BYTE_CHARS)}
+        self.bytes_of = [bytes(byte_of[c] for c in self.pieces.id_to_piece(i)) if token else b"" for i, token in enumerate(tokens)]
 
     def _learn(self, new: list[str]) -> None:
         mapped = [x.encode().decode("latin-1").translate(_TO_CHARS) for x in new]
         for x, ids in zip(new, self.pieces.encode(mapped, out_type=int, num_threads=1), strict=True):
             self.found[x] = struct.pack(f"<{len(ids)}I", *ids)
+            self.size += len(x) + 4 * len(ids) + 150
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers. New pre-tokens are learnt together."""
-        if len(self.found) > len(self.known) + REMEMBERED:
-            self.found = dict(self.known)
+        if self.size > REMEMBERED:
+            self.found, self.size = dict(self.known), 0
         parts = [self.find(text or "") for text in texts]
-        self._learn(list({x for run in parts for x in run} - self.found.keys()))
-        return [b"".join(map(self.found.__getitem__, run)) for run in parts]
+        new = list({x for run in parts for x in run} - self.found.keys())
+        self._learn(new)
+        out = [b"".join(map(self.found.__getitem__, run)) for run in parts]
+        for x in new:
+            if len(x) > LONGEST:
+                del self.found[x]
+        return out
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 _codecs: dict[tuple, Codec] = {}
 
 
-def _codec(tokens: list[bytes], pattern: str) -> Codec:
+def _name(tokens: list[bytes]) -> bytes:
+    """What tells a vocabulary from others; taken once, on the driver."""
+    return hashlib.sha256(b"".join(struct.pack("<I", len(x)) + x for x in tokens)).digest()
+
+
+def _codec(tokens: list[bytes], pattern: str, name: bytes) -> Codec:
     """One codec per worker process."""
-    key = (len(tokens), hashlib.sha256(b"\0".join(tokens)).digest(), pattern)
+    key = (name, pattern)
     if key not in _codecs:
         _codecs.clear()
         _codecs[key] = Codec(tokens, pattern)
@@ -131,25 +148,29 @@ def encode(docs: DataFrame, tokens: list[bytes], pattern: str = public_tokenizer
     Each match of the pattern is encoded separately, without special tokens. The vocabulary (under
     1 MB) goes to the tasks with their code.
     """
-    return _added(docs, {"ids": "binary"}, lambda b: [pa.array(_codec(tokens, pattern).encode(b.column("text").to_pylist()), pa.binary())])
+    name = _name(tokens)
+    return _added(docs, {"ids": "binary"}, lambda b: [pa.array(_codec(tokens, pattern, name).encode(column(b, "text").to_pylist()), pa.binary())])
 
 
 def decode(encoded: DataFrame, tokens: list[bytes]) -> DataFrame:
     """encoded (ids, ...) with ``decoded``: the bytes; null ids give null."""
-    return _added(encoded, {"decoded": "binary"}, lambda b: [pa.array((None if x is None else _codec(tokens, public_tokenizers.PATTERN).decode(x) for x in b.column("ids").to_pylist()), pa.binary())])
+    name = _name(tokens)
+    return _added(encoded, {"decoded": "binary"}, lambda b: [pa.array((None if x is None else _codec(tokens, public_tokenizers.PATTERN, name).decode(x) for x in column(b, "ids").to_pylist()), pa.binary())])
 
 
 def round_trip(docs: DataFrame, tokens: list[bytes], pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """docs with ``n_tokens``, ``ids_sha256`` and ``decoded_sha256``: encode and decode in one pass, keeping digests only.
 
-    Every row of docs gives one row; an empty or null text has no tokens. Other columns come along;
-    columns of the three names are replaced.
+    Every row of docs, repeated ones too, gives one row; an empty or null text has no tokens, and texts of
+    any length are taken whole. Other columns come along; columns of the three names are replaced. An
+    empty table gives an empty table.
     """
+    name = _name(tokens)
 
     def make(batch: pa.RecordBatch) -> list[pa.Array]:
-        codec = _codec(tokens, pattern)
+        codec = _codec(tokens, pattern, name)
         n, ids_sha, decoded_sha = [], [], []
-        for ids in codec.encode(batch.column("text").to_pylist()):
+        for ids in codec.encode(column(batch, "text").to_pylist()):
             n.append(len(ids) // 4)
             ids_sha.append(hashlib.sha256(ids).hexdigest())
             decoded_sha.append(hashlib.sha256(codec.decode(ids)).hexdigest())
@@ -160,5 +181,6 @@ def round_trip(docs: DataFrame, tokens: list[bytes], pattern: str = public_token
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's token count and the digests of its ids and of their decoding."""
+    small_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return round_trip(docs, read_ranks(public_tokenizers.path(VOCABULARY))).drop("text")

@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexweave.llm import arrays
-from lexweave.llm.shared import saved, schema_with, shared_dir
-from lexweave.llm.words import BLANKS, hashed
+from lexweave.llm.shared import saved, schema_with, shared_dir, small_batches
+from lexweave.llm.words import BLANKS, column, hashed
 
 #: The hash that stands for the end mark (no word has it but by chance).
 END = np.uint64(0x454E44)
@@ -78,7 +78,7 @@ def _with_ends(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     gather = _Gather()
     for batch in batches:
-        for _, words, bounds in hashed(batch.column("text"), BLANKS):
+        for _, words, bounds in hashed(column(batch, "text"), BLANKS):
             yield from gather.add(_with_ends(words, bounds)[0].view(np.int64))
     yield from gather.flush()
 
@@ -100,7 +100,7 @@ def _pair_keys(number: np.ndarray, bounds: np.ndarray, n_words: int) -> np.ndarr
 def _pairs(batches: Iterator[pa.RecordBatch], words: arrays.Sorted, n_words: int) -> Iterator[pa.RecordBatch]:
     gather = _Gather()
     for batch in batches:
-        for _, tokens, bounds in hashed(batch.column("text"), BLANKS):
+        for _, tokens, bounds in hashed(column(batch, "text"), BLANKS):
             tokens, bounds = _with_ends(tokens, bounds)
             number, at = _numbers(words, tokens)
             yield from gather.add(_pair_keys(number[at], bounds, n_words))
@@ -212,7 +212,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = list(_scored(batch.column("text"), model))
+            parts = list(_scored(column(batch, "text"), model))
             if parts:
                 n, known, base, own = (np.concatenate(x) for x in zip(*parts, strict=True))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(n), pa.array(known), pa.array(np.full(len(n), model.n_tokens)), pa.array(base), pa.array(own), pa.array(10.0 ** (-own / n))], schema.names)
@@ -222,6 +222,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's score by a model of those that are not held out."""
+    small_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     held_out = F.expr("coalesce(crc32(cast(doc_id as string)) % 7 = 2, false)")
     model = fit(docs.filter(~held_out))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm.shared import ROW, components, forget, hot_join, keep_rows, numbered, saved
+from lexweave.llm.shared import ROW, components, forget, hot_join, keep_rows, numbered, saved, small_batches
 from lexweave.llm.words import hashed, mix, pair
 
 PIECES, PLACES, BITS, DISTANCE = 13, 5, 12, 25
@@ -262,7 +262,12 @@ def _near(docs: DataFrame, width: int, similarity: int) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: int = SIMILARITY) -> DataFrame:
-    """docs without near duplicates: of each component of near_duplicates one row stays, with all columns."""
+    """docs without near duplicates: of each component of near_duplicates one row stays, with all columns.
+
+    It is the row with the smallest doc_id (of repeated rows one; of null ids one, where a component has
+    no other). Texts without words, null included, are linked with nothing, but repeated rows of one
+    doc_id count as one document. Texts of any length are taken whole. An empty table gives an empty table.
+    """
     docs = numbered(docs)
     found = _near(docs, width, similarity).filter("kept")
     # repeated rows of the doc_id that stays are one document
@@ -272,4 +277,5 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: int = SIMI
 
 def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its shingle count and near-duplicate component, by 2-word shingles at 0.8."""
+    small_batches(spark)
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=2).select("doc_id", "n_shingles", "component_id", "kept")

@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm.shared import saved, schema_with
-from lexweave.llm.words import BLANKS, hashed, pair
+from lexweave.llm.shared import saved, schema_with, small_batches
+from lexweave.llm.words import BLANKS, column, hashed, pair
 
 #: Trusted positives, and unlabelled texts, to learn from: about so many at most, by a hash of doc_id.
 MOST_POSITIVE, MOST_UNLABELLED = 10_000, 20_000
@@ -151,7 +151,7 @@ def _collected(texts: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = features(batch.column("text"))
+            x = features(column(batch, "text"))
             yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary())], ["x"])
 
     rows = texts.select("text").mapInArrow(run, "x binary").toArrow().column("x")
@@ -190,7 +190,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                good = shared.value.score(features(part.column("text")))
+                good = shared.value.score(features(column(part, "text")))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), pa.array(good), pa.array((good >= GOOD_FROM).astype(np.int32))], schema.names)
 
     return docs.mapInArrow(run, schema)
@@ -198,6 +198,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's quality, with what was learnt from trusted positives that are not held out."""
+    small_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     held_out = F.expr("coalesce(crc32(cast(doc_id as string)) % 5 = 0, false)").alias("held_out")

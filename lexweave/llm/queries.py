@@ -1,6 +1,5 @@
 """The subpackage's queries and their SQL."""
 
-import corpus_pipeline
 from lexweave.llm import byte_bpe, decontaminate, exact_dedup, kneser_ney, license_scan, line_dedup, minhash_dedup, quality, toxicity, url_filter
 
 QUERIES = {
@@ -14,7 +13,6 @@ QUERIES = {
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_minhash_dedup": minhash_dedup.op10_minhash_dedup,
-    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL = {

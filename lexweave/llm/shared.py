@@ -35,6 +35,15 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{app}"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Keep the batches that go to Python tasks within 1,000 rows and 8 MB, so that long texts don't fill the workers' memory.
+
+    Queries and pipeline stages call this; whoever calls the operators directly chooses.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back.
 

@@ -20,13 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm.shared import saved, schema_with
-from lexweave.llm.words import NOT_ALNUM, hashed_with_heads
+from lexweave.llm.shared import forget, saved, schema_with, small_batches
+from lexweave.llm.words import NOT_ALNUM, column, hashed_with_heads
 
 #: Labelled texts to learn from, at most (by a hash of doc_id; a few per cent more by chance).
 MOST_TRAINED = 20_000
-#: Tokens with a score of their own, at most: the most significant ones.
-MOST_WORDS = 50_000
 #: Least |z| of a token's log-odds, and the prior's weight as a share of all counts. At 2, a token of four
 #: toxic texts and no clean one counts; at 1, chance tokens of single texts hide the real ones.
 LEAST_Z, PRIOR_SHARE = 2.0, 0.05
@@ -99,7 +97,7 @@ def _look_up(model: Model, words: np.ndarray, parts: np.ndarray) -> tuple[np.nda
 def _scan(batch: pa.RecordBatch, model: Model) -> tuple[np.ndarray, list[list[tuple[int, int, float]]]]:
     """Words and maximal segments of each text."""
     sizes, segments = [], []
-    for _, words, bounds, parts in hashed_with_heads(batch.column("text"), NOT_ALNUM, HEADS):
+    for _, words, bounds, parts in hashed_with_heads(column(batch, "text"), NOT_ALNUM, HEADS):
         at, gains = _look_up(model, words, parts)
         cuts = np.searchsorted(at, bounds)
         sizes.append(np.diff(bounds))
@@ -117,7 +115,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text, toxic) -> (word, toxic, c) with c the texts that hold the token"""
     for batch in batches:
         label = batch.column("toxic").to_numpy()
-        for at, words, bounds, parts in hashed_with_heads(batch.column("text"), NOT_ALNUM, HEADS):
+        for at, words, bounds, parts in hashed_with_heads(column(batch, "text"), NOT_ALNUM, HEADS):
             own: tuple[list, list] = ([], [])
             for i in range(len(bounds) - 1):
                 tokens = np.unique(np.concatenate([words[bounds[i] : bounds[i + 1]], parts[:, bounds[i] : bounds[i + 1]].ravel()]))
@@ -155,7 +153,9 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: str = "crc32(cast(doc_id a
     a, b = F.col("t") + prior, F.col("n") + prior
     odds = F.log(a / (F.lit(nt + a0) - a)) - F.log(b / (F.lit(nn + a0) - b))
     scored = counts.select("word", "t", "n", odds.alias("odds"), (odds / F.sqrt(1 / a + 1 / b)).alias("z")).filter(F.abs("z") >= LEAST_Z)
-    top = scored.orderBy(F.desc(F.abs("z")), "word").limit(MOST_WORDS).toPandas()
+    top = scored.toPandas()
+    forget(counts)
+    # at most one token in four of the bounded sample gets here
     words = top["word"].to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(words)
     odds, t, n = (top[c].to_numpy(float)[order] for c in ("odds", "t", "n"))
@@ -173,6 +173,8 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: str = "crc32(cast(doc_id a
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(sizes.astype(np.int64)), pa.array(_best(segments))], ["toxic", "n", "best"])
 
     seen = train.mapInArrow(best, "toxic int, n bigint, best double").toPandas()
+    shared.destroy()
+    forget(train)
     toxic, size, s = (seen[c].to_numpy() for c in ("toxic", "n", "best"))
     size = np.maximum(size, 1)
     clean = toxic == 0
@@ -206,8 +208,10 @@ def _decay(scores: np.ndarray, weights: np.ndarray) -> float:
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs (text, ...) with score, predicted, n_passages and best_passage <first word, last word, score>.
 
-    Each row is scored on its whole text; null and empty texts have no passage and get the share of
-    toxic texts as score. Other columns come along; columns of the new names are replaced.
+    Each row, repeated ones too, is scored on its whole text, however long; null and empty texts have no
+    passage and get what texts without a segment get. Of passages that score alike, the first is the
+    best. Other columns come along; columns of the new names are replaced. An empty table gives an
+    empty table.
     """
     new = {"score": "double", "predicted": "int", "n_passages": "int", "best_passage": "struct<first:bigint,last:bigint,score:double>"}
     schema = schema_with(docs, new)
@@ -219,10 +223,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             sizes, segments = _scan(batch, shared.value)
             p = shared.value.p_value(sizes, _best(segments))
             post = shared.value.posterior(p)
-            count = [sum(bool(shared.value.p_value(np.array([n]), np.array([s]))[0] <= SIGNIFICANT) for _, _, s in x) for n, x in zip(sizes, segments, strict=True)]
+            of, found = np.repeat(np.arange(len(segments)), [len(x) for x in segments]), np.array([s for x in segments for _, _, s in x])
+            count = np.bincount(of[shared.value.p_value(sizes[of], found) <= SIGNIFICANT], minlength=len(segments))
             top = [dict(zip(("first", "last", "score"), max(x, key=lambda y: y[2]), strict=True)) if x else None for x in segments]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in rest), pa.array(post), pa.array((post >= TOXIC_FROM).astype(np.int32)), pa.array(count, pa.int32()), pa.array(top, pa.struct([("first", pa.int64()), ("last", pa.int64()), ("score", pa.float64())]))],
+                [*(batch.column(c) for c in rest), pa.array(post), pa.array((post >= TOXIC_FROM).astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(top, pa.struct([("first", pa.int64()), ("last", pa.int64()), ("score", pa.float64())]))],
                 [*rest, *new],
             )
 
@@ -241,7 +246,7 @@ def passages(docs: DataFrame, model: Model) -> DataFrame:
             p = shared.value.p_value(sizes[i], s)
             good = np.flatnonzero(p <= SIGNIFICANT)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(i[good])), *(pa.array(x[good].astype(t)) for x, t in ((first, np.int64), (last, np.int64), (s, float), (p, float)))],
+                [column(batch, "doc_id").take(pa.array(i[good])), *(pa.array(x[good].astype(t)) for x, t in ((first, np.int64), (last, np.int64), (s, float), (p, float)))],
                 ["doc_id", "first_word", "last_word", "score", "p_value"],
             )
 
@@ -250,7 +255,11 @@ def passages(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs (doc_id, text, ...) without the rows that the model rejects; all columns stay as they are."""
+    """docs (doc_id, text, ...) without the rows that a model fitted on them rejects; all columns stay as they are.
+
+    Each row, repeated ones too, is judged on its whole text alone; null and empty texts have no
+    passage and stay. Without labels of both kinds nothing is rejected. An empty table gives an empty table.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,6 +272,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's toxicity, with what was learnt from the labels that are not held out."""
+    small_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     held_out = F.expr("coalesce(crc32(cast(doc_id as string)) % 4 = 2, false)").alias("held_out")

@@ -55,11 +55,29 @@ def judged(urls: DataFrame, rules: DataFrame) -> DataFrame:
     return urls.join(best, ["host", "path"], "left")
 
 
+def resolved(link: Column, base: Column) -> Column:
+    """The link of a page at base as an absolute URL, dot segments taken out; null for other schemes' links and where base has no ://."""
+    root = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1)
+    path = path_of(base)
+    folder = F.when(path == "", F.lit("/")).otherwise(F.regexp_extract(path, "(?s)^.*/", 0))
+    target, rest = F.regexp_extract(link, r"(?s)^[^?#]*", 0), F.regexp_extract(link, r"(?s)[?#].*$", 0)
+    whole = F.when(target.startswith("/"), target).when(target == "", path).otherwise(F.concat(folder, target))
+
+    def step(done: Column, x: Column) -> Column:
+        return F.when(x == ".", done).when(x == "..", F.when(F.size(done) > 1, F.slice(done, 1, F.size(done) - 1)).otherwise(done)).otherwise(F.concat(done, F.array(x)))
+
+    plain = F.array_join(F.aggregate(F.split(whole, "/"), F.expr("cast(array() as array<string>)"), step), "/")
+    path_only = F.concat(root, F.when(whole.rlike(r"(^|/)\.\.?(/|$)"), plain).otherwise(whole), rest)
+    absolute = F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), link).when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
+    return F.when(base.contains("://"), absolute.when(link.startswith("//"), F.concat(F.regexp_extract(base, "(?s)^.*?:", 0), link)).otherwise(path_only))
+
+
 def alias_edges(pages: DataFrame) -> DataFrame:
-    """(a, b): a page's URL and the one that its canonical link or its refresh names, where absolute."""
-    link = F.regexp_extract("html", r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)""", 1)
-    refresh = F.regexp_extract("html", r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\bcontent\s*=\s*["']?[^"'>]*?\burl\s*=\s*([^"'\s>]+)""", 1)
-    return pages.select("url", F.explode(F.array(link, refresh)).alias("to")).filter("contains(to, '://')").select(F.col("url").alias("a"), F.col("to").alias("b"))
+    """(a, b): a page's URL and each one that a canonical link or a refresh of it names, relative ones resolved."""
+    link = F.regexp_extract_all("html", F.lit(r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""), 1)
+    refresh = F.regexp_extract_all("html", F.lit(r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\bcontent\s*=\s*["']?[^"'>]*?\burl\s*=\s*([^"'\s>]+)"""), 1)
+    found = pages.select("url", F.explode(F.concat(link, refresh)).alias("to"))
+    return found.select(F.col("url").alias("a"), resolved(F.col("to"), F.col("url")).alias("b")).dropna()
 
 
 def judge(pages: DataFrame, edges: DataFrame, rules: DataFrame) -> DataFrame:

@@ -17,8 +17,8 @@ _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _powers = np.ones(1, np.uint64)
 _inverses = np.ones(1, np.uint64)
 
-#: Bytes of text that are hashed at a time; a longer text is taken alone.
-CHUNK = 1 << 20
+#: Bytes of text that are hashed at a time, so that the arrays stay within some 20 MB; a longer text is taken alone.
+CHUNK = 1 << 18
 
 _ALL = np.arange(256)
 #: [^\x20\x09-\x0D]+
@@ -28,6 +28,11 @@ NOT_ALNUM = (_ALL <= 0x2F) | ((_ALL >= 0x3A) & (_ALL <= 0x60)) | ((_ALL >= 0x7B)
 _LOWERED = np.where((_ALL >= 65) & (_ALL <= 90), _ALL + 32, _ALL)
 
 
+def column(batch: pa.RecordBatch, name: str) -> pa.Array:
+    """The batch's first column of a name, spelt in any case."""
+    return batch.column([x.lower() for x in batch.schema.names].index(name))
+
+
 def _grow(n: int) -> None:
     global _powers, _inverses
     if len(_powers) < n:

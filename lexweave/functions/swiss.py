@@ -39,8 +39,13 @@ def court_of(court: Column, text: Column, canton: Column) -> Column:
     return F.coalesce(court, named, F.concat(F.lit("Kantonsgericht "), canton), F.lit("Schweizer Gericht"))
 
 
-def references(text: Column, most: int = 10) -> Column:
-    """Cited articles of the Swiss act and of the GDPR, distinct, sorted, the first ones."""
+def references(text: Column, most: int = 10, whole_words: bool = True) -> Column:
+    """Cited articles of the Swiss act and of the GDPR, distinct, sorted, the first ones.
+
+    whole_words leaves longer abbreviations that begin like the act's, such as DSGVO, to the GDPR; without
+    it, they count for both.
+    """
     text = F.coalesce(text, F.lit(""))
-    own = F.transform(F.regexp_extract_all(text, F.lit(FLAGS + r"Art\.?\s*(\d+)\s+(?:DSG|FADP|LPD)"), F.lit(1)), lambda x: F.concat(F.lit("DSG Art. "), x))
+    pattern = FLAGS + r"Art\.?\s*(\d+)\s+(?:DSG|FADP|LPD)" + (r"\b" if whole_words else "")
+    own = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda x: F.concat(F.lit("DSG Art. "), x))
     return F.slice(F.sort_array(F.array_distinct(F.concat(own, gdpr_articles(text)))), 1, most)

@@ -28,7 +28,7 @@ def test_articles(spark, text, want):
     assert one(spark, text, legal.gdpr_articles) == want
 
 
-def test_sections(spark):
+def test_bdsg_sections(spark):
     assert one(spark, "§ 26 BDSG, § 26 Abs. 1 BDSG, §§ 31 bis 33 BDSG, §§ 9 bis 7 BDSG", legal.bdsg_sections) == ["§ 26 Abs. 1 BDSG", "§ 26 BDSG", "§ 31 BDSG", "§ 32 BDSG", "§ 33 BDSG"]
 
 
@@ -80,13 +80,16 @@ def test_sections(spark):
     got = one(spark, text, sections.sections)
     assert got.leitsatz == "Die Einwilligung muss freiwillig sein.\n\nMehr." and got.tenor.startswith("Die Klage wird") and got.tatbestand is None
     assert got.entscheidungsgruende == "Die Klage ist nicht begründet, weil\nnichts folgt."
-    assert one(spark, None, sections.sections) == (None,) * 4
+    assert one(spark, None, sections.sections) == (None, None, None, None, "unbekannt")
+    numbered = one(spark, "I. Sachverhalt und mehr\nDer Kläger verlangt Auskunft von ihr.\nII. Gründe\nEs besteht ein Anspruch auf Auskunft.\nIII. Kosten\nDie Kosten trägt die Beklagte.", sections.sections)
+    assert numbered.tatbestand == "und mehr\nDer Kläger verlangt Auskunft von ihr." and numbered.entscheidungsgruende == "Es besteht ein Anspruch auf Auskunft."
     head = one(spark, "OLG Hamm, 3 U 12/20, Urteil vom 15.03.2024", sections.head_data)
     assert (head.docket, head.date, head.court) == ("3 U 12/20", "15.03.2024", "OLG Hamm")
 
 
 def test_swiss(spark):
     assert one(spark, "Art. 8 DSG und Art. 6 DSGVO", swiss.references) == ["Art. 6 DSGVO", "DSG Art. 8"]
+    assert one(spark, "Art. 6 DSGVO", lambda c: swiss.references(c, whole_words=False)) == ["Art. 6 DSGVO", "DSG Art. 6"]
     none = F.lit(None).cast("string")
     assert one(spark, "Das Tribunal fédéral", lambda c: swiss.court_of(none, c, F.lit("ZH"))) == "Bundesgericht"
     assert one(spark, "nichts", lambda c: swiss.court_of(none, c, F.lit("ZH"))) == "Kantonsgericht ZH"

@@ -66,8 +66,12 @@ def found(text: Column, *patterns: str, flags: str = FLAGS) -> Column:
 
 
 def _groups(text: Column, pattern: str, n: int) -> Column:
-    """For each match an array of its groups."""
-    return F.arrays_zip(*(F.regexp_extract_all(text, F.lit(FLAGS + pattern), F.lit(k + 1)).alias(f"g{k}") for k in range(n)))
+    """For each match an array of its groups. The text is looked through once; groups are taken from the short matches."""
+
+    def parts(match: Column) -> Column:
+        return F.struct(*(F.regexp_extract(match, FLAGS + pattern, k + 1).alias(f"g{k}") for k in range(n)))
+
+    return F.transform(F.regexp_extract_all(text, F.lit(FLAGS + pattern), F.lit(0)), parts)
 
 
 def article_name(article: Column, paragraph: Column, letter: Column) -> Column:

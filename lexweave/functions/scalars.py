@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +21,11 @@ FINALITY = [
 ]
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value worked out once however often body names it."""
+    return F.get(F.transform(F.array(value), lambda x: body(x)), 0)
+
+
 def normalized(text: Column) -> Column:
     """Lower case, everything but word characters and blanks a blank, blanks squeezed, trimmed."""
     clean = F.regexp_replace(F.lower(text), r"(?U)[^\w\s]", " ")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexweave.functions.scalars import content_hash, court_code, normalized, source_priority
+from lexweave.operators.graph import components
 
 #: Least similarity of titles and of contents.
 TITLE_FROM, CONTENT_FROM = 0.85, 0.90
@@ -27,6 +28,75 @@ def groups_by_key(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.min("id").alias("first_id"), F.count("*").alias("n")).filter("n > 1")
 
 
+def members(df: DataFrame, *keys: str) -> DataFrame:
+    """(id, first_id, n) of the rows that agree in the keys with others: the group is its smallest id, no pairs are made."""
+    filled = F.lit(True)
+    for key in keys:
+        filled = filled & F.col(key).isNotNull()
+    groups = groups_by_key(df.filter(filled), *keys)
+    return df.join(groups, list(keys)).select("id", "first_id", "n")
+
+
+def similar_contents(docs: DataFrame, least: float = CONTENT_FROM, years: int = 1) -> DataFrame:
+    """(a, b, similarity) of docs (id, text, year) whose years are at most so many apart and whose word sets have a Jaccard similarity of ``least`` or more.
+
+    Texts are normalised. Of texts with equal sets in one year the smallest id stands for all, as
+    content_classes tells. The join is exact: similar sets share a word among the rarest
+    n - ceil(least * n) + 1 of each, so only these are joined, with length and position filters.
+    Texts without words have no pairs.
+    """
+    sets = docs.select("id", "year", F.array_distinct(F.filter(F.split(normalized(F.col("text")), " "), lambda w: w != "")).alias("words")).filter("size(words) > 0")
+    classes = sets.select("id", "year", F.sort_array("words").alias("words")).groupBy("year", "words").agg(F.min("id").alias("id"))
+    words = classes.select("id", F.explode("words").alias("word"))
+    often = words.groupBy("word").agg(F.count("*").alias("c"))
+    ranked = words.join(often, "word").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("c", "word"))).alias("s"))
+    ranked = classes.select("id", "year").join(ranked, "id").select("id", "year", F.transform("s", lambda x: x["word"]).alias("words"), F.size("s").alias("n"))
+    prefix = ranked.select("id", "year", "n", F.posexplode(F.slice("words", 1, F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9).cast("int") + 1)).alias("at", "word"))
+    share = least / (1 + least)
+    fits = f"l.word = r.word AND l.id < r.id AND abs(l.year - r.year) <= {years} AND least(l.n, r.n) >= {least} * greatest(l.n, r.n) - 1e-9 AND least(l.n - l.at, r.n - r.at) >= {share} * (l.n + r.n) - 1e-9"
+    pairs = prefix.alias("l").join(prefix.alias("r"), F.expr(fits)).select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
+    wide = pairs.join(ranked.select(F.col("id").alias("a"), F.col("words").alias("x")), "a").join(ranked.select(F.col("id").alias("b"), F.col("words").alias("y")), "b")
+    both = F.size(F.array_intersect("x", "y"))
+    found = wide.select("a", "b", (both / (F.size("x") + F.size("y") - both)).alias("similarity"))
+    return found.filter(F.col("similarity") >= least - 1e-9)
+
+
+def content_classes(docs: DataFrame) -> DataFrame:
+    """(id, first_id) of docs (id, text, year) with equal word sets in one year."""
+    words = F.sort_array(F.array_distinct(F.filter(F.split(normalized(F.col("text")), " "), lambda w: w != "")))
+    sets = docs.select("id", "year", F.xxhash64(words).alias("h"), F.sha2(F.array_join(words, " ").cast("binary"), 256).alias("digest"), F.size(words).alias("n")).filter("n > 0")
+    first = sets.groupBy("year", "digest").agg(F.min("id").alias("first_id"))
+    return sets.join(first, ["year", "digest"]).select("id", "first_id")
+
+
+def find_duplicates(df: DataFrame, text: str | None = None, days: int | None = 7) -> DataFrame:
+    """(a, b, kind) of decisions that may be one: exact, title and, with a text column, content.
+
+    Pairs are links, not all pairs of a group: every member of a group of one docket and court, of one
+    normalised title or of one content is linked with the group's first. A decision is never its own
+    duplicate. days leaves out exact links of dates further apart.
+    """
+    keyed = df.filter("case_number IS NOT NULL AND court IS NOT NULL")
+    order = Window.partitionBy("case_number", "court").orderBy(F.col("decision_date").asc_nulls_last(), "id")
+    apart = F.datediff("decision_date", F.lag("decision_date").over(order))
+    chained = keyed.select("id", F.lag("id").over(order).alias("a"), apart.alias("days")).filter("a IS NOT NULL")
+    near = F.lit(True) if days is None else F.coalesce(F.col("days") <= days, F.lit(True))
+    exact = chained.filter(near).select("a", F.col("id").alias("b"), F.lit("exact").alias("kind"))
+    kinds = df.select("id", "title", court_code(F.col("court")).alias("kind"), normalized(F.col("title")).alias("norm")).filter("kind IS NOT NULL AND norm <> ''")
+    same = members(kinds, "kind", "norm").filter("id <> first_id").select(F.col("first_id").alias("a"), F.col("id").alias("b"), F.lit("title").alias("kind"))
+    links = exact.unionByName(same).unionByName(title_pairs(df).select("a", "b", F.lit("title").alias("kind")))
+    if text:
+        docs = df.filter(F.col(text).isNotNull()).select("id", F.col(text).alias("text"), F.year("decision_date").alias("year"))
+        equal = content_classes(docs).filter("id <> first_id").select(F.col("first_id").alias("a"), F.col("id").alias("b"), F.lit("content").alias("kind"))
+        links = links.unionByName(equal).unionByName(similar_contents(docs).select("a", "b", F.lit("content").alias("kind")))
+    return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "kind").filter("a <> b").distinct()
+
+
+def grouped(links: DataFrame) -> DataFrame:
+    """(id, group) of what links (a, b, ...) connect, directly or through others."""
+    return components(links.select("a", "b"))
+
+
 def same_content(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(content_hash, first, n) of texts that agree in their normalised first 5,000 characters."""
     return docs.select(F.col(key).alias("k"), content_hash(F.col(text)).alias("content_hash")).groupBy("content_hash").agg(F.min("k").alias("first"), F.count("*").alias("n")).filter("n > 1")
@@ -58,9 +128,9 @@ def title_pairs(df: DataFrame, least: float = TITLE_FROM, rare: int = 3) -> Data
     return pairs.withColumn("similarity", similarity(F.col("x"), F.col("y"))).filter(F.col("similarity") >= least).select("a", "b", "similarity")
 
 
-def masters(df: DataFrame, *keys: str) -> DataFrame:
-    """Of each group of the keys the row whose source is preferred, ties by id."""
-    order = Window.partitionBy(*keys).orderBy(source_priority(F.col("source")).desc(), F.col("id"))
+def masters(df: DataFrame, *keys: str, by: Column | None = None) -> DataFrame:
+    """Of each group of the keys the row whose source is preferred, or for which ``by`` (its completeness, say) is largest; ties by id."""
+    order = Window.partitionBy(*keys).orderBy((source_priority(F.col("source")) if by is None else by).desc(), F.col("id"))
     return df.withColumn("__rank", F.row_number().over(order)).filter("__rank = 1").drop("__rank")
 
 

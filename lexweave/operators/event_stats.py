@@ -2,24 +2,83 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def nth_share(values: str, share: float) -> Column:
-    """The element at floor(n * share), from 0, of the sorted values: no interpolation."""
-    ordered = F.array_sort(F.collect_list(values))
-    return F.get(ordered, F.least(F.floor(F.size(ordered) * F.lit(share)), F.size(ordered) - 1).cast("int"))
+def performance(events: DataFrame, key: str = "component", value: str = "duration_ms") -> DataFrame:
+    """By component: durations' count, mean, upper median, 95th and 99th percentile, least and most.
+
+    A percentile is the element at floor(n * share), from 0, of the sorted values, without interpolation.
+    Values are counted first, and running counts over the distinct values find the elements, so that a
+    component's events are never gathered in one task.
+    """
+    counts = events.filter(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy(key).orderBy(value))
+    whole = counts.groupBy(key).agg(F.sum("c").alias("n"), F.round(F.sum(F.col(value) * F.col("c")) / F.sum("c"), 4).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"))
+    running = counts.select(key, value, upto.alias("upto")).join(F.broadcast(whole.select(key, "n")), key)
+
+    def at(share: float) -> Column:
+        return F.min(F.when(F.col("upto") > F.least(F.floor(F.col("n") * F.lit(share)), F.col("n") - 1), F.col(value)))
 
+    found = running.groupBy(key).agg(at(0.5).alias("median"), at(0.95).alias("p95"), at(0.99).alias("p99"))
+    return whole.join(found, key).select(key, "n", "mean", "median", "p95", "p99", "least", "most")
 
-def performance(events: DataFrame) -> DataFrame:
-    """By component: durations' count, mean, upper median, 95th and 99th percentile, least and most."""
-    return events.filter("duration_ms IS NOT NULL").groupBy("component").agg(
-        F.count("*").alias("n"), F.round(F.avg("duration_ms"), 4).alias("mean"), nth_share("duration_ms", 0.5).alias("median"), nth_share("duration_ms", 0.95).alias("p95"),
-        nth_share("duration_ms", 0.99).alias("p99"), F.min("duration_ms").alias("least"), F.max("duration_ms").alias("most"),
+
+def resource_summary(events: DataFrame) -> DataFrame:
+    """One row: count and mean of durations, their true median, and mean and maximum of memory and CPU over values that aren't 0."""
+    memory, cpu = F.nullif("memory_mb", F.lit(0.0)), F.nullif("cpu_percent", F.lit(0.0))
+    return events.filter("duration_ms IS NOT NULL").agg(
+        F.count("*").alias("n"), F.round(F.avg("duration_ms"), 4).alias("mean"), F.round(F.percentile("duration_ms", 0.5), 4).alias("median"),
+        F.round(F.avg(memory), 4).alias("memory_mean"), F.max(memory).alias("memory_most"), F.round(F.avg(cpu), 4).alias("cpu_mean"), F.max(cpu).alias("cpu_most"),
     )
 
 
+def troubled(events: DataFrame) -> DataFrame:
+    """Events that count as errors: of category error, or of high or critical priority."""
+    return events.filter((F.col("category") == "error") | F.col("priority").isin("high", "critical"))
+
+
+def error_rate(events: DataFrame, hours: float = 24) -> DataFrame:
+    """One row: how many events are troubled, how many an hour, and how many of them are critical."""
+    return troubled(events).agg(F.count("*").alias("errors"), F.round(F.count("*") / hours, 4).alias("per_hour"), F.count_if(F.col("priority") == "critical").alias("critical"))
+
+
+def critical_errors(events: DataFrame) -> DataFrame:
+    return events.filter("priority = 'critical'").select("event_id", "timestamp", "component", "error_type", "user_impact")
+
+
+#: Fixed values: (priority, category, title, condition of an event, more than so many of them).
+RECOMMENDATIONS = [
+    ("high", "performance", "Optimize Slow Operations", "duration_ms > 2000", 10),
+    ("critical", "reliability", "Reduce Error Rate", "priority IN ('high', 'critical')", 20),
+    ("medium", "resource_optimization", "Memory Usage Optimization", "memory_mb > 100", 5),
+]
+
+
+def recommendations(events: DataFrame) -> DataFrame:
+    """(priority, category, title, n) of the rules that enough events fulfil, from one pass."""
+    counts = events.agg(*(F.count_if(F.coalesce(F.expr(rule), F.lit(False))).alias(f"n{k}") for k, (*_, rule, _) in enumerate(RECOMMENDATIONS)))
+    rows = [F.struct(F.lit(p).alias("priority"), F.lit(c).alias("category"), F.lit(t).alias("title"), F.col(f"n{k}").alias("n"), F.lit(most).alias("most")) for k, (p, c, t, _, most) in enumerate(RECOMMENDATIONS)]
+    return counts.select(F.explode(F.array(*rows)).alias("r")).select("r.*").filter("n > most").drop("most")
+
+
+def newest(events: DataFrame, limit: int = 100) -> DataFrame:
+    return events.orderBy(F.desc("timestamp"), "event_id").limit(limit)
+
+
+def chosen(events: DataFrame, begin: datetime | None = None, end: datetime | None = None, component: str | None = None, category: str | None = None, priority: str | None = None) -> DataFrame:
+    """Events within a closed range of times, and of a component, category and priority, where given."""
+    for name, value in (("component", component), ("category", category), ("priority", priority)):
+        if value is not None:
+            events = events.filter(F.col(name) == value)
+    if begin is not None:
+        events = events.filter(F.col("timestamp") >= F.lit(begin).cast("timestamp_ntz"))
+    return events if end is None else events.filter(F.col("timestamp") <= F.lit(end).cast("timestamp_ntz"))
+
+
 def insights(performance_rows: DataFrame) -> DataFrame:
     """What is slow: (component, insight)."""
     rules = [(F.col("p95") > 2000, "high p95"), (F.col("mean") > 1000, "slow on average"), (F.col("most") > 10000, "very slow single operation")]
@@ -95,15 +154,54 @@ def issue_list(duration: Column, memory: Column, cpu: Column) -> Column:
     return F.array_compact(F.array(F.when(duration > 5000, "critical duration").when(duration > 1000, "slow"), F.when(memory > 500, "memory"), F.when(cpu > 80, "cpu")))
 
 
+# Words that make an event critical, and those that tell its impact, in order.
+CRITICAL_WORDS = ["error", "exception", "failed", "crash", "timeout", "security", "breach", "unauthorized", "injection", "performance", "slow", "degradation", "bottleneck"]
+IMPACT_WORDS = {
+    "high": ["payment", "checkout", "login", "signup", "billing", "critical", "critical_feature"],
+    "medium": ["search", "export", "dashboard", "report"],
+    "low": ["analytics", "logging", "cache", "background"],
+}
+COMPONENT_IMPACT = {"flask": "medium", "fastapi": "medium", "celery": "low", "database": "low"}
+BASE_SCORES = {"critical": 90, "high": 70, "medium": 50, "low": 30}
+EVENT_TYPES = {"performance": "performance_degradation", "security": "security_incident", "business": "business_metric", "user_experience": "user_action"}
+CRITICAL_MS = 5000
+
+
+def _has(text: Column, words: list[str]) -> Column:
+    out = F.lit(False)
+    for word in words:
+        out = out | text.contains(word)
+    return out
+
+
 def classified(events: DataFrame) -> DataFrame:
-    """Events with priority and score by the classifier's rules for impact, duration and errors."""
-    critical = F.lower("operation").rlike("crash|fatal|breach|corrupt") | (F.col("duration_ms") > 5000)
-    priority = (
-        F.when(critical, "critical")
-        .when(F.col("user_impact") == "high", "high")
-        .when((F.col("category") == "error") & (F.col("priority") == "info"), "medium")
-        .otherwise(F.col("priority"))
-    )
-    base = F.when(F.col("p") == "critical", 90).when(F.col("p") == "high", 70).when(F.col("p") == "medium", 50).when(F.col("p") == "low", 30).otherwise(10)
-    more = F.when(F.col("user_impact") == "high", 10).otherwise(0) + F.when(F.col("duration_ms") > 1000, 5).otherwise(0) + F.when(F.col("error_type").isNotNull(), 5).otherwise(0)
-    return events.withColumn("p", priority).select("event_id", F.col("p").alias("priority"), F.least(base + more, F.lit(100)).alias("score"))
+    """Events (event_id, message, endpoint, feature, component, priority, category, duration_ms, error_type, error_message) with their class.
+
+    That is user_impact, priority, category, event_type, tags, requires_analysis and score. Words of the
+    message come first, then impact, then durations, which make an event critical whatever it was, then
+    errors.
+    """
+    message = F.lower(F.coalesce("message", F.lit("")))
+    whole = F.concat_ws(" ", message, F.lower(F.coalesce("endpoint", F.lit(""))), F.lower(F.coalesce("feature", F.lit(""))))
+    impact, by_component = F.lit(None).cast("string"), F.lit("none")
+    for level, words in reversed(IMPACT_WORDS.items()):
+        impact = F.when(_has(whole, words), level).otherwise(impact)
+    for name, level in COMPONENT_IMPACT.items():
+        by_component = F.when(F.col("component") == name, level).otherwise(by_component)
+    alarming, slow = _has(message, CRITICAL_WORDS), F.coalesce(F.col("duration_ms") > CRITICAL_MS, F.lit(False))
+    wrong = (F.coalesce("error_type", F.lit("")) != "") | (F.coalesce("error_message", F.lit("")) != "")
+    flags = events.select("*", F.coalesce(impact, by_component).alias("__impact"), alarming.alias("__alarming"), slow.alias("__slow"), wrong.alias("__wrong"))
+    serious = F.col("__impact") == "high"
+    priority = F.when(F.col("__alarming") | F.col("__slow"), "critical").when(serious, "high").when(F.col("__wrong") & (F.col("priority") == "info"), "medium").otherwise(F.col("priority"))
+    category = F.when(F.col("__wrong"), "error").when(F.col("__slow"), "performance").otherwise(F.col("category"))
+    tags = F.array_compact(F.array(F.when(F.col("__alarming"), "critical_pattern"), F.when(serious, "business_critical"), F.when(F.col("__slow"), "performance_critical"), F.when(F.col("__wrong"), "error_analysis")))
+    out = flags.select("event_id", F.col("__impact").alias("user_impact"), priority.alias("priority"), category.alias("category"), tags.alias("tags"), (F.col("__alarming") | serious | F.col("__slow")).alias("requires_analysis"), "duration_ms", "error_type")
+    kind = F.lit("system_metric")
+    for name, event_type in EVENT_TYPES.items():
+        kind = F.when(F.col("category") == name, event_type).otherwise(kind)
+    kind = F.when((F.col("category") == "error") & (F.col("priority") == "critical"), "critical_error").otherwise(kind)
+    base = F.lit(10)
+    for name, points in BASE_SCORES.items():
+        base = F.when(F.col("priority") == name, points).otherwise(base)
+    more = F.when(F.col("user_impact") == "high", 10).otherwise(0) + F.when(F.col("duration_ms") > 1000, 5).otherwise(0) + F.when(F.coalesce("error_type", F.lit("")) != "", 5).otherwise(0)
+    return out.withColumns({"event_type": kind, "score": F.least(base + more, F.lit(100))}).drop("duration_ms", "error_type")

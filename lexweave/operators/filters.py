@@ -119,3 +119,17 @@ def export_row(df: DataFrame) -> DataFrame:
         yes("anonymization_applied").alias("anonymized"),
         yes("pdf_extracted").alias("pdf"),
     )
+
+
+#: The CSV export's columns, by the names of export_row and of the decisions.
+CSV_NAMES = {
+    "id": "ID", "case_number": "Aktenzeichen", "title": "Titel", "court": "Gericht", "date": "Datum", "articles": "DSGVO-Artikel",
+    "keywords": "Keywords", "headnote": "Leitsatz", "source": "Quelle", "source_url": "URL", "anonymized": "Anonymisiert",
+}
+
+
+def csv_row(df: DataFrame) -> DataFrame:
+    """The CSV export's columns under their own names; no address gives an empty one."""
+    url = F.coalesce(F.col("source_url"), F.lit("")) if "source_url" in df.columns else F.lit("")
+    rows = export_row(df).join(df.select("id", url.alias("source_url")), "id") if "source_url" in df.columns else export_row(df).withColumn("source_url", url)
+    return rows.select(*(F.col(name).alias(shown) for name, shown in CSV_NAMES.items()))

@@ -22,6 +22,7 @@ def query(sql: str | None = None) -> Callable:
     """Register a function of the views under its name, and its SQL over the same views."""
 
     def add(f: Callable[[Views], DataFrame]) -> Callable:
+        assert f.__name__ not in QUERIES, f.__name__
         QUERIES[f.__name__] = lambda spark, sf_dir: f(Views(spark, sf_dir))
         if sql:
             ORACLE_SQL[f.__name__] = VIEWS_SQL.rstrip() + (",\n" + sql.strip()[5:] if sql.strip().startswith("WITH ") else "\n" + sql.strip())
@@ -381,13 +382,6 @@ def event_issues(v):
     return v.events.select("event_id", F.array_join(event_stats.issue_list(F.col("duration_ms"), F.col("memory_mb"), F.col("cpu_percent")), "|").alias("issues"))
 
 
-@query("""WITH p AS (SELECT *, CASE WHEN duration_ms > 5000 THEN 'critical' WHEN user_impact = 'high' THEN 'high' WHEN category = 'error' AND priority = 'info' THEN 'medium' ELSE priority END AS p FROM event_log)
-  SELECT event_id, p AS priority, least(100, CASE p WHEN 'critical' THEN 90 WHEN 'high' THEN 70 WHEN 'medium' THEN 50 WHEN 'low' THEN 30 ELSE 10 END + CASE WHEN user_impact = 'high' THEN 10 ELSE 0 END
-    + CASE WHEN duration_ms > 1000 THEN 5 ELSE 0 END + CASE WHEN error_type IS NOT NULL THEN 5 ELSE 0 END) AS score FROM p""")
-def classified_events(v):
-    return event_stats.classified(v.events)
-
-
 # --- legal texts
 
 
@@ -441,9 +435,9 @@ def language_guess(v):
     return v.documents.select("doc_id", scalars.language(F.col("text")).alias("language"))
 
 
-@query("SELECT doc_id, sha256(text) AS text_hash FROM documents WHERE text <> ''")
+@query("SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN '' ELSE sha256(text) END AS text_hash FROM documents")
 def text_hashes(v):
-    return v.documents.filter("text <> ''").select("doc_id", scalars.text_hash(F.col("text")).alias("text_hash"))
+    return v.documents.select("doc_id", scalars.text_hash(F.col("text")).alias("text_hash"))
 
 
 @query(f"SELECT id, CASE {' '.join(f"WHEN contains(upper(court), '{c}') THEN '{c}'" for c in scalars.COURT_CODES)} END AS code FROM decisions")

@@ -134,16 +134,32 @@ def headline(text: Column, wanted: list[str], least: int = 25, most: int = 50) -
     return cut(text)
 
 
+def ranked(df: DataFrame, key: str, fields: dict[str, str], query: str) -> DataFrame:
+    """(key, relevance) of all matches."""
+    tree = parsed(query)
+    words = df.select(key, *(lexemes(F.col(c)).alias(c) for c in fields))
+    found = words.filter(matches(tree, F.concat(*fields)))
+    score = sum((rank(F.col(c), words_of(tree), CLASS_WEIGHTS[k]) for c, k in fields.items()), F.lit(0.0))
+    return found.select(key, F.least(score, F.lit(1.0)).alias("relevance"))
+
+
+def probe(df: DataFrame, key: str, fields: dict[str, str], query: str) -> DataFrame:
+    """One row: how many rows match, and their mean relevance."""
+    return ranked(df, key, fields, query).agg(F.count("*").alias("matches"), F.round(F.avg("relevance"), 6).alias("mean_relevance"))
+
+
 def search(df: DataFrame, key: str, fields: dict[str, str], query: str, limit: int = 20, offset: int = 0, dense: bool = False) -> DataFrame:
     """(key, relevance, snippet) of a page of matches, best first, ties by key.
 
-    Matching and ranking are native; snippets are cut for the page only.
+    Matching and ranking are native, on texts that are split once and that hold a wanted word at all;
+    snippets are cut for the page only.
     """
-    tree = parsed(query)
-    wanted = words_of(tree)
-    words = {c: lexemes(F.col(c)) for c in fields}
-    every = F.concat(*words.values())
-    found = df.filter(matches(tree, every))
-    score = cover_density(every, wanted) if dense else sum((rank(words[c], wanted, CLASS_WEIGHTS[k]) for c, k in fields.items()), F.lit(0.0))
-    top = found.withColumn("relevance", F.least(score, F.lit(1.0))).orderBy(F.desc("relevance"), key).offset(offset).limit(limit)
+    wanted = words_of(parsed(query))
+    if dense:
+        words = df.select(key, F.concat(*(lexemes(F.col(c)) for c in fields)).alias("words"))
+        scored = words.filter(matches(query, F.col("words"))).select(key, F.least(cover_density(F.col("words"), wanted), F.lit(1.0)).alias("relevance"))
+    else:
+        scored = ranked(df, key, fields, query)
+    page = scored.orderBy(F.desc("relevance"), key).offset(offset).limit(limit)
+    top = df.join(F.broadcast(page), key).orderBy(F.desc("relevance"), key)
     return top.select(key, "relevance", headline(F.col(next(iter(fields))), wanted).alias("snippet"))

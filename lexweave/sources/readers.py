@@ -58,6 +58,26 @@ def read_documents(spark: SparkSession, path: str, kind: str | None = None, sche
     return reader.parquet(path)
 
 
+# Elements of a EUR-Lex document, by the names of its columns.
+EURLEX = {"id": "CELEX_NUMBER", "title": "TITLE", "date": "DATE_DOCUMENT", "court": "AUTHOR", "legal_area": "SUBJECT_MATTER", "procedure_type": "PROCEDURE_TYPE"}
+
+
+def read_eurlex(spark: SparkSession, path: str) -> DataFrame:
+    """(source, id, title, date, court, legal_area, procedure_type, text) of the NOTICE and JUDGMENT elements that have a CELEX number.
+
+    A file is split where an element ends, so that large files are read by many tasks; texts are joined
+    by a blank, missing elements are null.
+    """
+    parts = []
+    for tag in ("NOTICE", "JUDGMENT"):
+        rows = spark.read.option("lineSep", f"</{tag}>").text(path).select(F.regexp_extract("value", rf"(?s)<{tag}[\s>].*", 0).alias("open")).filter("open <> ''")
+        xml = F.concat("open", F.lit(f"</{tag}>")).alias("xml")
+        fields = [F.nullif(F.call_function("xpath_string", "xml", F.lit(f"//{element}")), F.lit("")).alias(name) for name, element in EURLEX.items()]
+        texts = F.nullif(F.array_join(F.array_remove(F.call_function("xpath", "xml", F.lit("//TEXT/text()")), ""), " "), F.lit(""))
+        parts.append(rows.select(xml).select(F.lit("eurlex").alias("source"), *fields, texts.alias("text")))
+    return parts[0].unionByName(parts[1]).filter("id IS NOT NULL")
+
+
 def delimiter(spark: SparkSession, path: str) -> str:
     """The separator that the header has most of."""
     head = spark.read.text(path).limit(1).collect()

@@ -7,17 +7,18 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.operators.filters import export_row
+from lexweave.operators.filters import csv_row
 
 #: Rows of an export for people, at most.
 MOST_EXPORTED = 10_000
 
 
 def write_csv(df: DataFrame, path: str, order: str = "id") -> None:
-    """The CSV export: semicolons, a header, at most MOST_EXPORTED rows. Raises where there is nothing."""
-    rows = export_row(df.orderBy(order).limit(MOST_EXPORTED))
+    """The CSV export: a byte order mark, semicolons, a header, at most MOST_EXPORTED rows. Raises where there is nothing."""
+    rows = csv_row(df.orderBy(order).limit(MOST_EXPORTED))
     if rows.isEmpty():
         raise LookupError("nothing to export")
+    rows = rows.withColumnRenamed(rows.columns[0], "\ufeff" + rows.columns[0])
     rows.coalesce(1).write.mode("overwrite").option("sep", ";").option("header", True).csv(path)
 
 

@@ -105,3 +105,10 @@ def test_event_round_trip(spark, tmp_path):
     flat = readers.flat_events(spark.read.schema(EVENT).json(str(tmp_path / "log"))).first()
     assert (flat.id, flat.duration_ms, flat.error_type, flat.priority_score, flat.component) == ("1", 5.0, "E", 90, "c")
     assert sinks.kept_events(events, datetime(2024, 1, 20)).count() == 1 and sinks.kept_events(events, datetime(2024, 3, 1)).count() == 0
+
+
+def test_eurlex(spark, tmp_path):
+    path = tmp_path / "notices.xml"
+    path.write_text("<ALL>\n<NOTICE><CELEX_NUMBER>62019CJ1</CELEX_NUMBER><A><TITLE>T</TITLE></A><TEXT>eins</TEXT><TEXT>zwei</TEXT></NOTICE>\n<NOTICE><TITLE>ohne</TITLE></NOTICE>\n<JUDGMENT x='1'><CELEX_NUMBER>62020CJ2</CELEX_NUMBER><AUTHOR>CJEU</AUTHOR></JUDGMENT></ALL>")
+    got = {r.id: r for r in readers.read_eurlex(spark, str(path)).collect()}
+    assert set(got) == {"62019CJ1", "62020CJ2"} and got["62019CJ1"].title == "T" and got["62019CJ1"].text == "eins zwei" and got["62020CJ2"].court == "CJEU" and got["62020CJ2"].text is None

@@ -16,6 +16,8 @@ LOWER = UPPER.lower()
 
 #: A key with at least this share of all rows counts as hot; at most 1 / HOT_SHARE keys can.
 HOT_SHARE = 1 / 1000
+#: A key of fewer rows needs no treatment of its own, whatever its share.
+HOT_LEAST = 100
 
 _own_dir: dict[str, str] = {}
 
@@ -74,11 +76,11 @@ def lower_ascii(text: Column) -> Column:
 def hot_join(left: DataFrame, right: DataFrame, key: str, weight: str, total: int) -> DataFrame:
     """Inner join of left with right, which has one row per key and in ``weight`` the key's rows in left.
 
-    Keys with HOT_SHARE of all rows are joined by broadcast: as the weights sum up to ``total``,
+    Keys with HOT_SHARE of all rows, and HOT_LEAST at least, are joined by broadcast: as the weights sum up to ``total``,
     there are at most 1 / HOT_SHARE of them, whatever the input. The others take the usual shuffle.
     Both sides must be cheap to read twice (written tables).
     """
-    is_hot = F.col(weight) >= F.lit(max(2.0, total * HOT_SHARE))
+    is_hot = F.col(weight) >= F.lit(max(HOT_LEAST, total * HOT_SHARE))
     hot, cold = right.filter(is_hot), right.filter(~is_hot)
     keys = F.broadcast(hot.select(key))
     return left.join(F.broadcast(hot), key).unionByName(left.join(keys, key, "left_anti").join(cold, key))
@@ -96,8 +98,9 @@ def components(edges: DataFrame, name: str = "components", most: int = 60) -> Da
     now = saved(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
     for _ in range(most):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count_if(F.col("v") > F.col("u")).alias("above")).filter("above > 0").select("u", F.least("u", "m").alias("m"), "above")
+        # the centre of a large star has many edges: these aren't gathered in one task
+        large = hot_join(both.filter("v > u"), low, "u", "above", now.count()).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
             large.join(least, "u")

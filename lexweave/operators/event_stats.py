@@ -129,6 +129,17 @@ def baselines(events: DataFrame) -> DataFrame:
     return out.withColumn("anomaly", F.coalesce(odd, F.lit(False)))
 
 
+def baseline_percentiles(events: DataFrame) -> DataFrame:
+    """Each event with the upper median, the 95th and the 99th percentile of its last BASELINE_EVENTS durations, itself included."""
+    last = Window.partitionBy("component", "operation").orderBy("timestamp", "event_id").rowsBetween(1 - BASELINE_EVENTS, 0)
+    sorted_ = events.select("event_id", F.sort_array(F.collect_list("duration_ms").over(last)).alias("d"))
+
+    def at(share: float) -> Column:
+        return F.get("d", F.least(F.floor(F.size("d") * F.lit(share)), F.size("d") - 1).cast("int"))
+
+    return sorted_.select("event_id", at(0.5).alias("median"), at(0.95).alias("p95"), at(0.99).alias("p99"))
+
+
 def stepped(value: Column, *steps: tuple[float, int]) -> Column:
     """The penalty of the first limit that the value exceeds, else 0; limits from the largest."""
     out = F.lit(0)

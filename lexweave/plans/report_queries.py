@@ -67,6 +67,12 @@ def event_error_rate(v):
     return event_stats.error_rate(v.events)
 
 
+@query("""WITH d AS (SELECT event_id, list_sort(list(duration_ms) OVER (PARTITION BY component, operation ORDER BY timestamp, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)) AS d FROM event_log)
+  SELECT event_id, d[least(floor(len(d) * 0.5), len(d) - 1)::INT + 1] AS median, d[least(floor(len(d) * 0.95), len(d) - 1)::INT + 1] AS p95, d[least(floor(len(d) * 0.99), len(d) - 1)::INT + 1] AS p99 FROM d""")
+def event_baseline_percentiles(v):
+    return event_stats.baseline_percentiles(v.events)
+
+
 @query("SELECT event_id, timestamp, component, error_type, user_impact FROM event_log WHERE priority = 'critical'")
 def critical_events(v):
     return event_stats.critical_errors(v.events)

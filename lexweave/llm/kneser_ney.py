@@ -1,14 +1,17 @@
-"""Interpolated modified Kneser-Ney bigram model, counted in Spark and memory-mapped for scoring.
+"""Interpolated modified Kneser-Ney n-gram model, counted in Spark and memory-mapped for scoring.
 
-Spark counts words and pairs of words, sorts them by range and writes them as sorted arrays: the words'
-64-bit hashes, whose places are the words' numbers, and the pairs of numbers, 32 bits each. Workers
-map these files into memory and look sorted keys up, so that a lookup moves forward through the files
+Spark counts words and n-grams, sorts them by range and writes them as sorted arrays: the words' 64-bit
+hashes, whose places are the words' numbers, the pairs of numbers, 32 bits each, and the 64-bit hashes
+of longer n-grams' numbers. Workers map these files into memory and look sorted keys up, so that a lookup moves forward through the files
 and the operating system shares their pages among workers. The driver only sees the list of files and
 the sums that the discounts need (Chen and Goodman, 1999).
 
 P(w | v) = max(0, c(v w) - D) / c(v .) + g(v) * P1(w), where g(v) is the mass that discounting freed;
 P1 interpolates the continuation counts N1+(. w) in the same way with 1 / (V + 1), the share of any
-unknown word. A text is preceded by a start mark and followed by an end mark, which is predicted.
+unknown word. In a model of a higher order n, P(w | u) of the n - 1 words u before w interpolates raw
+counts of n-grams likewise with the next lower order, and all lower orders take the number of different
+words before an n-gram for its count. A text is preceded by n - 1 start marks and followed by an end
+mark, which is predicted.
 """
 
 from __future__ import annotations
@@ -22,15 +25,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexweave.llm import arrays
-from lexweave.llm.shared import saved, schema_with, shared_dir, small_batches
-from lexweave.llm.words import BLANKS, column, hashed
+from lexweave.llm.shared import forget, saved, schema_with, shared_dir, small_batches
+from lexweave.llm.words import BLANKS, column, hashed, pair
 
 #: The hash that stands for the end mark (no word has it but by chance).
 END = np.uint64(0x454E44)
+#: The order of the model where none is given.
+ORDER = 3
 #: Counts that a task gathers before it sends them on.
 GATHERED = 1 << 21
 
 
+@dataclass
+class Level:
+    """N-grams of three words or more."""
+
+    order: int
+    grams: arrays.Sorted  # by the hash of their words' numbers; value: count
+    contexts: arrays.Sorted  # by the hash of the numbers of all words but the last; values: g, sum of counts
+    discounts: tuple[float, float, float]
+
+
 @dataclass
 class Model:
     words: arrays.Sorted  # by hash; value: count
@@ -40,6 +55,7 @@ class Model:
     n_words: int
     unknown: float  # P1 of an unknown word
     discounts: tuple[float, float, float]
+    higher: list[Level]  # orders from 3 on
 
 
 class _Gather:
@@ -107,6 +123,72 @@ def _pairs(batches: Iterator[pa.RecordBatch], words: arrays.Sorted, n_words: int
     yield from gather.flush()
 
 
+def _windows(number: np.ndarray, bounds: np.ndarray, order: int, start: int) -> np.ndarray:
+    """A row for each token: the numbers of the order - 1 tokens before it, start marks where the text begins, and its own."""
+    place = np.arange(len(number)) - np.repeat(bounds[:-1], np.diff(bounds))
+    out = np.full((len(number), order), start, np.int64)
+    for back in range(order):
+        out[back:, order - 1 - back] = number[: len(number) - back]
+        out[place < back, order - 1 - back] = start
+    return out
+
+
+def _hashes(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of rows of numbers, and of the rows without their last number; -1 where a number is unknown (-1)."""
+    context = grams[:, 0].astype(np.uint64)
+    for k in range(1, grams.shape[1]):
+        before, context = context, pair(context, grams[:, k].astype(np.uint64))
+    lost = (grams < 0).cumsum(axis=1) > 0
+    return np.where(lost[:, -1], -1, context.view(np.int64)), np.where(lost[:, -2], -1, before.view(np.int64))
+
+
+def _grams(batches: Iterator[pa.RecordBatch], words: arrays.Sorted, order: int, start: int) -> Iterator[pa.RecordBatch]:
+    """(text) -> (w0, w1, ..., c), counts by run of texts"""
+    for batch in batches:
+        for _, tokens, bounds in hashed(column(batch, "text"), BLANKS):
+            tokens, bounds = _with_ends(tokens, bounds)
+            number, at = _numbers(words, tokens)
+            rows = _windows(number[at], bounds, order, start)
+            _, first, c = np.unique(_hashes(rows)[0], return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([*(pa.array(x.astype(np.int32)) for x in rows[first].T), pa.array(c)], [*_names(order), "c"])
+
+
+def _hashed_grams(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordBatch]:
+    """(w0, w1, ..., c) -> (key, context, c)"""
+    for batch in batches:
+        key, context = _hashes(np.stack([batch.column(x).to_numpy().astype(np.int64) for x in _names(order)], axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(context), batch.column("c")], ["key", "context", "c"])
+
+
+def _names(order: int) -> list[str]:
+    return [f"w{k}" for k in range(order)]
+
+
+def _level(counted: DataFrame, order: int, uri: str) -> Level:
+    """counted (w0, w1, ..., c), a written table, as sorted arrays of hashes."""
+    grams = counted.mapInArrow(lambda it: _hashed_grams(it, order), "key bigint, context bigint, c bigint")
+    c = F.col("c")
+    off = discounts(list(counted.agg(*(F.count_if(c == k) for k in (1, 2, 3, 4))).first()))
+    less = F.when(c >= 3, off[2]).when(c == 2, off[1]).otherwise(off[0])
+    contexts = saved(grams.groupBy("context").agg(F.sum(less).alias("freed"), F.sum(c).cast("double").alias("total")), "contexts")
+    by_context = _written(contexts.select("context", (F.col("freed") / F.col("total")).alias("g"), "total"), "context", {"g": "<f8", "total": "<f8"}, f"{uri}/contexts-{order}")
+    forget(contexts)
+    return Level(order, _written(grams, "key", {"c": "<i8"}, f"{uri}/grams-{order}"), by_context, off)
+
+
+def _higher(texts: DataFrame, words: arrays.Sorted, order: int, n_words: int, uri: str) -> tuple[list[Level], DataFrame]:
+    """The levels from ``order`` down to 3, and (key, c) of the pairs, whose c is the number of different words before them."""
+    kinds = ", ".join(f"{x} int" for x in _names(order))
+    counted = saved(texts.mapInArrow(lambda it: _grams(it, words, order, n_words), f"{kinds}, c bigint").groupBy(*_names(order)).agg(F.sum("c").alias("c")), "grams")
+    levels = []
+    for k in range(order, 2, -1):
+        levels.append(_level(counted, k, uri))
+        shorter = counted.groupBy(*(F.col(f"w{i + 1}").alias(f"w{i}") for i in range(k - 1))).agg(F.count("*").alias("c"))
+        longer, counted = counted, saved(shorter, "grams")
+        forget(longer)
+    return levels[::-1], counted.select((F.shiftleft(F.col("w0").cast("bigint"), 32) + F.col("w1")).alias("key"), "c")
+
+
 def _whole(batches: Iterator[pa.RecordBatch], columns: list[str]) -> list[np.ndarray]:
     """A partition's columns, which are fixed-width."""
     parts = [[batch.column(c).to_numpy(zero_copy_only=False) for c in columns] for batch in batches]
@@ -151,8 +233,10 @@ def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([before, after])), *(pa.array(np.concatenate([x, 0 * after]).astype(np.int64)) for x in sums), pa.array(np.concatenate([none, follows]))], _STATS)
 
 
-def fit(docs: DataFrame) -> Model:
-    """Count docs (text); null counts as empty. At most 2**31 distinct words."""
+def fit(docs: DataFrame, order: int = ORDER) -> Model:
+    """Count docs (text); null counts as empty. At most 2**31 distinct words; order is 2 at least."""
+    if order < 2:
+        raise ValueError("the order is 2 at least")
     uri = f"{shared_dir(docs.sparkSession)}/kneser-ney"
     texts = docs.select(F.col("text").cast("string").alias("text"))
     counted = saved(texts.mapInArrow(_words, "key bigint, c bigint").groupBy("key").agg(F.sum("c").alias("c")), "words")
@@ -160,9 +244,12 @@ def fit(docs: DataFrame) -> Model:
     words = _written(counted, "key", {"c": "<i8"}, f"{uri}/words")
     n_words = int(words.begin[-1])
     if not n_words:
-        return Model(words, arrays.Sorted([], ["<i8"]), arrays.Sorted([], ["<f8"] * 3), 0, 0, 1.0, (0.5, 1.0, 1.5))
+        return Model(words, arrays.Sorted([], ["<i8"]), arrays.Sorted([], ["<f8"] * 3), 0, 0, 1.0, (0.5, 1.0, 1.5), [])
 
-    pairs = texts.mapInArrow(lambda it: _pairs(it, words, n_words), "key bigint, c bigint").groupBy("key").agg(F.sum("c").alias("c"))
+    if order > 2:
+        higher, pairs = _higher(texts, words, order, n_words, uri)
+    else:
+        higher, pairs = [], texts.mapInArrow(lambda it: _pairs(it, words, n_words), "key bigint, c bigint").groupBy("key").agg(F.sum("c").alias("c"))
     pairs = saved(pairs.repartitionByRange("key").sortWithinPartitions("key"), "pairs")
     stats = pairs.mapInArrow(_count_pairs, ", ".join(f"{x} bigint" for x in _STATS)).groupBy("number").agg(*(F.sum(x).alias(x) for x in _STATS[1:]))
     stats = saved(stats, "word-stats")
@@ -174,7 +261,18 @@ def fit(docs: DataFrame) -> Model:
     first = F.greatest(F.lit(0.0), follows - F.when(follows >= 3, one[2]).when(follows == 2, one[1]).otherwise(one[0])) / F.lit(float(types)) + unknown
     freed = F.when(F.col("total") > 0, (two[0] * F.col("n1") + two[1] * F.col("n2") + two[2] * F.col("more")) / F.col("total")).otherwise(1.0)
     by_number = _written(stats.select("number", first.alias("p"), freed.alias("g"), F.col("total").cast("double").alias("total")), "number", {"p": "<f8", "g": "<f8", "total": "<f8"}, f"{uri}/stats")
-    return Model(words, _written(pairs, "key", {"c": "<i4"}, f"{uri}/pairs"), by_number, n_tokens, n_words, unknown, two)
+    return Model(words, _written(pairs, "key", {"c": "<i4"}, f"{uri}/pairs"), by_number, n_tokens, n_words, unknown, two, higher)
+
+
+def _interpolated(lower: np.ndarray, level: Level, keys: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+    """The probabilities of n-grams, given those of the next lower order; a context that training hasn't seen leaves these as they are."""
+    key, at = np.unique(keys, return_inverse=True)
+    c = level.grams.values(level.grams.find(key), 0)[at].astype(float)
+    context, at = np.unique(contexts, return_inverse=True)
+    found = level.contexts.find(context)
+    freed, total = (level.contexts.values(found, k, 1.0)[at] for k in (0, 1))
+    less = np.select([c >= 3, c == 2, c == 1], level.discounts[::-1], 0.0)
+    return (c - less) / total + freed * lower
 
 
 def _scored(text: pa.Array, model: Model) -> Iterator[list[np.ndarray]]:
@@ -193,6 +291,9 @@ def _scored(text: pa.Array, model: Model) -> Iterator[list[np.ndarray]]:
         c = model.pairs.values(model.pairs.find(key), 0)[place].astype(float)
         less = np.select([c >= 3, c == 2, c == 1], model.discounts[::-1], 0.0)
         p = (c - less) / np.maximum(total[before], 1) + freed[before] * p1[at]
+        for level in model.higher:
+            keys, contexts = _hashes(_windows(number[at], bounds, level.order, model.n_words))
+            p = _interpolated(p, level, keys, contexts)
         known = (number >= 0)[at]
         base = np.log10((count[at] + 1.0) / (model.n_tokens + model.n_words + 1.0))
         cut = bounds[:-1]

@@ -139,10 +139,51 @@ def test_kneser_ney(spark, table):
 
     assert sum(map(p1, one)) + unknown == pytest.approx(1)
     assert sum(p2("a", w) for w in one) + freed["a"] / sums["a"] * unknown == pytest.approx(1)
-    got = kneser_ney.score(docs, kneser_ney.fit(train)).orderBy("doc_id").collect()
+    got = kneser_ney.score(docs, kneser_ney.fit(train, 2)).orderBy("doc_id").collect()
     for r, (i, t) in zip(got, sorted(texts, key=lambda x: x[0]), strict=True):
         assert (r.doc_id, r.n_tokens, r.n_known, r.train_tokens) == (i, len(t), sum(w in one for w in t), total)
         assert r.base_score == pytest.approx(sum(math.log10((one[w] + 1) / (total + vocabulary + 1)) for w in t))
         assert r.score == pytest.approx(sum(math.log10(p2(v, w)) for v, w in zip([start, *t], t, strict=False)))
     assert kneser_ney.score(docs, kneser_ney.fit(table([]))).count() == len(rows)
     assert kneser_ney.score(table([]), kneser_ney.fit(train)).count() == 0
+
+
+@pytest.mark.parametrize("order", [3, 4])
+def test_kneser_ney_of_higher_order(spark, table, order):
+    """Every order's distribution sums up to 1, and all scores match counts of whole n-grams."""
+    rnd = random.Random(17)
+    rows = [(i, " ".join(rnd.choice("abcde") for _ in range(rnd.randrange(0, 40)))) for i in range(150)] + [(500, None), (501, "a b neu a b c d e"), (502, "a b " * 20000), (503, "neu")]
+    docs = table(rows)
+    start, end = "\0start", "\0end"
+    padded = [(i, [start] * (order - 1) + words(t) + [end]) for i, t in rows]
+    counts = {order: Counter()}
+    one = Counter()
+    for i, t in padded:
+        if i % 5 != 1:
+            one.update(t[order - 1 :])
+            counts[order].update(tuple(t[j - order + 1 : j + 1]) for j in range(order - 1, len(t)))
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(gram[1:] for gram in counts[k + 1])
+    off = {k: (0, *kneser_ney.discounts([sum(c == n for c in counts[k].values()) for n in (1, 2, 3, 4)])) for k in counts}
+    total, freed = Counter(), Counter()
+    for k in counts:
+        for gram, c in counts[k].items():
+            total[gram[:-1]] += c
+            freed[gram[:-1]] += off[k][min(c, 3)]
+
+    def p(gram):
+        """Of the last word after the others."""
+        lower = p(gram[1:]) if len(gram) > 1 else 1 / (len(one) + 1)
+        if gram[:-1] not in total:
+            return lower
+        c = counts[len(gram)].get(gram, 0)
+        return (c - off[len(gram)][min(c, 3)]) / total[gram[:-1]] + freed[gram[:-1]] / total[gram[:-1]] * lower
+
+    for context in [(start,) * (order - 1), ("a", "b", "c")[: order - 1]]:
+        assert sum(p((*context, w)) for w in [*one, "\0unknown"]) == pytest.approx(1)
+    got = kneser_ney.score(docs, kneser_ney.fit(docs.filter("doc_id % 5 <> 1"), order)).orderBy("doc_id").collect()
+    for r, (i, t) in zip(got, sorted(padded, key=lambda x: x[0]), strict=True):
+        want = sum(math.log10(p(tuple(t[j - order + 1 : j + 1]))) for j in range(order - 1, len(t)))
+        assert (r.doc_id, r.score) == (i, pytest.approx(want))
+    with pytest.raises(ValueError):
+        kneser_ney.fit(docs, 1)

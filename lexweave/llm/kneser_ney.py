@@ -261,7 +261,7 @@ def fit(docs: DataFrame, order: int = ORDER) -> Model:
     first = F.greatest(F.lit(0.0), follows - F.when(follows >= 3, one[2]).when(follows == 2, one[1]).otherwise(one[0])) / F.lit(float(types)) + unknown
     freed = F.when(F.col("total") > 0, (two[0] * F.col("n1") + two[1] * F.col("n2") + two[2] * F.col("more")) / F.col("total")).otherwise(1.0)
     by_number = _written(stats.select("number", first.alias("p"), freed.alias("g"), F.col("total").cast("double").alias("total")), "number", {"p": "<f8", "g": "<f8", "total": "<f8"}, f"{uri}/stats")
-    return Model(words, _written(pairs, "key", {"c": "<i4"}, f"{uri}/pairs"), by_number, n_tokens, n_words, unknown, two, higher)
+    return Model(words, _written(pairs, "key", {"c": "<i8"}, f"{uri}/pairs"), by_number, n_tokens, n_words, unknown, two, higher)
 
 
 def _interpolated(lower: np.ndarray, level: Level, keys: np.ndarray, contexts: np.ndarray) -> np.ndarray:

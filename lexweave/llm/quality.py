@@ -5,6 +5,8 @@ positives' loss, plus what unlabelled texts lose as negatives less the positives
 is kept from falling below 0. Texts known to be bad are never used. The class prior is the least ratio
 of unlabelled to positive texts above a threshold of a first classifier (Garg et al., 2021). Features
 are shares of characters, word and line statistics; each is cut into bins, and the model is additive.
+The bins' edges and the unlabelled texts' shares above the thresholds are counted over all texts; only
+the descents take samples of a documented size.
 """
 
 from __future__ import annotations
@@ -14,16 +16,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm.shared import saved, schema_with, small_batches
+from lexweave.llm.shared import forget, saved, schema_with, small_batches
 from lexweave.llm.words import BLANKS, column, hashed, pair
 
 #: Trusted positives, and unlabelled texts, to learn from: about so many at most, by a hash of doc_id.
 MOST_POSITIVE, MOST_UNLABELLED = 10_000, 20_000
 #: Bins of a feature, steps and step size of the descent, weight of the ridge penalty.
 BINS, STEPS, RATE, RIDGE = 12, 400, 0.05, 1e-4
+#: Values are counted in cells of OCTAVE to a power of two, from 2 ** LOWEST on; all lower ones share the first.
+LOWEST, OCTAVE, CELLS = -20, 256, 8192
 #: A text counts as good from this score on.
 GOOD_FROM = 0.3
 
@@ -119,60 +123,101 @@ def _descend(p: np.ndarray, u: np.ndarray, prior: float | None) -> tuple[np.ndar
     return w.reshape(k, BINS), float(b)
 
 
-def class_prior(p: np.ndarray, u: np.ndarray) -> float:
-    """The share of positives in u, from scores that a classifier of p against u gives to texts it hasn't seen."""
-    cuts = np.quantile(p, np.linspace(0.02, 0.9, 45))
-    share_p, share_u = ((x[None] >= cuts[:, None]).mean(1) for x in (p, u))
-    slack = np.sqrt(np.log(40) / 2) * (1 / np.sqrt(len(p)) + 1 / np.sqrt(len(u)))
+def class_prior(share_p: np.ndarray, share_u: np.ndarray, n_p: int, n_u: int) -> float:
+    """The share of positives in unlabelled texts, from the shares of both above some thresholds."""
+    slack = np.sqrt(np.log(40) / 2) * (1 / np.sqrt(n_p) + 1 / np.sqrt(n_u))
     best = np.argmin((share_u + slack) / np.maximum(share_p, 1e-9))
     return float(np.clip(share_u[best] / share_p[best], 0.05, 0.99))
 
 
-def learn(p: np.ndarray, u: np.ndarray, prior: float | None = None) -> Model:
-    """Fit on features of positives and of unlabelled texts."""
-    both = np.concatenate([p, u])
-    edges = np.sort(np.quantile(both, np.linspace(0, 1, BINS + 1)[1:-1], axis=0).T, 1)
-    cp, cu = _cells(p, edges), _cells(u, edges)
-    if prior is None:
-        weights, bias = _descend(cp[::2], cu[::2], None)
-        first = Model(edges, weights, bias, 0.5)
-        prior = class_prior(first.margin(p[1::2]), first.margin(u[1::2]))
-    weights, bias = _descend(cp, cu, prior)
-    return Model(edges, weights, bias, prior)
+def _share(name: str, n: int, most: int) -> tuple[Column, int]:
+    """A number below 1,000,000 for each row, and the number below which about ``most`` of n rows lie."""
+    return F.pmod(F.xxhash64("doc_id", F.lit(name)), F.lit(1_000_000)), int(min(1.0, most / max(1, n)) * 1_000_000)
+
+
+def _rows(x: pa.Array) -> np.ndarray:
+    return x.flatten().to_numpy().reshape(-1, N_FEATURES)
+
+
+def _collected(rows: DataFrame) -> np.ndarray:
+    """The features of a bounded sample."""
+    return _rows(rows.select("x").toArrow().column("x").combine_chunks())
+
 
+def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text) -> (doc_id, x)"""
+    for batch in batches:
+        x = features(batch.column("text"))
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, N_FEATURES, dtype=np.int32)), pa.array(x.ravel()))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], ["doc_id", "x"])
 
-def _sample(docs: DataFrame, most: int, salt: str) -> DataFrame:
-    share = min(1.0, most / max(1, docs.count()))
-    return docs.filter(F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1_000_000)) < int(share * 1_000_000))
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(x) -> (cell, c): how many values of each feature fall into each cell"""
+    counts = np.zeros(N_FEATURES * CELLS, np.int64)
+    for batch in batches:
+        # a float's exponent and the first 8 bits of its fraction
+        cell = (_rows(batch.column("x")).astype(np.float32).view(np.int32) >> 15) - (127 + LOWEST) * OCTAVE
+        counts += np.bincount((np.clip(cell, 0, CELLS - 1) + np.arange(N_FEATURES) * CELLS).ravel(), minlength=len(counts))
+    cell = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(counts[cell])], ["cell", "c"])
 
-def _collected(texts: DataFrame) -> np.ndarray:
-    """The features of a bounded sample's texts."""
+
+def _edges(every: DataFrame) -> np.ndarray:
+    """The bins' edges: quantiles of every feature over all texts, at the lower ends of their cells."""
+    found = every.select("x").mapInArrow(_counted, "cell bigint, c bigint").groupBy("cell").agg(F.sum("c").alias("c")).toPandas()
+    counts = np.zeros(N_FEATURES * CELLS)
+    counts[found["cell"].to_numpy()] = found["c"].to_numpy()
+    sums = counts.reshape(N_FEATURES, CELLS).cumsum(1)
+    at = np.stack([np.searchsorted(own, own[-1] * np.linspace(0, 1, BINS + 1)[1:-1]) for own in sums])
+    low = ((at + (127 + LOWEST) * OCTAVE) << 15).astype(np.int32).view(np.float32).astype(float)
+    return np.where(at > 0, low, 0.0)
+
+
+def _above(every: DataFrame, model: Model, cuts: np.ndarray) -> tuple[np.ndarray, int]:
+    """The shares of texts whose margin is a cut at least, and the number of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(len(cuts) + 1, np.int64)
         for batch in batches:
-            x = features(column(batch, "text"))
-            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary())], ["x"])
+            margin = np.sort(model.margin(_rows(batch.column("x"))))
+            counts += np.append(len(margin) - np.searchsorted(margin, cuts), len(margin))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(counts))), pa.array(counts)], ["cut", "c"])
 
-    rows = texts.select("text").mapInArrow(run, "x binary").toArrow().column("x")
-    return np.frombuffer(b"".join(rows.to_pylist()), float).reshape(-1, N_FEATURES)
+    found = every.select("x").mapInArrow(run, "cut bigint, c bigint").groupBy("cut").agg(F.sum("c").alias("c")).orderBy("cut").collect()
+    n = found[-1].c if found else 0
+    return np.array([r.c for r in found[:-1]]) / max(1, n), n
 
 
 def fit(docs: DataFrame, labels: DataFrame, held_out: str = "crc32(cast(doc_id as string)) % 5 = 0", most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED) -> Model:
     """Learn from docs (doc_id, text), of which labels (doc_id, quality) name trusted ones: quality 1 and not held_out.
 
-    Unlabelled texts are a sample of docs whose labels aren't looked at. Without positives, the model
-    gives every text 0.5.
+    Unlabelled texts are docs whose labels aren't looked at: the edges and the prior take them all, the
+    descents about most_unlabelled of them. Null texts count as empty. Without four positives and four
+    texts, the model gives every text 0.5.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    every = saved(docs.mapInArrow(_featured, "doc_id bigint, x array<double>"), "quality-features")
     trusted = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).dropna()
     trusted = trusted.filter(f"NOT ({held_out})").groupBy("doc_id").agg(F.min("quality").alias("quality")).filter("quality > 0").select("doc_id")
-    trusted = _sample(trusted, most_positive, "positive")
-    p = _collected(saved(docs.join(F.broadcast(trusted), "doc_id"), "quality-positive"))
-    u = _collected(saved(_sample(docs, most_unlabelled, "unlabelled"), "quality-unlabelled"))
-    if len(p) < 4 or len(u) < 4:
+    lot, most = _share("positive", trusted.count(), most_positive)
+    p = _collected(every.join(F.broadcast(trusted.filter(lot < most)), "doc_id"))
+    lot, most = _share("unlabelled", every.count(), most_unlabelled)
+    u, rest = _collected(every.filter(lot < most // 2)), _collected(every.filter((lot >= most // 2) & (lot < most)))
+    if len(p) < 4 or len(u) < 2 or len(rest) < 2:
+        forget(every)
         return Model(np.zeros((N_FEATURES, BINS - 1)), np.zeros((N_FEATURES, BINS)), 0.0, 0.5)
-    return learn(p, u)
+
+    edges = _edges(every)
+    cp, cu = _cells(p, edges), _cells(u, edges)
+    first = Model(edges, *_descend(cp[::2], cu, None), 0.5)
+    # texts that the first classifier hasn't seen
+    margins = first.margin(p[1::2])
+    cuts = np.quantile(margins, np.linspace(0.02, 0.9, 45))
+    share_u, n_u = _above(every.filter(lot >= most // 2), first, cuts)
+    prior = class_prior((margins[None] >= cuts[:, None]).mean(1), share_u, len(margins), n_u)
+    forget(every)
+    return Model(edges, *_descend(cp, np.concatenate([cu, _cells(rest, edges)]), prior), prior)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

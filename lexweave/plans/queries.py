@@ -282,11 +282,11 @@ def insert_if_absent(v):
     return duplicates.absent(new, old, "case_number", "source").select("id")
 
 
-@query("""WITH o AS (SELECT id, title, quality_score FROM decisions WHERE id::BIGINT % 2 = 0), w AS (SELECT id, 'neu' AS title, quality_score + 1 AS quality_score FROM decisions WHERE id::BIGINT % 3 = 0)
+@query("""WITH o AS (SELECT id, title, quality_score FROM decisions WHERE quality_score <= 4), w AS (SELECT id, 'neu' AS title, quality_score + 1 AS quality_score FROM decisions WHERE quality_score >= 3)
   SELECT coalesce(o.id, w.id) AS id, CASE WHEN o.id IS NULL THEN w.title ELSE o.title END AS title, coalesce(w.quality_score, o.quality_score) AS quality_score FROM o FULL JOIN w ON o.id = w.id""")
 def upsert(v):
-    old = v.decisions.filter("cast(id as bigint) % 2 = 0").select("id", "title", "quality_score")
-    new = v.decisions.filter("cast(id as bigint) % 3 = 0").select("id", F.lit("neu").alias("title"), (F.col("quality_score") + 1).alias("quality_score"))
+    old = v.decisions.filter("quality_score <= 4").select("id", "title", "quality_score")
+    new = v.decisions.filter("quality_score >= 3").select("id", F.lit("neu").alias("title"), (F.col("quality_score") + 1).alias("quality_score"))
     return duplicates.upserted(old, new, ("id",), ("quality_score",))
 
 

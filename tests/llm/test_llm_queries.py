@@ -8,7 +8,7 @@ from lexweave.llm import queries
 
 
 def test_names():
-    assert {re.match(r"op\d+_", name)[0] for name in queries.QUERIES} == {f"op{n}_" for n in range(1, 11)}
+    assert {re.match(r"op\d+_", name)[0] for name in queries.QUERIES} == {f"op{n}_" for n in range(1, 14)}
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
 
 

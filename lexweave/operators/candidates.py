@@ -91,4 +91,9 @@ def reevaluated(stored: DataFrame, candidates: DataFrame) -> DataFrame:
 
 def hits(df: DataFrame, matching: Column) -> DataFrame:
     """(total): how many rows match, whatever the page."""
-    return df.filter(matching).agg(F.count("*").alias("total"))
+    return total(df.filter(matching))
+
+
+def total(found: DataFrame) -> DataFrame:
+    """(total) of what a search found."""
+    return found.agg(F.count("*").alias("total"))

@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import difflib
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexweave.functions.scalars import content_hash, court_code, normalized, source_priority
 from lexweave.operators.graph import components
+from lexweave.operators.titles import title_pairs
 
-#: Least similarity of titles and of contents.
-TITLE_FROM, CONTENT_FROM = 0.85, 0.90
+#: Fixed value: least similarity of contents.
+CONTENT_FROM = 0.90
 
 
 def exact_pairs(df: DataFrame, days: int | None = None) -> DataFrame:
@@ -102,32 +100,6 @@ def same_content(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return docs.select(F.col(key).alias("k"), content_hash(F.col(text)).alias("content_hash")).groupBy("content_hash").agg(F.min("k").alias("first"), F.count("*").alias("n")).filter("n > 1")
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """Ratcliff-Obershelp similarity of two texts, on Arrow batches."""
-
-    @F.pandas_udf("double")
-    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([difflib.SequenceMatcher(None, p or "", q or "").ratio() for p, q in zip(x, y, strict=True)])
-
-    return ratio(a, b)
-
-
-def title_pairs(df: DataFrame, least: float = TITLE_FROM, rare: int = 3) -> DataFrame:
-    """(a, b, similarity), a < b: decisions of one court type whose titles are similar.
-
-    Candidates share one of a title's rarest words in the court type, or its whole normalised form.
-    """
-    rows = df.select("id", "title", court_code(F.col("court")).alias("kind"), normalized(F.col("title")).alias("norm")).filter("kind IS NOT NULL AND norm <> ''")
-    titles = rows.groupBy("kind", "norm").agg(F.min("id").alias("id"), F.min("title").alias("title"))  # equal titles once
-    words = titles.select("kind", "id", "title", F.explode(F.array_distinct(F.split("norm", " "))).alias("word"))
-    often = words.groupBy("kind", "word").agg(F.count("*").alias("c"))
-    order = Window.partitionBy("kind", "id").orderBy("c", "word")
-    keys = words.join(often, ["kind", "word"]).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= rare)
-    pairs = keys.alias("l").join(keys.alias("r"), F.expr("l.kind = r.kind AND l.word = r.word AND l.id < r.id"))
-    pairs = pairs.select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), F.col("l.title").alias("x"), F.col("r.title").alias("y")).distinct()
-    return pairs.withColumn("similarity", similarity(F.col("x"), F.col("y"))).filter(F.col("similarity") >= least).select("a", "b", "similarity")
-
-
 def masters(df: DataFrame, *keys: str, by: Column | None = None) -> DataFrame:
     """Of each group of the keys the row whose source is preferred, or for which ``by`` (its completeness, say) is largest; ties by id."""
     order = Window.partitionBy(*keys).orderBy((source_priority(F.col("source")) if by is None else by).desc(), F.col("id"))

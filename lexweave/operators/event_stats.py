@@ -4,36 +4,30 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexweave.operators.ordered import order_statistics, over_last_rows, over_last_seconds
+
 
 def performance(events: DataFrame, key: str = "component", value: str = "duration_ms") -> DataFrame:
     """By component: durations' count, mean, upper median, 95th and 99th percentile, least and most.
 
-    A percentile is the element at floor(n * share), from 0, of the sorted values, without interpolation.
-    Values are counted first, and running counts over the distinct values find the elements, so that a
-    component's events are never gathered in one task.
+    A percentile is the element at floor(n * share), from 0, of the sorted values, without interpolation;
+    order_statistics finds it without gathering a component's events in one task.
     """
-    counts = events.filter(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("c"))
-    upto = F.sum("c").over(Window.partitionBy(key).orderBy(value))
-    whole = counts.groupBy(key).agg(F.sum("c").alias("n"), F.round(F.sum(F.col(value) * F.col("c")) / F.sum("c"), 4).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"))
-    running = counts.select(key, value, upto.alias("upto")).join(F.broadcast(whole.select(key, "n")), key)
-
-    def at(share: float) -> Column:
-        return F.min(F.when(F.col("upto") > F.least(F.floor(F.col("n") * F.lit(share)), F.col("n") - 1), F.col(value)))
-
-    found = running.groupBy(key).agg(at(0.5).alias("median"), at(0.95).alias("p95"), at(0.99).alias("p99"))
-    return whole.join(found, key).select(key, "n", "mean", "median", "p95", "p99", "least", "most")
+    found = order_statistics(events, [key], value, {"median": 0.5, "p95": 0.95, "p99": 0.99}, mean=F.round(F.avg(value), 4), least=F.min(value), most=F.max(value))
+    return found.select(key, "n", "mean", "median", "p95", "p99", "least", "most")
 
 
 def resource_summary(events: DataFrame) -> DataFrame:
     """One row: count and mean of durations, their true median, and mean and maximum of memory and CPU over values that aren't 0."""
     memory, cpu = F.nullif("memory_mb", F.lit(0.0)), F.nullif("cpu_percent", F.lit(0.0))
-    return events.filter("duration_ms IS NOT NULL").agg(
-        F.count("*").alias("n"), F.round(F.avg("duration_ms"), 4).alias("mean"), F.round(F.percentile("duration_ms", 0.5), 4).alias("median"),
-        F.round(F.avg(memory), 4).alias("memory_mean"), F.max(memory).alias("memory_most"), F.round(F.avg(cpu), 4).alias("cpu_mean"), F.max(cpu).alias("cpu_most"),
+    found = order_statistics(
+        events, [], "duration_ms", {"low": 0.5 - 1e-9, "high": 0.5 + 1e-9}, lambda n, share: F.floor((n - (1 if share < 0.5 else 0)) / 2),
+        mean=F.round(F.avg("duration_ms"), 4), memory_mean=F.round(F.avg(memory), 4), memory_most=F.max(memory), cpu_mean=F.round(F.avg(cpu), 4), cpu_most=F.max(cpu),
     )
+    return found.select("n", "mean", F.round((F.col("low") + F.col("high")) / 2, 4).alias("median"), "memory_mean", "memory_most", "cpu_mean", "cpu_most")
 
 
 def troubled(events: DataFrame) -> DataFrame:
@@ -123,16 +117,16 @@ def baselines(events: DataFrame) -> DataFrame:
 
     An event is one if its duration is above the mean by more than two deviations, with LEAST_EVENTS or more.
     """
-    last = Window.partitionBy("component", "operation").orderBy("timestamp", "event_id").rowsBetween(1 - BASELINE_EVENTS, 0)
-    out = events.select("event_id", "component", "operation", "duration_ms", F.avg("duration_ms").over(last).alias("mean"), F.stddev_samp("duration_ms").over(last).alias("deviation"), F.count("duration_ms").over(last).alias("seen"))
+    rows = events.select("event_id", "component", "operation", "timestamp", "duration_ms")
+    out = over_last_rows(rows, ["component", "operation"], "timestamp", "event_id", last=BASELINE_EVENTS, mean=F.avg("duration_ms"), deviation=F.stddev_samp("duration_ms"), seen=F.count("duration_ms"))
     odd = (F.col("seen") >= LEAST_EVENTS) & (F.col("mean") != 0) & (F.col("duration_ms") > F.col("mean") + 2 * F.col("deviation"))
-    return out.withColumn("anomaly", F.coalesce(odd, F.lit(False)))
+    return out.drop("timestamp").withColumn("anomaly", F.coalesce(odd, F.lit(False)))
 
 
 def baseline_percentiles(events: DataFrame) -> DataFrame:
     """Each event with the upper median, the 95th and the 99th percentile of its last BASELINE_EVENTS durations, itself included."""
-    last = Window.partitionBy("component", "operation").orderBy("timestamp", "event_id").rowsBetween(1 - BASELINE_EVENTS, 0)
-    sorted_ = events.select("event_id", F.sort_array(F.collect_list("duration_ms").over(last)).alias("d"))
+    rows = events.select("event_id", "component", "operation", "timestamp", "duration_ms")
+    sorted_ = over_last_rows(rows, ["component", "operation"], "timestamp", "event_id", last=BASELINE_EVENTS, d=F.collect_list("duration_ms")).select("event_id", F.sort_array("d").alias("d"))
 
     def at(share: float) -> Column:
         return F.get("d", F.least(F.floor(F.size("d") * F.lit(share)), F.size("d") - 1).cast("int"))
@@ -156,8 +150,8 @@ def performance_score(duration: Column, mean: Column, memory: Column, cpu: Colum
 
 def recent_requests(events: DataFrame, key: str = "user_id", seconds: int = 60, most: int = 60) -> DataFrame:
     """Each event with how many its key had in the seconds before, itself included, and whether that is allowed."""
-    before = Window.partitionBy(key).orderBy(F.unix_micros(F.col("timestamp").cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)
-    return events.select("event_id", key, F.count("*").over(before).alias("requests")).withColumn("allowed", F.col("requests") <= most)
+    rows = over_last_seconds(events.select("event_id", key, "timestamp"), [key], "timestamp", seconds, requests=F.count("*"))
+    return rows.select("event_id", key, "requests", (F.col("requests") <= most).alias("allowed"))
 
 
 def issue_list(duration: Column, memory: Column, cpu: Column) -> Column:

@@ -165,6 +165,10 @@ def facets(matched: DataFrame, top: int = 10) -> DataFrame:
     return counted.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).drop("rank")
 
 
-def suggestions(df: DataFrame, start: str, top: int = 10) -> DataFrame:
-    """Different keywords that begin with start, in any case."""
-    return df.select(F.explode("keywords").alias("keyword")).filter(F.lower("keyword").startswith(start.lower())).distinct().orderBy("keyword").limit(top)
+def suggestions(df: DataFrame, start: str, top: int = 10, articles: int = 5) -> DataFrame:
+    """Different keywords that begin with start, in any case; where start speaks of articles, the most cited ones as well."""
+    found = df.select(F.explode("keywords").alias("keyword")).filter(F.lower("keyword").startswith(start.lower())).distinct().orderBy("keyword").limit(top)
+    if "art" in start.lower():
+        cited = element_count(df, "gdpr_articles", "keyword", articles).select("keyword")
+        found = found.unionByName(cited).distinct()
+    return found.orderBy("keyword").limit(top)

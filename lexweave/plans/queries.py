@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexweave import stages
 from lexweave.functions import anonymise, derived, legal, scalars, sections, swiss
-from lexweave.operators import crawls, duplicates, event_stats, filters, stats
+from lexweave.operators import crawls, duplicates, event_stats, filters, stats, titles
 from lexweave.plans.views import VIEWS_SQL, Views
-from lexweave.search import index
+from lexweave.search import index, stems
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -25,7 +27,10 @@ def query(sql: str | None = None) -> Callable:
         assert f.__name__ not in QUERIES, f.__name__
         QUERIES[f.__name__] = lambda spark, sf_dir: f(Views(spark, sf_dir))
         if sql:
-            ORACLE_SQL[f.__name__] = VIEWS_SQL.rstrip() + (",\n" + sql.strip()[5:] if sql.strip().startswith("WITH ") else "\n" + sql.strip())
+            own = sql.strip()
+            views = VIEWS_SQL.replace("WITH ", "WITH RECURSIVE ", 1) if own.startswith("WITH RECURSIVE ") else VIEWS_SQL
+            own = own.removeprefix("WITH RECURSIVE ").removeprefix("WITH ")
+            ORACLE_SQL[f.__name__] = views.rstrip() + ("\n" if own == sql.strip() else ",\n") + own
         return f
 
     return add
@@ -249,6 +254,12 @@ def suggestions(v):
     return stats.suggestions(v.decisions, "b")
 
 
+@query("""SELECT DISTINCT keyword FROM ((SELECT DISTINCT keyword FROM (SELECT unnest(keywords) AS keyword FROM decisions) WHERE starts_with(lower(keyword), 'art') ORDER BY 1 LIMIT 10) UNION ALL
+  (SELECT article FROM (SELECT unnest(gdpr_articles) AS article FROM decisions) GROUP BY article ORDER BY count(*) DESC, article LIMIT 5)) ORDER BY 1 LIMIT 10""")
+def suggestions_with_articles(v):
+    return stats.suggestions(v.decisions, "Art")
+
+
 # --- duplicates
 
 
@@ -304,7 +315,16 @@ def same_content(v):
 
 @query()
 def similar_titles(v):
-    return duplicates.title_pairs(v.decisions)
+    return titles.title_pairs(v.decisions)
+
+
+@query(rf"""WITH k AS (SELECT id, CASE {' '.join(f"WHEN contains(upper(court), '{c}') THEN '{c}'" for c in scalars.COURT_CODES)} END AS kind, trim(regexp_replace(regexp_replace(lower(title), '[^\p{{L}}\p{{M}}\p{{N}}_\s]', ' ', 'g'), '\s+', ' ', 'g')) AS norm FROM decisions),
+  t AS (SELECT kind, norm, min(id) AS id, length(norm) AS n FROM k WHERE kind IS NOT NULL AND norm <> '' GROUP BY kind, norm),
+  c AS (SELECT kind, id, n, s, count(*) AS m FROM (SELECT kind, id, n, unnest(string_split(norm, '')) AS s FROM t) GROUP BY ALL)
+  SELECT l.id AS a, r.id AS b, sum(least(l.m, r.m))::BIGINT AS shared FROM c l JOIN c r ON l.kind = r.kind AND l.s = r.s AND l.id < r.id GROUP BY l.id, r.id, l.n, r.n HAVING 200 * sum(least(l.m, r.m)) >= 85 * (l.n + r.n)""")
+def title_bags(v):
+    """Pairs of titles that share enough signs to be similar: all that the exact join has to compare."""
+    return titles.bag_pairs(titles.distinct_titles(v.decisions)).select("a", "b", F.col("shared").cast("long").alias("shared"))
 
 
 # --- events
@@ -547,19 +567,85 @@ def crawl_progress(v):
 
 # --- search
 
+_INDEXES: dict[tuple, index.PostingsIndex] = {}
+
+
+def stored_index(v, name: str, rows: DataFrame, key: str, fields: dict[str, str], stem: Callable | None = None) -> index.PostingsIndex:
+    """The stored index of a view of this folder's tables, written once in a session as long as their files stay as they are."""
+    app, tables = v.spark.sparkContext.applicationId, sorted(rows.inputFiles())
+    changed = max((str(v.spark.read.parquet(*tables).agg(F.max("_metadata.file_modification_time")).first()[0]),), default="")
+    known = (app, name, *tables, changed)
+    if known not in _INDEXES:
+        table = f"{name}_{uuid.uuid4().hex}"
+        made = index.PostingsIndex(v.spark, table, key, fields, stem, path=f"{stages.folder(v.spark)}/{table}")
+        made.append(rows)
+        _INDEXES[known] = made
+    return _INDEXES[known]
+
+
+def text_index(v) -> index.PostingsIndex:
+    return stored_index(v, "texts", v.documents.select("doc_id", "text"), "doc_id", {"text": "C"})
+
 
 @query(r"""WITH w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents)
   SELECT doc_id FROM w WHERE (list_contains(w, 'the') AND NOT list_contains(w, 'of')) OR list_contains(w, 'nicht')""")
 def search_matches(v):
-    return v.documents.filter(index.matches("(the & !of) | nicht", index.lexemes(F.col("text")))).select("doc_id")
+    return text_index(v).find("the & !of | nicht").select("doc_id")
 
 
 @query(r"""WITH w AS (SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS lexeme FROM documents)
   SELECT lexeme, count(DISTINCT doc_id) AS docs, count(*) AS n FROM w GROUP BY lexeme""")
 def lexeme_counts(v):
-    return index.postings(v.documents.select("doc_id", "text"), "doc_id", {"text": "C"}).groupBy("lexeme").agg(F.countDistinct("doc_id").alias("docs"), F.sum(F.size("positions")).cast("long").alias("n"))
+    return text_index(v).table("postings").groupBy("lexeme").agg(F.count_distinct("doc_id").alias("docs"), F.sum(F.size("positions")).cast("long").alias("n"))
 
 
-@query()
+RANKED_SQL = r"""WITH w AS (SELECT doc_id, text, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+  n AS (SELECT doc_id, text, len(list_filter(w, lambda x: x = 'the')) AS a, len(list_filter(w, lambda x: x = 'was')) AS b FROM w),
+  r AS (SELECT doc_id, text, least(1.0, %s * ((1 - pow(2.0, -a)) + (1 - pow(2.0, -b))) / 2) AS relevance FROM n WHERE a > 0 AND b > 0)""" % index.CLASS_WEIGHTS["C"]
+
+
+@query(rf"""{RANKED_SQL},
+  t AS (SELECT doc_id, relevance, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS w FROM r ORDER BY relevance DESC, doc_id LIMIT 20),
+  m AS (SELECT *, list_transform(w, lambda x: regexp_replace(lower(x), '[^\p{{L}}\p{{N}}]', '', 'g')) AS p FROM t),
+  a AS (SELECT *, greatest(0, least(coalesce(list_min(list_filter([list_position(p, 'the'), list_position(p, 'was')], lambda x: x > 0)), 1) - 1 - 12, len(w) - 50)) AS start FROM m),
+  s AS (SELECT doc_id, relevance, w[start + 1 : start + 50] AS w, p[start + 1 : start + 50] AS p FROM a),
+  e AS (SELECT *, greatest(coalesce(list_max(list_filter(range(1, len(w) + 1), lambda i: len(p[i]) > 3)), 0), least(len(w), 25)) AS n FROM s)
+  SELECT doc_id, round(relevance, 6) AS relevance, array_to_string(list_transform(range(1, n + 1), lambda i: CASE WHEN p[i] IN ('the', 'was') THEN '<mark>' || w[i] || '</mark>' ELSE w[i] END), ' ') AS snippet FROM e""")
 def search_ranked(v):
-    return index.search(v.documents.select("doc_id", "text"), "doc_id", {"text": "C"}, "the & was", limit=20)
+    return index.search(text_index(v), v.documents, "text", "the & was").withColumn("relevance", F.round("relevance", 6))
+
+
+@query("""WITH m AS (SELECT *, CASE WHEN leitsatz IS NULL THEN 1 / 3.0 ELSE 0.4 END AS relevance FROM decisions WHERE title LIKE '%URGENT%' AND (leitsatz IS NULL OR leitsatz <> 'Leitsatz 7' AND tenor IS DISTINCT FROM 'Tenor 7' AND title NOT LIKE 'Entscheidung 7 %'))
+  SELECT id, title, court, decision_date, coalesce(tenor, title || '...') AS snippet, relevance, array_to_string(coalesce(gdpr_articles, []), '|') AS gdpr_articles, source, NULL::VARCHAR AS source_url FROM m ORDER BY relevance DESC, id LIMIT 20""")
+def search_results(v):
+    """A page with all fields, by German stems: Entscheidungen finds Entscheidung, a word of a field may be forbidden, and titles stand in for missing texts."""
+    fields = {"title": "A", "leitsatz": "B", "tenor": "C"}
+    found = stored_index(v, "decisions", v.decisions.select("id", *fields), "id", fields, stems.stemmed)
+    page = found.page("Entscheidungen & URGENT & !leitsatz | Urgent & Entscheidung & Leitsätze & !7", among=v.decisions)
+    return index.results(page, v.decisions, "id", "tenor", "Entscheidungen & Urgent", stems.stemmed).withColumn("gdpr_articles", F.array_join("gdpr_articles", "|"))
+
+
+_V, _C = stems.VOWELS, f"[^{stems.VOWELS}]"
+_MARK = "x"
+for _sign in "uuyy":  # twice, as matches may touch
+    _MARK = f"regexp_replace({_MARK}, '([{_V}]){_sign}([{_V}])', '\\1{_sign.upper()}\\2', 'g')"
+
+
+@query(rf"""WITH l AS (SELECT DISTINCT unnest(list_filter(string_split_regex(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')) AS lexeme FROM documents),
+  m AS (SELECT lexeme, {_MARK.replace('(x,', "(replace(lexeme, 'ß', 'ss'),")} AS w FROM l),
+  r AS (SELECT *, length(regexp_extract(w, '^(?:{_C}*[{_V}]+{_C})', 0)) AS a, length(regexp_extract(w, '^(?:{_C}*[{_V}]+{_C}){{2}}', 0)) AS b FROM m),
+  p AS (SELECT lexeme, w, greatest(3, CASE WHEN a > 0 THEN a ELSE length(w) END) AS r1, CASE WHEN b > 0 THEN b ELSE length(w) END AS r2, regexp_extract(w, '(ern|em|er|en|es|e|s)$', 1) AS e FROM r),
+  q AS (SELECT *, left(w, length(w) - length(e)) AS h FROM p),
+  s AS (SELECT lexeme, r1, r2, CASE WHEN e = '' OR length(h) < r1 THEN w WHEN e IN ('em', 'ern', 'er') THEN h WHEN e = 's' THEN CASE WHEN regexp_matches(h, '[{stems.BEFORE_S}]$') THEN h ELSE w END WHEN ends_with(h, 'niss') THEN left(h, length(h) - 1) ELSE h END AS w FROM q),
+  t AS (SELECT *, regexp_extract(w, '(est|en|er|st)$', 1) AS e FROM s),
+  u AS (SELECT *, left(w, length(w) - length(e)) AS h FROM t),
+  x AS (SELECT lexeme, r1, r2, CASE WHEN e = '' OR length(h) < r1 THEN w WHEN e <> 'st' OR regexp_matches(h, '...[{stems.BEFORE_ST}]$') THEN h ELSE w END AS w FROM u),
+  y AS (SELECT *, regexp_extract(w, '(isch|lich|heit|keit|end|ung|ig|ik)$', 1) AS e FROM x),
+  z AS (SELECT *, left(w, length(w) - length(e)) AS h, length(w) - length(e) AS n FROM y),
+  o AS (SELECT lexeme, CASE WHEN e = '' OR n < r2 THEN w WHEN e IN ('end', 'ung') THEN CASE WHEN regexp_matches(h, '[^e]ig$') AND n - 2 >= r2 THEN left(h, n - 2) ELSE h END
+    WHEN e IN ('ig', 'ik', 'isch') THEN CASE WHEN ends_with(h, 'e') THEN w ELSE h END WHEN e = 'keit' THEN CASE WHEN ends_with(h, 'lich') AND n - 4 >= r2 THEN left(h, n - 4) WHEN ends_with(h, 'ig') AND n - 2 >= r2 THEN left(h, n - 2) ELSE h END
+    WHEN regexp_matches(h, '(er|en)$') AND n - 2 >= r1 THEN left(h, n - 2) ELSE h END AS w FROM z)
+  SELECT lexeme, translate(w, 'UYäöü', 'uyaou') AS stem FROM o""")
+def stemmed_words(v):
+    """The German stem of each different word of all texts."""
+    return text_index(v).frequencies().select("lexeme", stems.stemmed(F.col("lexeme")).alias("stem"))

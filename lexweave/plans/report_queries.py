@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lexweave.functions import anonymise, derived, legal, pages, scalars, sections, swiss
 from lexweave.operators import candidates, crawls, duplicates, event_stats
-from lexweave.plans.queries import AS_OF, query
+from lexweave.plans.queries import AS_OF, RANKED_SQL, query, text_index
 from lexweave.search import index
 
 _TS = "TIMESTAMP '2001-08-01'"
@@ -53,6 +53,18 @@ def linked_groups(v):
     return duplicates.grouped(duplicates.find_duplicates(v.decisions))
 
 
+@query(r"""WITH RECURSIVE s AS (SELECT doc_id AS id, 2000 + doc_id % 4 AS year, list_sort(list_distinct(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{M}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g')), ' '), lambda x: x <> ''))) AS w FROM documents),
+  p AS (SELECT l.id AS a, r.id AS b, len(list_intersect(l.w, r.w)) AS k, len(l.w) + len(r.w) AS n FROM s l JOIN s r ON l.id <> r.id AND abs(l.year - r.year) <= 1 AND len(l.w) > 0 AND len(r.w) > 0 AND 10 * least(len(l.w), len(r.w)) >= 9 * greatest(len(l.w), len(r.w))),
+  e AS MATERIALIZED (SELECT a, b FROM p WHERE 10 * k >= 9 * (n - k)),
+  f(id, reached) AS (SELECT a, a FROM e UNION SELECT f.id, e.b FROM f JOIN e ON e.a = f.reached)
+  SELECT id, min(reached) AS "group" FROM f GROUP BY id""")
+def content_groups(v):
+    """Documents of alike contents, directly or through others, by content links alone."""
+    docs = _dated_texts(v)
+    same = duplicates.content_classes(docs).filter("id <> first_id").select(F.col("first_id").alias("a"), F.col("id").alias("b"))
+    return duplicates.grouped(same.unionByName(duplicates.similar_contents(docs).select("a", "b")))
+
+
 # --- events
 
 
@@ -214,7 +226,7 @@ def filter_pass_rates(v):
 
 @query(r"""WITH w AS (SELECT list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents) SELECT count(*) AS total FROM w WHERE list_contains(w, 'the') OR list_contains(w, 'nicht')""")
 def search_total(v):
-    return candidates.hits(v.documents, index.matches("the | nicht", index.lexemes(F.col("text"))))
+    return candidates.total(text_index(v).find("the | nicht"))
 
 
 # --- tokens
@@ -355,19 +367,14 @@ def cpu_states(v):
     return v.events.select("event_id", scalars.resource_status(F.col("cpu_percent"), 70, 90).alias("cpu"))
 
 
-_RANKED_SQL = r"""WITH w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
-  n AS (SELECT doc_id, len(list_filter(w, lambda x: x = 'the')) AS a, len(list_filter(w, lambda x: x = 'was')) AS b FROM w),
-  r AS (SELECT doc_id, least(1.0, %s * ((1 - pow(2.0, -a)) + (1 - pow(2.0, -b))) / 2) AS relevance FROM n WHERE a > 0 AND b > 0)""" % index.CLASS_WEIGHTS["C"]
-
-
-@query(f"{_RANKED_SQL} SELECT doc_id, round(relevance, 6) AS relevance FROM r")
+@query(f"{RANKED_SQL} SELECT doc_id, round(relevance, 6) AS relevance FROM r")
 def search_relevance(v):
-    return index.ranked(v.documents, "doc_id", {"text": "C"}, "the & was").withColumn("relevance", F.round("relevance", 6))
+    return text_index(v).find("the & was").withColumn("relevance", F.round("relevance", 6))
 
 
-@query(f"{_RANKED_SQL} SELECT count(*) AS matches, round(avg(relevance), 6) AS mean_relevance FROM r")
+@query(f"{RANKED_SQL} SELECT count(*) AS matches, round(avg(relevance), 6) AS mean_relevance FROM r")
 def search_probe(v):
-    return index.probe(v.documents, "doc_id", {"text": "C"}, "the & was")
+    return index.probe(text_index(v), "the & was")
 
 
 _TAGS_SQL = "text"

@@ -1,90 +1,167 @@
-"""Boolean full-text search: lexemes, postings, matching, ranks and snippets."""
+"""Full-text search on a stored index: lexemes, postings, matching, ranks and snippets.
+
+A query is a list of alternatives, each with the words that it wants and those that it forbids. The index
+is a table of postings bucketed and sorted by lexeme, so a query reads the buckets of its words only; no
+text is read but those of the page that is shown.
+"""
 
 from __future__ import annotations
 
 import re
+import uuid
+from collections.abc import Callable
+from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexweave.functions.scalars import let
+
 #: Weights of a field's class, as in common full-text engines.
 CLASS_WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2, "D": 0.1}
 DEFAULT_QUERY = "datenschutz"
+_BETWEEN = r"[^\p{L}\p{N}]+"
 
 
 def lexemes(text: Column) -> Column:
     """Lower-cased words in order, without stop words or stemming."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda x: x != "")
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), _BETWEEN), lambda x: x != "")
 
 
-def cleaned(query: str) -> str:
-    """The query with AND, OR, NOT as signs and without other signs; words without an operator are all meant."""
-    query = re.sub(r"(?:^|\s)NOT\s", " !", re.sub(r"\sOR\s", " | ", re.sub(r"\sAND\s", " & ", query)))
-    query = re.sub(r"\s+", " ", re.sub(r"[^\w\s&|!()\-]", " ", query)).strip()
-    return query or DEFAULT_QUERY
+@dataclass(frozen=True)
+class Alternative:
+    """All wanted words and none of the forbidden ones."""
 
+    wanted: tuple[str, ...]
+    forbidden: tuple[str, ...] = ()
 
-def parsed(query: str) -> tuple:
-    """A tree of ("and" | "or", left, right), ("not", tree) and ("word", w); words side by side are and."""
-    tokens = re.findall(r"[&|!()]|[^\s&|!()]+", cleaned(query))
 
-    def either(i: int) -> tuple[tuple, int]:
-        left, i = both(i)
-        while i < len(tokens) and tokens[i] == "|":
-            right, i = both(i + 1)
-            left = ("or", left, right)
-        return left, i
+def alternatives(query: str) -> list[Alternative]:
+    """The alternatives of a query with the signs & | ! or the words AND OR NOT.
 
-    def both(i: int) -> tuple[tuple, int]:
-        left, i = one(i)
-        while i < len(tokens) and tokens[i] not in "|)":
-            right, i = one(i + 1 if tokens[i] == "&" else i)
-            left = ("and", left, right)
-        return left, i
+    Other signs are blanks, and words side by side are all meant. A word with inner signs is all its
+    lexemes. A query without words means DEFAULT_QUERY.
+    """
+    for name, sign in (("AND", "&"), ("OR", "|"), ("NOT", "!")):
+        query = re.sub(rf"(^|\s){name}(?=\s)", rf"\1{sign}", query)
+    found = []
+    for part in re.sub(r"[^\w\s&|!-]", " ", query).split("|"):
+        words = [(bool(no), w) for no, word in re.findall(r"(!?)\s*([^\s&|!]+)", part) for w in re.split(r"[\W_]+", word.lower()) if w]
+        if words:
+            found.append(Alternative(*(tuple(dict.fromkeys(w for no, w in words if no == forbidden)) for forbidden in (False, True))))
+    return found or [Alternative((DEFAULT_QUERY,))]
 
-    def one(i: int) -> tuple[tuple, int]:
-        if i >= len(tokens) or tokens[i] in "&|)":
-            raise ValueError("the query lacks a word")
-        if tokens[i] == "!":
-            tree, i = one(i + 1)
-            return ("not", tree), i
-        if tokens[i] == "(":
-            tree, i = either(i + 1)
-            return tree, i + 1
-        return ("word", tokens[i].lower()), i + 1
 
-    return either(0)[0]
+def wanted_words(query: list[Alternative]) -> list[str]:
+    return list(dict.fromkeys(w for a in query for w in a.wanted))
 
 
-def words_of(tree: tuple) -> list[str]:
-    """The words that a match may have, in order."""
-    if tree[0] == "word":
-        return [tree[1]]
-    return [] if tree[0] == "not" else list(dict.fromkeys(words_of(tree[1]) + words_of(tree[2])))
+def _all_words(query: list[Alternative]) -> list[str]:
+    return list(dict.fromkeys(w for a in query for w in (*a.wanted, *a.forbidden)))
 
 
-def matches(query: str | tuple, words: Column) -> Column:
+def matches(query: str | list[Alternative], words: Column) -> Column:
     """Whether an array of lexemes fits the query."""
-    tree = parsed(query) if isinstance(query, str) else query
-    if tree[0] == "word":
-        return F.array_contains(words, tree[1])
-    if tree[0] == "not":
-        return ~matches(tree[1], words)
-    a, b = matches(tree[1], words), matches(tree[2], words)
-    return a & b if tree[0] == "and" else a | b
+    fits = F.lit(False)
+    for a in alternatives(query) if isinstance(query, str) else query:
+        one = F.lit(True)
+        for word in a.wanted:
+            one = one & F.array_contains(words, word)
+        for word in a.forbidden:
+            one = one & ~F.array_contains(words, word)
+        fits = fits | one
+    return fits
 
 
-def postings(df: DataFrame, key: str, fields: dict[str, str]) -> DataFrame:
-    """The inverted index (lexeme, key, weight class, positions from 1) of the fields with their classes."""
+def postings(df: DataFrame, key: str, fields: dict[str, str], stem: Callable[[Column], Column] | None = None) -> DataFrame:
+    """The inverted index (lexeme, key, weight class, positions from 1) of the fields with their classes; array fields are joined by blanks."""
+    arrays = {f.name for f in df.schema.fields if f.dataType.typeName() == "array"}
+
     def arm(column: str, kind: str) -> Column:
-        return F.transform(lexemes(F.col(column)), lambda w, i: F.struct(w.alias("lexeme"), (i + 1).alias("at"), F.lit(kind).alias("weight")))
+        text = F.array_join(column, " ") if column in arrays else F.col(column)
+        return F.transform(lexemes(text), lambda w, i: F.struct(w.alias("lexeme"), (i + 1).alias("at"), F.lit(kind).alias("weight")))
 
     arms = F.flatten(F.array(*(arm(c, kind) for c, kind in fields.items())))
     rows = df.select(key, F.explode(arms).alias("p")).select(key, "p.*")
+    if stem:
+        rows = rows.withColumn("lexeme", stem(F.col("lexeme")))
     return rows.groupBy("lexeme", key, "weight").agg(F.sort_array(F.collect_list("at")).alias("positions"))
 
 
+class PostingsIndex:
+    """A stored index of the ``fields`` (with their classes) of rows named by ``key``.
+
+    Its tables are postings (lexeme, key, weight, positions, batch), bucketed and sorted by lexeme,
+    counts (lexeme, docs, batch) and documents (key, batch), in the warehouse or below ``path``. With
+    ``stem``, words of texts and queries are compared by their stems.
+    """
+
+    def __init__(self, spark: SparkSession, name: str, key: str, fields: dict[str, str], stem: Callable[[Column], Column] | None = None, buckets: int | None = None, path: str | None = None):
+        self.spark, self.name, self.key, self.fields, self.stem, self.path = spark, name, key, fields, stem, path
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def _append(self, rows: DataFrame, part: str, by: str) -> None:
+        writer = rows.write.format("parquet").bucketBy(self.buckets, by).sortBy(by).mode("append")
+        (writer.option("path", f"{self.path}/{part}") if self.path else writer).saveAsTable(f"{self.name}_{part}")
+        self.spark.catalog.refreshTable(f"{self.name}_{part}")
+
+    def table(self, part: str) -> DataFrame:
+        return self.spark.table(f"{self.name}_{part}")
+
+    def append(self, df: DataFrame, batch: str | None = None) -> None:
+        """Add the rows of df, whose keys the index must not have yet. A batch that the index holds whole is passed over."""
+        batch = batch or uuid.uuid4().hex
+        known = self.spark.catalog.tableExists(f"{self.name}_documents")
+        if known and not self.table("documents").filter(F.col("batch") == batch).isEmpty():
+            return
+        rows = postings(df, self.key, self.fields, self.stem).withColumn("batch", F.lit(batch))
+        self._append(rows.repartition(self.buckets, "lexeme"), "postings", "lexeme")
+        counts = self.table("postings").filter(F.col("batch") == batch).groupBy("lexeme").agg(F.count_distinct(self.key).alias("docs"), F.lit(batch).alias("batch"))
+        self._append(counts, "counts", "lexeme")
+        self._append(df.select(self.key, F.lit(batch).alias("batch")), "documents", self.key)  # last: it marks the batch as whole
+
+    def frequencies(self, *words: str) -> DataFrame:
+        """(lexeme, docs): how many documents have each word, of all words where none is named."""
+        counts = self.table("counts")
+        return (counts.filter(F.col("lexeme").isin(*words)) if words else counts).groupBy("lexeme").agg(F.sum("docs").alias("docs"))
+
+    def _stemmed(self, query: list[Alternative]) -> list[Alternative]:
+        if not self.stem:
+            return query
+        words = _all_words(query)
+        rows = self.spark.createDataFrame([(w,) for w in words], "w string").select("w", self.stem(F.col("w"))).collect()
+        stems = dict(map(tuple, rows))
+        return [Alternative(*(tuple(dict.fromkeys(stems[w] for w in ws)) for ws in (a.wanted, a.forbidden))) for a in query]
+
+    def find(self, query: str | list[Alternative], dense: bool = False) -> DataFrame:
+        """(key, relevance) of all documents that match.
+
+        A document is judged by its postings of the query's words alone, gathered by key. An alternative
+        that only forbids words is looked up among all documents.
+        """
+        query = self._stemmed(alternatives(query) if isinstance(query, str) else query)
+        wanted, words = wanted_words(query), _all_words(query)
+        weight = F.lit(0.0)
+        for kind, value in CLASS_WEIGHTS.items():
+            weight = F.when(F.col("weight") == kind, value).otherwise(weight)
+        counted = F.when(F.col("lexeme").isin(*wanted), weight * (1 - F.pow(F.lit(2.0), -F.size("positions")))).otherwise(0.0) if wanted else F.lit(0.0)
+        rows = self.table("postings").filter(F.col("lexeme").isin(*words))
+        places = F.sort_array(F.flatten(F.collect_list(F.when(F.col("lexeme").isin(*wanted), F.transform("positions", lambda p: F.struct(p.alias("at"), F.col("lexeme").alias("word"))))))) if dense and wanted else F.lit(None)
+        hits = rows.groupBy(self.key).agg(F.collect_set("lexeme").alias("have"), F.sum(counted).alias("score"), places.alias("places"))
+        if any(not a.wanted for a in query):
+            hits = self.table("documents").select(self.key).join(hits, self.key, "left").withColumns({"have": F.coalesce("have", F.array().cast("array<string>")), "score": F.coalesce("score", F.lit(0.0))})
+        hits = hits.filter(matches(query, F.col("have")))
+        score = cover_density(F.col("places"), wanted) if dense and wanted else F.col("score") / max(1, len(wanted))
+        return hits.select(self.key, F.least(score, F.lit(1.0)).alias("relevance"))
+
+    def page(self, query: str | list[Alternative], limit: int = 20, offset: int = 0, dense: bool = False, among: DataFrame | None = None) -> DataFrame:
+        """(key, relevance) of a page of matches, best first, ties by key; ``among`` (key) leaves others out."""
+        found = self.find(query, dense)
+        if among is not None:
+            found = found.join(among.select(self.key), self.key, "left_semi")
+        return found.orderBy(F.desc("relevance"), self.key).offset(offset).limit(limit)
+
+
 def rank(words: Column, wanted: list[str], weight: float) -> Column:
     """Weighted term frequency that saturates for each word: w * (1 - 2 ** -n), over the words' mean."""
     def times(word: str) -> Column:
@@ -97,69 +174,76 @@ def rank(words: Column, wanted: list[str], weight: float) -> Column:
     return total / max(1, len(wanted))
 
 
-def cover_density(words: Column, wanted: list[str]) -> Column:
-    """Cover density (Clarke, Cormack and Tudhope, 2000), r / (r + 1): the shorter a stretch with all words, the more it counts."""
+def cover_density(places: Column, wanted: list[str]) -> Column:
+    """Cover density (Clarke, Cormack and Tudhope, 2000), r / (r + 1), of sorted places array<struct<at, word>>.
 
-    @F.pandas_udf("double")
-    def density(column: pd.Series) -> pd.Series:
-        def one(tokens) -> float:
-            need, last, total, begin = set(wanted), {}, 0.0, -1
-            for i, t in enumerate(tokens):
-                if t in need:
-                    last[t] = i
-                    if len(last) == len(need) and min(last.values()) > begin:
-                        begin = min(last.values())
-                        total += 1.0 / (i - begin + 1)
-            return total / (total + 1)
+    Each shortest stretch with all wanted words adds one over its length: one fold over the places, which
+    keeps where each word stood last.
+    """
+    numbers = F.create_map(*(x for i, w in enumerate(wanted) for x in (F.lit(w), F.lit(i))))
+    start = F.struct(F.array(*[F.lit(0)] * len(wanted)).alias("last"), F.lit(0).alias("begin"), F.lit(0.0).alias("total"))
 
-        return column.map(one)
+    def add(state: Column, place: Column) -> Column:
+        last = F.transform(state["last"], lambda x, i: F.when(i == numbers[place["word"]], place["at"]).otherwise(x))
 
-    return density(words)
+        def cover(last: Column) -> Column:
+            low = F.array_min(last)
+            new = low > state["begin"]  # 0 until all words were seen
+            return F.struct(last.alias("last"), F.when(new, low).otherwise(state["begin"]).alias("begin"), F.when(new, state["total"] + F.lit(1.0) / (place["at"] - low + 1)).otherwise(state["total"]).alias("total"))
 
+        return let(last, cover)
 
-def headline(text: Column, wanted: list[str], least: int = 25, most: int = 50) -> Column:
-    """A stretch of the text around the first wanted word, with wanted words marked. For a page of results."""
+    total = F.aggregate(places, start, add, lambda s: s["total"])
+    return total / (total + 1)
 
-    @F.pandas_udf("string")
-    def cut(column: pd.Series) -> pd.Series:
-        def one(x: str | None) -> str:
-            words = (x or "").split()
-            plain = [re.sub(r"[^\w]+", "", w).lower() for w in words]
-            at = next((i for i, w in enumerate(plain) if w in wanted), 0)
-            start = max(0, min(at - (most - least) // 2, len(words) - most))
-            return " ".join(f"<mark>{w}</mark>" if p in wanted else w for w, p in zip(words[start : start + most], plain[start : start + most], strict=True))
 
-        return column.map(one)
+def headline(text: Column, wanted: list[str], least: int = 25, most: int = 50, short: int = 3, stem: Callable[[Column], Column] | None = None) -> Column:
+    """A stretch of the text around the first wanted word, with wanted words marked.
 
-    return cut(text)
+    It has up to ``most`` words; short ones at its end go while more than ``least`` are left. A null text gives null.
+    """
+    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    plain = lambda w: F.regexp_replace(F.lower(w), r"[^\p{L}\p{N}]", "")
+    meant = lambda w: (stem(plain(w)) if stem else plain(w)).isin(*wanted)
 
+    def cut(words: Column) -> Column:
+        at = F.coalesce(F.array_min(F.filter(F.transform(words, lambda w, i: F.when(meant(w), i)), lambda i: i.isNotNull())), F.lit(0))
+        start = F.greatest(F.lit(0), F.least(at - (most - least) // 2, F.size(words) - most))
+        return F.slice(words, start + 1, most)
 
-def ranked(df: DataFrame, key: str, fields: dict[str, str], query: str) -> DataFrame:
-    """(key, relevance) of all matches."""
-    tree = parsed(query)
-    words = df.select(key, *(lexemes(F.col(c)).alias(c) for c in fields))
-    found = words.filter(matches(tree, F.concat(*fields)))
-    score = sum((rank(F.col(c), words_of(tree), CLASS_WEIGHTS[k]) for c, k in fields.items()), F.lit(0.0))
-    return found.select(key, F.least(score, F.lit(1.0)).alias("relevance"))
+    def ended(shown: Column) -> Column:
+        long = F.filter(F.transform(shown, lambda w, i: F.when(F.length(plain(w)) > short, i + 1)), lambda i: i.isNotNull())
+        return F.slice(shown, 1, F.greatest(F.coalesce(F.array_max(long), F.lit(0)), F.least(F.size(shown), F.lit(least))))
 
+    marked = F.transform(let(let(words, cut), ended), lambda w: F.when(meant(w), F.concat(F.lit("<mark>"), w, F.lit("</mark>"))).otherwise(w))
+    return F.array_join(marked, " ")
 
-def probe(df: DataFrame, key: str, fields: dict[str, str], query: str) -> DataFrame:
-    """One row: how many rows match, and their mean relevance."""
-    return ranked(df, key, fields, query).agg(F.count("*").alias("matches"), F.round(F.avg("relevance"), 6).alias("mean_relevance"))
 
+# The fields of a search result.
+RESULT = ("id", "title", "court", "decision_date", "snippet", "relevance", "gdpr_articles", "source", "source_url")
 
-def search(df: DataFrame, key: str, fields: dict[str, str], query: str, limit: int = 20, offset: int = 0, dense: bool = False) -> DataFrame:
-    """(key, relevance, snippet) of a page of matches, best first, ties by key.
 
-    Matching and ranking are native, on texts that are split once and that hold a wanted word at all;
-    snippets are cut for the page only.
+def results(page: DataFrame, df: DataFrame, key: str, text: str, query: str, stem: Callable[[Column], Column] | None = None) -> DataFrame:
+    """A page (key, relevance) with the nine fields of RESULT from df; the snippet of a row without text is its title's first 200 characters and three dots.
+
+    The page is small, so df is read once and its texts only for the rows of the page.
     """
-    wanted = words_of(parsed(query))
-    if dense:
-        words = df.select(key, F.concat(*(lexemes(F.col(c)) for c in fields)).alias("words"))
-        scored = words.filter(matches(query, F.col("words"))).select(key, F.least(cover_density(F.col("words"), wanted), F.lit(1.0)).alias("relevance"))
-    else:
-        scored = ranked(df, key, fields, query)
-    page = scored.orderBy(F.desc("relevance"), key).offset(offset).limit(limit)
-    top = df.join(F.broadcast(page), key).orderBy(F.desc("relevance"), key)
-    return top.select(key, "relevance", headline(F.col(next(iter(fields))), wanted).alias("snippet"))
+    wanted = wanted_words(alternatives(query))
+    have = {c: F.col(c) if c in df.columns else F.lit(None).cast("string") for c in RESULT if c not in ("snippet", "relevance")}
+    rows = df.join(F.broadcast(page), key)
+    snippet = F.nullif(headline(F.col(text), wanted, stem=stem), F.lit(""))
+    title = F.concat(F.substring(F.coalesce(have["title"], F.lit("")), 1, 200), F.lit("..."))
+    values = {**have, "id": F.col(key), "snippet": F.coalesce(snippet, title), "relevance": F.col("relevance"), "gdpr_articles": F.coalesce(have["gdpr_articles"], F.array().cast("array<string>"))}
+    return rows.select(*(values[name].alias(name) for name in RESULT)).orderBy(F.desc("relevance"), "id")
+
+
+def probe(index: PostingsIndex, query: str) -> DataFrame:
+    """One row: how many rows match, and their mean relevance."""
+    return index.find(query).agg(F.count("*").alias("matches"), F.round(F.avg("relevance"), 6).alias("mean_relevance"))
+
+
+def search(index: PostingsIndex, df: DataFrame, text: str, query: str, limit: int = 20, offset: int = 0, dense: bool = False) -> DataFrame:
+    """(key, relevance, snippet) of a page of matches, best first, ties by key."""
+    page = index.page(query, limit, offset, dense)
+    top = df.join(F.broadcast(page), index.key).orderBy(F.desc("relevance"), index.key)
+    return top.select(index.key, "relevance", headline(F.col(text), wanted_words(alternatives(query)), stem=index.stem).alias("snippet"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lexweave.functions import legal
+
 # Short words that are no keywords, and court types by code, in order.
 STOP_WORDS = ["der", "die", "das", "und", "oder", "vom", "am", "im"]
 COURT_TYPES = [("BGH", "Bundesgerichtshof"), ("OLG", "Oberlandesgericht"), ("LG", "Landgericht"), ("AG", "Amtsgericht")]
@@ -90,10 +92,10 @@ def residuals(text: Column) -> Column:
 
 def promoted(status: Column) -> Column:
     """The state after the first stage: only from pending_stage1."""
-    return F.when(status == "pending_stage1", "pending_stage2").otherwise(status)
+    return F.when(status == legal.PENDING_STAGE1, legal.PENDING_STAGE2).otherwise(status)
 
 
 def decided(status: Column, confidence: Column) -> Column:
     """The state after the second stage: only from pending_stage2."""
-    result = F.when(confidence >= 80, "approved").when(confidence >= 50, "review_required").otherwise("rejected")
-    return F.when(status == "pending_stage2", result).otherwise(status)
+    result = F.when(confidence >= 80, legal.APPROVED).when(confidence >= 50, legal.REVIEW_REQUIRED).otherwise(legal.REJECTED)
+    return F.when(status == legal.PENDING_STAGE2, result).otherwise(status)

@@ -116,6 +116,10 @@ def relevance(*fields: Column) -> Column:
     return weighted(F.lower(F.concat_ws(" ", *(F.coalesce(f, F.lit("")) for f in fields))), RELEVANCE)
 
 
+# The states of a candidate.
+PENDING_STAGE1, PENDING_STAGE2, APPROVED, REJECTED, IMPORTED, REVIEW_REQUIRED = "pending_stage1", "pending_stage2", "approved", "rejected", "imported", "review_required"
+
+
 @dataclass(frozen=True)
 class FilterConfig:
     """Thresholds of the two-stage filter."""
@@ -187,9 +191,10 @@ def confidence(stage1: Column, context: Column, structure: Column, metadata: Col
 
 
 def two_stage(df: DataFrame, config: FilterConfig = FilterConfig(), title: str = "title", content: str = "content", court: str = "court", case_number: str = "case_number", decision_date: str = "decision_date") -> DataFrame:
-    """df with stage1_score, context_score, structure_score, metadata_score, confidence and status.
+    """df with stage1_score, context_score, structure_score, metadata_score, confidence, status and rejection_reason.
 
-    Texts that fail the first stage are rejected there and have no scores of the second.
+    Texts that fail the first stage are rejected there and have no scores of the second. The reason is
+    null for what isn't rejected.
     """
     text = F.concat_ws(" ", *(F.coalesce(F.col(c), F.lit("")) for c in (title, content, court)))
     out = df.withColumn("stage1_score", weighted(text, STAGE1)).withColumn("stage1_keywords", stage1_keywords(text))
@@ -203,12 +208,14 @@ def two_stage(df: DataFrame, config: FilterConfig = FilterConfig(), title: str =
     for name, part in parts.items():
         out = out.withColumn(name, F.when(passed, part))
     out = out.withColumn("confidence", F.when(passed, confidence(F.col("stage1_score"), F.col("context_score"), F.col("structure_score"), F.col("metadata_score"))).otherwise(0.0))
-    status = F.when(F.col("confidence") >= config.approved_from, "approved").when(F.col("confidence") >= config.review_from, "review").otherwise("rejected")
-    return out.withColumn("status", F.when(passed, status).otherwise("rejected"))
+    status = F.when(~passed, REJECTED).when(F.col("confidence") >= config.approved_from, APPROVED).when(F.col("confidence") >= config.review_from, REVIEW_REQUIRED).otherwise(REJECTED)
+    low = F.concat(F.lit("Stage 1 Score zu niedrig: "), F.col("stage1_score").cast("string"))
+    unsure = F.concat(F.lit("Confidence zu niedrig: "), F.format_number("confidence", 1), F.lit("%"))
+    return out.withColumn("status", status).withColumn("rejection_reason", F.when(~passed, low).when(F.col("status") == REJECTED, unsure))
 
 
 def pass_rates(filtered: DataFrame, least_stage1: int = 2) -> DataFrame:
     """Share in per cent that pass the first stage, are approved of those, and overall; and the review queue's size."""
-    total, first, good = F.count("*"), F.count_if(F.col("stage1_score") >= least_stage1), F.count_if(F.col("status") == "approved")
+    total, first, good = F.count("*"), F.count_if(F.col("stage1_score") >= least_stage1), F.count_if(F.col("status") == APPROVED)
     share = lambda a, b: F.round(100.0 * a / F.greatest(b, F.lit(1)), 2)
-    return filtered.agg(share(first, total).alias("stage1_rate"), share(good, first).alias("approval_rate"), share(good, total).alias("overall_rate"), F.count_if(F.col("status") == "review").alias("review"))
+    return filtered.agg(share(first, total).alias("stage1_rate"), share(good, first).alias("approval_rate"), share(good, total).alias("overall_rate"), F.count_if(F.col("status") == REVIEW_REQUIRED).alias("review"))

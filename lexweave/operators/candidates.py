@@ -21,7 +21,7 @@ def pipeline_view(candidates: DataFrame) -> DataFrame:
 
 def review_queue(candidates: DataFrame) -> DataFrame:
     """Candidates to review, surest first, then oldest, then by id."""
-    return candidates.filter("status = 'review_required'").orderBy(F.desc("stage2_confidence"), "created_at", "id")
+    return candidates.filter(F.col("status") == legal.REVIEW_REQUIRED).orderBy(F.desc("stage2_confidence"), "created_at", "id")
 
 
 def full_text_row(df: DataFrame, text: str = "full_text_anonymized") -> DataFrame:
@@ -84,9 +84,10 @@ def imported(new: DataFrame, existing: DataFrame, relevance: Column, least: int
 
 
 def reevaluated(stored: DataFrame, candidates: DataFrame) -> DataFrame:
-    """candidates with the statuses that the two-stage filter gives stored rows now; new ones are added."""
-    states = legal.two_stage(stored).select("id", "stage1_score", "confidence", "status")
-    return duplicates.upserted(candidates.select("id", "stage1_score", "confidence", "status"), states, ("id",), ("stage1_score", "confidence", "status"))
+    """candidates (id, stage1_score, stage2_confidence, status, created_at) with the states that the two-stage filter gives stored rows (with created_at) now; new ones are added with their own time."""
+    columns = ["id", "stage1_score", "stage2_confidence", "status", "created_at"]
+    states = legal.two_stage(stored).withColumnRenamed("confidence", "stage2_confidence").select(*columns)
+    return duplicates.upserted(candidates.select(*columns), states, ("id",), ("stage1_score", "stage2_confidence", "status"))
 
 
 def hits(df: DataFrame, matching: Column) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 from datetime import date, datetime
 
@@ -106,8 +107,8 @@ def api_row(df: DataFrame) -> DataFrame:
     return df.select("id", "source", "source_id", "title", "court", "case_number", "decision_date", F.coalesce("gdpr_articles", empty).alias("gdpr_articles"), F.coalesce("keywords", empty).alias("keywords"), "anonymization_applied", "pdf_extracted", "quality_score")
 
 
-def export_row(df: DataFrame) -> DataFrame:
-    """The columns of the CSV export."""
+def export_row(df: DataFrame, *more: Column) -> DataFrame:
+    """The columns of the CSV export, and any more."""
     yes = lambda c: F.when(F.col(c), "Ja").otherwise("Nein")
     joined = lambda c: F.array_join(F.coalesce(c, F.array().cast("array<string>")), ", ")
     return df.select(
@@ -118,6 +119,7 @@ def export_row(df: DataFrame) -> DataFrame:
         F.concat(F.substring("leitsatz", 1, 200), F.lit("...")).alias("headnote"),
         yes("anonymization_applied").alias("anonymized"),
         yes("pdf_extracted").alias("pdf"),
+        *more,
     )
 
 
@@ -129,7 +131,44 @@ CSV_NAMES = {
 
 
 def csv_row(df: DataFrame) -> DataFrame:
-    """The CSV export's columns under their own names; no address gives an empty one."""
+    """The CSV export's columns under their own names, in the order of df; no address gives an empty one."""
     url = F.coalesce(F.col("source_url"), F.lit("")) if "source_url" in df.columns else F.lit("")
-    rows = export_row(df).join(df.select("id", url.alias("source_url")), "id") if "source_url" in df.columns else export_row(df).withColumn("source_url", url)
-    return rows.select(*(F.col(name).alias(shown) for name, shown in CSV_NAMES.items()))
+    return export_row(df, url.alias("source_url")).select(*(F.col(name).alias(shown) for name, shown in CSV_NAMES.items()))
+
+
+# The columns of the export for administrators.
+ADMIN_NAMES = ("id", "title", "court", "case_number", "decision_date", "source", "quality_score", "anonymization_applied", "created_at")
+
+
+def admin_row(df: DataFrame) -> DataFrame:
+    """The nine columns of the export for administrators, as they are stored."""
+    return df.select(*ADMIN_NAMES)
+
+
+# Sources, and the lengths that a search text may have.
+KNOWN_SOURCES = ("openlegaldata", "gdprhub", "ris", "manual", "swiss")
+QUERY_LENGTHS = (3, 200)
+
+
+def checked_query(query: str) -> str:
+    """A search text without signs that could be markup or statements; raises where it is too short or too long."""
+    clean = re.sub(r"[<>;\"'`\\\\]", "", query).strip()
+    if not QUERY_LENGTHS[0] <= len(clean) <= QUERY_LENGTHS[1]:
+        raise ValueError(f"a query has {QUERY_LENGTHS[0]} to {QUERY_LENGTHS[1]} characters")
+    return clean
+
+
+def checked_sources(sources: list[str]) -> list[str]:
+    """The names in lower case; raises for one that isn't known."""
+    names = [s.strip().lower() for s in sources]
+    if unknown := [s for s in names if s not in KNOWN_SOURCES]:
+        raise ValueError(f"unknown source: {', '.join(unknown)}")
+    return names
+
+
+def checked_dates(first: str | None, last: str | None) -> tuple[date | None, date | None]:
+    """Two ISO dates; raises for other forms and where the last is before the first."""
+    a, b = (None if d is None else date.fromisoformat(d) for d in (first, last))
+    if a and b and b < a:
+        raise ValueError("the last date is before the first")
+    return a, b

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 import json
+from functools import reduce
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -58,6 +59,37 @@ def read_documents(spark: SparkSession, path: str, kind: str | None = None, sche
     return reader.parquet(path)
 
 
+# Fixed value: the elements that a decision may be.
+DECISION_TAGS = ("decision", "case", "judgment")
+
+
+def read_xml(spark: SparkSession, path: str, *tags: str) -> DataFrame:
+    """The elements of several names in XML files, with all their columns and ``element``, the name; a broken element gives no row."""
+    parts = []
+    for tag in tags or DECISION_TAGS:
+        rows = spark.read.format("xml").option("rowTag", tag).option("mode", "DROPMALFORMED").option("attributePrefix", "attribute_").option("valueTag", "value").load(path)
+        if rows.columns:
+            parts.append(rows.withColumn("element", F.lit(tag)))
+    if not parts:
+        raise ValueError(f"no elements {', '.join(tags or DECISION_TAGS)}: {path}")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def read_parquet_files(spark: SparkSession, *paths: str, limit: int | None = None) -> DataFrame:
+    """The rows of several Parquet files or folders with all their columns, at most so many."""
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), map(spark.read.parquet, paths))
+    return rows if limit is None else rows.limit(limit)
+
+
+def document_count(spark: SparkSession, path: str, kind: str | None = None) -> int:
+    """How many documents a file or folder has; blank and broken lines aren't any."""
+    kind = kind or detect_format(spark, path)
+    if kind != "jsonl":
+        return read_documents(spark, path, kind).count()
+    line = F.trim("value")
+    return spark.read.text(path).filter(line.startswith("{") & F.try_parse_json(line).isNotNull()).count()
+
+
 # Elements of a EUR-Lex document, by the names of its columns.
 EURLEX = {"id": "CELEX_NUMBER", "title": "TITLE", "date": "DATE_DOCUMENT", "court": "AUTHOR", "legal_area": "SUBJECT_MATTER", "procedure_type": "PROCEDURE_TYPE"}
 
@@ -66,15 +98,17 @@ def read_eurlex(spark: SparkSession, path: str) -> DataFrame:
     """(source, id, title, date, court, legal_area, procedure_type, text) of the NOTICE and JUDGMENT elements that have a CELEX number.
 
     A file is split where an element ends, so that large files are read by many tasks; texts are joined
-    by a blank, missing elements are null.
+    by a blank, missing elements are null. A broken element gives no row and harms no other.
     """
+    schema = ", ".join(f"{name} STRING" for name in EURLEX.values()) + ", TEXT ARRAY<STRING>, _broken STRING"
     parts = []
     for tag in ("NOTICE", "JUDGMENT"):
-        rows = spark.read.option("lineSep", f"</{tag}>").text(path).select(F.regexp_extract("value", rf"(?s)<{tag}[\s>].*", 0).alias("open")).filter("open <> ''")
-        xml = F.concat("open", F.lit(f"</{tag}>")).alias("xml")
-        fields = [F.nullif(F.call_function("xpath_string", "xml", F.lit(f"//{element}")), F.lit("")).alias(name) for name, element in EURLEX.items()]
-        texts = F.nullif(F.array_join(F.array_remove(F.call_function("xpath", "xml", F.lit("//TEXT/text()")), ""), " "), F.lit(""))
-        parts.append(rows.select(xml).select(F.lit("eurlex").alias("source"), *fields, texts.alias("text")))
+        opened = spark.read.option("lineSep", f"</{tag}>").text(path).select(F.regexp_extract("value", rf"(?s)<{tag}[\s>].*", 0).alias("open")).filter("open <> ''")
+        xml = F.from_xml(F.concat("open", F.lit(f"</{tag}>")), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
+        rows = opened.select(xml.alias("x")).filter("x._broken IS NULL").select("x.*")
+        named = [F.nullif(F.trim(element), F.lit("")).alias(name) for name, element in EURLEX.items()]
+        text = F.nullif(F.array_join(F.filter("TEXT", lambda t: t != ""), " "), F.lit("")).alias("text")
+        parts.append(rows.select(F.lit("eurlex").alias("source"), *named, text))
     return parts[0].unionByName(parts[1]).filter("id IS NOT NULL")
 
 
@@ -84,11 +118,16 @@ def delimiter(spark: SparkSession, path: str) -> str:
     return max(";,\t|", key=(head[0][0] if head else "").count)
 
 
+def cleaned(df: DataFrame) -> DataFrame:
+    """df with normalised column names and trimmed texts; empty and null-like values are null, and rows without any value go."""
+    clean = lambda c: F.when(~F.lower(F.trim(c)).isin("", "null", "none", "n/a"), F.trim(c))
+    rows = df.select(*(clean(F.col(f"`{c}`")).alias(field_name(c)) for c in df.columns))
+    return rows.dropna("all")
+
+
 def read_csv(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
     """A CSV file with normalised column names, all as text; empty and null-like values are null."""
-    df = spark.read.option("header", True).option("sep", sep or delimiter(spark, path)).option("multiLine", True).option("escape", '"').csv(path)
-    clean = lambda c: F.when(~F.lower(F.trim(c)).isin("", "null", "none", "n/a"), c)
-    return df.select(*(clean(F.col(f"`{c}`")).alias(field_name(c)) for c in df.columns))
+    return cleaned(spark.read.option("header", True).option("sep", sep or delimiter(spark, path)).option("multiLine", True).option("escape", '"').csv(path))
 
 
 def typed_columns(df: DataFrame) -> DataFrame:
@@ -121,14 +160,27 @@ def document_id(*candidates: Column, text: Column) -> Column:
     return F.coalesce(filled(*candidates), F.substring(F.md5(F.substring(text, 1, 1000).cast("binary")), 1, 16))
 
 
-def validated(spark: SparkSession, path: str, samples: int = 3) -> list[str]:
-    """What is wrong with a file; nothing for a readable one with documents."""
+#: Fixed value: bytes from which on a file should be looked at.
+LARGE_FILE = 10 * 1024**3
+
+
+def validated(spark: SparkSession, path: str, samples: int = 3, large: int = LARGE_FILE) -> list[str]:
+    """What is wrong with a file or folder: that it isn't there, is empty or very large, has an unknown format, can't be read or holds no documents."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not system.exists(where):
+        return [f"not found: {path}"]
+    size = system.getContentSummary(where).getLength()
+    errors = [f"empty: {path}"] if size == 0 else [f"very large: {size} bytes"] if size > large else []
     try:
         kind = detect_format(spark, path)
-        found = read_documents(spark, path, kind).limit(samples).count()
+        rows = read_documents(spark, path, kind)
+        rows = rows.dropna("all") if rows.columns else rows
+        if not rows.columns or not rows.limit(samples).count():
+            errors.append("no documents")
     except Exception as e:  # a reader's error is the answer
-        return [f"{type(e).__name__}: {str(e).splitlines()[0]}"]
-    return [] if found else ["no documents"]
+        errors.append(f"{type(e).__name__}: {str(e).splitlines()[0]}")
+    return errors
 
 
 def file_info(df: DataFrame) -> DataFrame:
@@ -150,6 +202,21 @@ def event_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(EVENT).option("recursiveFileLookup", True).json(path)
 
 
+def nested_events(rows: DataFrame) -> DataFrame:
+    """Flat event rows as the nested records of the log, the other way of flat_events; a part of which nothing is set is null."""
+
+    def part(**fields: str) -> Column:
+        has = reduce(lambda a, b: a | b, (F.col(c).isNotNull() for c in fields.values()))
+        return F.when(has, F.struct(*(F.col(c).alias(name) for name, c in fields.items())))
+
+    return rows.select(
+        "id", "timestamp", "event_type", "priority", "category", "component", "operation",
+        part(duration_ms="duration_ms", memory_mb="memory_mb", cpu_percent="cpu_percent").alias("performance"),
+        part(user_impact="user_impact", feature_affected="feature").alias("business_impact"), part(type="error_type").alias("error"),
+        part(requires_analysis="requires_analysis", priority_score="priority_score").alias("triage"),
+    )
+
+
 def flat_events(events: DataFrame) -> DataFrame:
     """The columns that the analytics use, from nested records."""
     return events.select(

@@ -46,11 +46,11 @@ def _texts(batches: Iterator[pa.RecordBatch], extractors: list[Extractor], most_
 
 
 def read_texts(spark: SparkSession, path: str, *extractors: Extractor, pattern: str = "*", most_bytes: int = MOST_BYTES, most_pages: int = MOST_PAGES) -> DataFrame:
-    """(path, length, text, pages, method, error), a row for each file below path.
+    """(path, length, text, pages, method, error), a row for each file below path that has bytes at all.
 
     Extractors, by default that of plain texts, are tried in turn until one finds a text; they take the
-    bytes and return pages, of which the first ``most_pages`` are kept. Whatever a file does, it has its
-    row: text is null and error says why where none succeeded or the file is larger than ``most_bytes``,
+    bytes and return pages, of which the first ``most_pages`` are kept. Whatever such a file does, it has
+    its row: text is null and error says why where none succeeded or the file is larger than ``most_bytes``,
     which then isn't read at all.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)

@@ -100,15 +100,16 @@ def read_eurlex(spark: SparkSession, path: str) -> DataFrame:
     A file is split where an element ends, so that large files are read by many tasks; texts are joined
     by a blank, missing elements are null. A broken element gives no row and harms no other.
     """
-    schema = ", ".join(f"{name} STRING" for name in EURLEX.values()) + ", TEXT ARRAY<STRING>, _broken STRING"
     parts = []
     for tag in ("NOTICE", "JUDGMENT"):
         opened = spark.read.option("lineSep", f"</{tag}>").text(path).select(F.regexp_extract("value", rf"(?s)<{tag}[\s>].*", 0).alias("open")).filter("open <> ''")
-        xml = F.from_xml(F.concat("open", F.lit(f"</{tag}>")), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
-        rows = opened.select(xml.alias("x")).filter("x._broken IS NULL").select("x.*")
-        named = [F.nullif(F.trim(element), F.lit("")).alias(name) for name, element in EURLEX.items()]
-        text = F.nullif(F.array_join(F.filter("TEXT", lambda t: t != ""), " "), F.lit("")).alias("text")
-        parts.append(rows.select(F.lit("eurlex").alias("source"), *named, text))
+        xml = opened.select(F.concat("open", F.lit(f"</{tag}>")).alias("xml"))
+        # xpath raises on what isn't well-formed, so such elements go first
+        parsed = F.from_xml("xml", "CELEX_NUMBER STRING, _broken STRING", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
+        whole = xml.filter(parsed["_broken"].isNull() & ~F.col("xml").rlike(r"&(?!(amp|lt|gt|quot|apos|#\d+|#x[0-9A-Fa-f]+);)"))
+        fields = [F.nullif(F.trim(F.call_function("xpath_string", "xml", F.lit(f"//{element}"))), F.lit("")).alias(name) for name, element in EURLEX.items()]
+        text = F.nullif(F.array_join(F.array_remove(F.call_function("xpath", "xml", F.lit("//TEXT/text()")), ""), " "), F.lit("")).alias("text")
+        parts.append(whole.select(F.lit("eurlex").alias("source"), *fields, text))
     return parts[0].unionByName(parts[1]).filter("id IS NOT NULL")
 
 

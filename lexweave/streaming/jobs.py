@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 from pyspark.sql.types import StructType
 
@@ -46,8 +47,9 @@ def request_windows(events: DataFrame, key: str = "user_id", length: str = "60 s
     return events.withWatermark("timestamp", late).groupBy(F.window("timestamp", length, step), key).agg(F.count("*").alias("n"))
 
 
+BASELINE_SCHEMA = "component string, operation string, seen long, mean double, last double, anomaly boolean"
 #: A row for each event: how many durations were seen of its component and operation, up to BASELINE_EVENTS, their mean, and whether it is an anomaly.
-BASELINE_SCHEMA = "component string, operation string, timestamp timestamp, duration_ms double, seen bigint, mean double, anomaly boolean"
+JUDGED_SCHEMA = "component string, operation string, timestamp timestamp, duration_ms double, seen bigint, mean double, anomaly boolean"
 
 
 def rolling(last: np.ndarray, values: np.ndarray, most: int = BASELINE_EVENTS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -63,8 +65,29 @@ def rolling(last: np.ndarray, values: np.ndarray, most: int = BASELINE_EVENTS) -
     return n, mean + middle, np.sqrt(spread)
 
 
+def _odd(n: np.ndarray, mean: np.ndarray, deviation: np.ndarray, values: np.ndarray) -> np.ndarray:
+    return (n >= LEAST_EVENTS) & (mean != 0) & (values > mean + 2 * deviation)
+
+
+def _baseline(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Keeps a key's last durations and tells how it stands."""
+    last = np.array(state.get[0] if state.exists else [], float)
+    events = pd.concat(list(batches)).sort_values("timestamp", kind="stable")
+    values = events["duration_ms"].dropna().to_numpy(float)
+    if len(values):
+        n, mean, deviation = rolling(last, values)
+        last = np.concatenate([last, values])[-BASELINE_EVENTS:]
+        state.update((last.tolist(),))
+        yield pd.DataFrame([(*key, int(n[-1]), float(mean[-1]), float(values[-1]), bool(_odd(n, mean, deviation, values)[-1]))], columns=["component", "operation", "seen", "mean", "last", "anomaly"])
+
+
+def rolling_baselines(events: DataFrame) -> DataFrame:
+    """By component and operation: size and mean of the last BASELINE_EVENTS durations, and whether the last one is an anomaly."""
+    return events.select("component", "operation", "timestamp", "duration_ms").groupBy("component", "operation").applyInPandasWithState(_baseline, BASELINE_SCHEMA, "last array<double>", "update", GroupStateTimeout.NoTimeout)
+
+
 class Baselines(StatefulProcessor):
-    """Keeps a key's last durations as a list, for as long as events of it come: a timer forgets keys that were idle."""
+    """Keeps a key's last durations as a list, for as long as events of it come: a timer forgets keys that were idle in event time."""
 
     def __init__(self, idle_ms: int):
         self.idle_ms = idle_ms
@@ -72,42 +95,46 @@ class Baselines(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.last = handle.getListState("last", "value double")
-        self.seen_at = handle.getValueState("seen_at", "at bigint")
+        self.until = handle.getValueState("until", "at bigint")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
         events = pd.concat(list(rows)).sort_values("timestamp", kind="stable")
         events = events[events["duration_ms"].notna()]
-        if len(events):
-            last = np.array([x[0] for x in self.last.get()], float)
-            values = events["duration_ms"].to_numpy(float)
-            n, mean, deviation = rolling(last, values)
-            odd = (n >= LEAST_EVENTS) & (mean != 0) & (values > mean + 2 * deviation)
-            self.last.put([(float(x),) for x in np.concatenate([last, values])[-BASELINE_EVENTS:]])
-            now = timerValues.getCurrentProcessingTimeInMs()
-            self.seen_at.update((now,))
-            self.handle.registerTimer(now + self.idle_ms)
-            yield pd.DataFrame({"component": key[0], "operation": key[1], "timestamp": events["timestamp"].to_numpy(), "duration_ms": values, "seen": n, "mean": mean, "anomaly": odd})
+        if not len(events):
+            return
+        last = np.array([x[0] for x in self.last.get()], float)
+        values = events["duration_ms"].to_numpy(float)
+        n, mean, deviation = rolling(last, values)
+        self.last.put([(float(x),) for x in np.concatenate([last, values])[-BASELINE_EVENTS:]])
+        if self.until.exists():
+            self.handle.deleteTimer(self.until.get()[0])
+        until = int(events["timestamp"].max().timestamp() * 1000) + self.idle_ms
+        self.until.update((until,))
+        self.handle.registerTimer(until)
+        yield pd.DataFrame({"component": key[0], "operation": key[1], "timestamp": events["timestamp"].to_numpy(), "duration_ms": values, "seen": n, "mean": mean, "anomaly": _odd(n, mean, deviation, values)})
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        seen_at = self.seen_at.get()
-        if seen_at and timerValues.getCurrentProcessingTimeInMs() - seen_at[0] >= self.idle_ms:
-            self.last.clear()
-            self.seen_at.clear()
+        self.last.clear()
+        self.until.clear()
         yield from ()
 
+    def close(self) -> None:
+        pass
+
 
 #: The state store that list states and timers need.
 STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-def rolling_baselines(events: DataFrame, idle_hours: float = 24) -> DataFrame:
+def judged_events(events: DataFrame, late: str = "1 hour", idle_hours: float = 24) -> DataFrame:
     """Each event that has a duration, with the baseline of the last BASELINE_EVENTS of its component and operation, itself included.
 
     Events of one key within a micro-batch go by time; those of an earlier micro-batch come before them.
-    The session's state store must be STATE_STORE.
+    Events that are later than ``late`` are left out, and a key without events for so many hours is
+    forgotten. The session's state store must be STATE_STORE.
     """
-    rows = events.select("component", "operation", F.col("timestamp").cast("timestamp").alias("timestamp"), F.col("duration_ms").cast("double").alias("duration_ms"))
-    return rows.groupBy("component", "operation").transformWithStateInPandas(Baselines(int(idle_hours * 3_600_000)), BASELINE_SCHEMA, "Append", "ProcessingTime")
+    rows = events.select("component", "operation", F.col("timestamp").cast("timestamp").alias("timestamp"), F.col("duration_ms").cast("double").alias("duration_ms")).withWatermark("timestamp", late)
+    return rows.groupBy("component", "operation").transformWithStateInPandas(Baselines(int(idle_hours * 3_600_000)), JUDGED_SCHEMA, "Append", "EventTime")
 
 
 def rotating_sink(events: DataFrame, path: str, checkpoint: str, most_bytes: int = MOST_BYTES, days: int = KEPT_DAYS) -> DataStreamWriter:

@@ -24,7 +24,7 @@ from lexweave.llm.shared import forget, hot_join, saved, small_batches
 #: Bytes of a turn's name, of which the last LENGTH are its code points.
 NAME, LENGTH = 16, 4
 #: Sequences of a container.
-MOST = 1000
+MOST = 200
 #: Digits of ids that are joined before they are hashed.
 CHUNK = 1 << 16
 _NONE = hashlib.sha256(b"").hexdigest()

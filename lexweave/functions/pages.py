@@ -61,3 +61,27 @@ def request_impact(status: Column, kind: Column, duration_ms: Column) -> Column:
         .when(kind.isin("auth", "search", "export"), "medium")
         .otherwise("low")
     )
+
+
+# Words of task names by kind, in order, and the minutes that a task of a kind may take, and takes at worst.
+TASK_WORDS = {
+    "crawler": ["crawl", "scrape", "fetch", "collect"], "processing": ["process", "parse", "extract", "analyze"], "export": ["export", "generate", "create_report"],
+    "maintenance": ["cleanup", "backup", "optimize", "maintenance"], "notification": ["send_email", "notify", "alert"],
+}
+TASK_MINUTES = {"crawler": (30, 60), "processing": (10, 30), "export": (5, 15), "maintenance": (60, 120), "notification": (2, 5), "default": (15, 45)}
+TASK_IMPACT = {"crawler": "high", "processing": "high", "export": "medium", "maintenance": "low", "notification": "medium"}
+
+
+def task_kind(name: Column) -> Column:
+    """The first kind of which a word stands in the task's name, else default."""
+    return endpoint_kind(name, TASK_WORDS)
+
+
+def task_impact(kind: Column, state: Column, minutes: Column) -> Column:
+    """high, medium or low: for what failed by its kind, else by how long it took, else by its kind."""
+    most, worst, usual = F.lit(None).cast("int"), F.lit(None).cast("int"), F.lit("low")
+    for name, (allowed, critical) in TASK_MINUTES.items():
+        most, worst = F.when(kind == name, allowed).otherwise(most), F.when(kind == name, critical).otherwise(worst)
+        usual = F.when(kind == name, TASK_IMPACT.get(name, "low")).otherwise(usual)
+    failed = F.when(kind.isin("crawler", "processing"), "high").otherwise("medium")
+    return F.when(state.isin("FAILURE", "REVOKED"), failed).when(minutes > worst, "high").when(minutes > most, "medium").otherwise(usual)

@@ -161,3 +161,9 @@ def sql_kind(statement: Column) -> Column:
 def resource_status(value: Column, warn: float, critical: float, low_is_bad: bool = False) -> Column:
     worse = (lambda limit: value < limit) if low_is_bad else (lambda limit: value > limit)
     return F.when(worse(critical), "critical").when(worse(warn), "warning").otherwise("healthy")
+
+
+def overall_status(*states: Column) -> Column:
+    """unhealthy if one of the states is critical, else degraded if one is a warning, else healthy."""
+    every = F.array(*states)
+    return F.when(F.array_contains(every, "critical"), "unhealthy").when(F.array_contains(every, "warning"), "degraded").otherwise("healthy")

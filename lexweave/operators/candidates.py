@@ -83,10 +83,10 @@ def imported(new: DataFrame, existing: DataFrame, relevance: Column, least: int
     return added, counters.withColumn("imported", F.col("processed") - F.col("irrelevant") - F.col("existing"))
 
 
-def reevaluated(stored: DataFrame, candidates: DataFrame) -> DataFrame:
+def reevaluated(stored: DataFrame, candidates: DataFrame, config: legal.FilterConfig = legal.FilterConfig()) -> DataFrame:
     """candidates (id, stage1_score, stage2_confidence, status, created_at) with the states that the two-stage filter gives stored rows (with created_at) now; new ones are added with their own time."""
     columns = ["id", "stage1_score", "stage2_confidence", "status", "created_at"]
-    states = legal.two_stage(stored).withColumnRenamed("confidence", "stage2_confidence").select(*columns)
+    states = legal.two_stage(stored, config).withColumnRenamed("confidence", "stage2_confidence").select(*columns)
     return duplicates.upserted(candidates.select(*columns), states, ("id",), ("stage1_score", "stage2_confidence", "status"))
 
 

@@ -159,6 +159,25 @@ def issue_list(duration: Column, memory: Column, cpu: Column) -> Column:
     return F.array_compact(F.array(F.when(duration > 5000, "critical duration").when(duration > 1000, "slow"), F.when(memory > 500, "memory"), F.when(cpu > 80, "cpu")))
 
 
+def metric_issues(events: DataFrame) -> DataFrame:
+    """(event_id, issues, priority): what is wrong with each measurement, its duration against its baseline too, and how urgent that is."""
+    rows = baselines(events).select("event_id", "anomaly").join(events.select("event_id", "duration_ms", "memory_mb", "cpu_percent"), "event_id")
+    slow = F.when(F.col("duration_ms") > 5000, "critical_duration").when(F.col("duration_ms") > 1000, "slow_duration").when(F.col("anomaly"), "duration_anomaly")
+    issues = F.array_compact(F.array(slow, F.when(F.col("memory_mb") > 500, "high_memory"), F.when(F.col("cpu_percent") > 80, "high_cpu")))
+    rows = rows.select("event_id", issues.alias("issues"))
+    return rows.withColumn("priority", F.when(F.array_contains("issues", "critical_duration"), "critical").when(F.size("issues") > 0, "medium").otherwise("info"))
+
+
+def error_insights(events: DataFrame) -> DataFrame:
+    """(insight, error_type, n): whether there are many troubled events, over 100 or over 50, and their most common type if it has over 10."""
+    types = troubled(events).groupBy(F.coalesce("error_type", F.lit("Unknown")).alias("error_type")).agg(F.count("*").alias("n"))
+    most = types.agg(F.sum("n").alias("total"), F.max(F.struct("n", F.lit(0))).alias("m"), F.min(F.struct(-F.col("n"), "error_type")).alias("first"))
+    many = F.when(F.col("total") > 100, "high error rate").when(F.col("total") > 50, "elevated error rate")
+    common = F.when(F.col("m.n") > 10, F.struct(F.lit("most common error").alias("insight"), F.col("first.error_type").alias("error_type"), F.col("m.n").alias("n")))
+    rate = F.when(many.isNotNull(), F.struct(many.alias("insight"), F.lit(None).cast("string").alias("error_type"), F.col("total").alias("n")))
+    return most.select(F.explode(F.array_compact(F.array(rate, common))).alias("i")).select("i.*")
+
+
 # Words that make an event critical, and those that tell its impact, in order.
 CRITICAL_WORDS = ["error", "exception", "failed", "crash", "timeout", "security", "breach", "unauthorized", "injection", "performance", "slow", "degradation", "bottleneck"]
 IMPACT_WORDS = {

@@ -172,3 +172,9 @@ def suggestions(df: DataFrame, start: str, top: int = 10, articles: int = 5) ->
         cited = element_count(df, "gdpr_articles", "keyword", articles).select("keyword")
         found = found.unionByName(cited).distinct()
     return found.orderBy("keyword").limit(top)
+
+
+def quality_metrics(df: DataFrame, text: str, metadata: list[str], score: Column) -> DataFrame:
+    """One row: how many rows, the mean length of their texts, how many per cent of the metadata are filled, and the mean of a score of the texts."""
+    filled = sum((F.count(c) for c in metadata), F.lit(0))
+    return df.agg(F.count("*").alias("total"), F.round(F.avg(F.length(text)), 4).alias("mean_length"), F.round(100.0 * filled / (len(metadata) * F.count("*")), 2).alias("metadata_completeness"), F.round(F.avg(F.when(F.col(text).isNotNull(), score)), 4).alias("mean_score"))

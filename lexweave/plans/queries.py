@@ -430,26 +430,20 @@ def legal_keywords(v):
     return v.legal_docs.select("doc_id", F.array_join(legal.keywords(F.col("text")), "|").alias("keywords"))
 
 
-def _weights_sql(weights: list, text: str) -> str:
+def weights_sql(weights: list, text: str) -> str:
     return "least(50, " + " + ".join(f"CASE WHEN {' OR '.join(f"regexp_matches({text}, '{p}', 'i')" for p in patterns)} THEN {w} ELSE 0 END" for w, patterns in weights) + ")"
 
 
-@query(f"SELECT doc_id, {_weights_sql(legal.RELEVANCE, "lower(text || ' ' || source)")} AS score FROM legal_docs")
+@query(f"SELECT doc_id, {weights_sql(legal.RELEVANCE, "lower(text || ' ' || source)")} AS score FROM legal_docs")
 def relevance_scores(v):
     return v.legal_docs.select("doc_id", legal.relevance(F.col("text"), F.col("source")).alias("score"))
 
 
-@query(f"SELECT doc_id, {_weights_sql(legal.STAGE1, "source || ' ' || text")} AS stage1_score FROM legal_docs")
+@query(f"SELECT doc_id, {weights_sql(legal.STAGE1, "source || ' ' || text")} AS stage1_score FROM legal_docs")
 def stage1_scores(v):
     return v.legal_docs.select("doc_id", legal.weighted(F.concat_ws(" ", "source", "text"), legal.STAGE1).alias("stage1_score"))
 
 
-@query()
-def two_stage_filter(v):
-    docs = v.legal_docs.select("doc_id", F.col("source").alias("title"), F.col("text").alias("content"), F.lit("VG Wiesbaden").alias("court"), F.lit("6 K 1/19").alias("case_number"), F.lit("2019-01-01").cast("timestamp_ntz").alias("decision_date"))
-    return legal.two_stage(docs).select("doc_id", "stage1_score", "context_score", "structure_score", "metadata_score", "confidence", "status")
-
-
 @query("SELECT doc_id, CASE WHEN contains(lower(text), 'der') OR contains(lower(text), 'die') OR contains(lower(text), 'das') THEN 'de' ELSE 'en' END AS language FROM documents")
 def language_guess(v):
     return v.documents.select("doc_id", scalars.language(F.col("text")).alias("language"))
@@ -486,7 +480,7 @@ def page_urls(v):
     return v.table("pages").select("page_id", scalars.normal_url(F.col("url")).alias("url"), scalars.last_path_part(F.col("url")).alias("last"))
 
 
-@query(f"SELECT doc_id, {_weights_sql(swiss.RELEVANCE, "lower(text || ' ' || source || '    ')").replace("d'accès", "d''accès")} + CASE WHEN doc_id % 2 = 0 THEN 3 ELSE 0 END AS score FROM legal_docs")
+@query(f"SELECT doc_id, {weights_sql(swiss.RELEVANCE, "lower(text || ' ' || source || '    ')").replace("d'accès", "d''accès")} + CASE WHEN doc_id % 2 = 0 THEN 3 ELSE 0 END AS score FROM legal_docs")
 def swiss_scores(v):
     none, court = F.lit(""), F.when(F.col("doc_id") % 2 == 0, "Bundesgericht").otherwise("Obergericht")
     return v.legal_docs.select("doc_id", swiss.relevance(F.col("text"), F.col("source"), none, none, none, court).alias("score"))

@@ -210,20 +210,6 @@ def present_rows(v):
     return duplicates.present(new, old, "source", "source_id").select("id")
 
 
-@query()
-def reevaluated(v):
-    """The two-stage filter over all texts, upserted into candidates of which half are known."""
-    docs = v.legal_docs.select(F.col("doc_id").alias("id"), F.col("source").alias("title"), F.col("text").alias("content"), F.lit("VG Wiesbaden").alias("court"), F.lit("6 K 1/19").alias("case_number"), F.lit("2019-01-01").cast("timestamp_ntz").alias("decision_date"))
-    known = v.documents.filter("lang = 'de'").select(F.col("doc_id").alias("id"), F.lit(0).alias("stage1_score"), F.lit(0.0).alias("confidence"), F.lit("rejected").alias("status"))
-    return candidates.reevaluated(docs, known)
-
-
-@query()
-def filter_pass_rates(v):
-    docs = v.legal_docs.select("doc_id", F.col("source").alias("title"), F.col("text").alias("content"), F.lit("VG Wiesbaden").alias("court"), F.lit("6 K 1/19").alias("case_number"), F.lit("2019-01-01").cast("timestamp_ntz").alias("decision_date"))
-    return legal.pass_rates(legal.two_stage(docs))
-
-
 @query(r"""WITH w AS (SELECT list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents) SELECT count(*) AS total FROM w WHERE list_contains(w, 'the') OR list_contains(w, 'nicht')""")
 def search_total(v):
     return candidates.total(text_index(v).find("the | nicht"))

@@ -50,7 +50,7 @@ def test_two_stage(spark):
         "id string, title string, content string, court string",
     ).selectExpr("*", "'1 K 1/20' AS case_number", "TIMESTAMP_NTZ '2020-01-01 00:00:00' AS decision_date")
     good, bad = legal.two_stage(docs).orderBy("id").collect()
-    assert good.stage1_score >= 17 and good.structure_score >= 40 and good.metadata_score == 50 and good.status in ("review", "approved")
+    assert good.stage1_score >= 17 and good.structure_score >= 40 and good.metadata_score == 50 and good.status in ("review_required", "approved")
     assert bad.stage1_score == 0 and bad.status == "rejected" and bad.context_score is None
     assert legal.pass_rates(legal.two_stage(docs)).first().stage1_rate == 50.0
 

@@ -66,12 +66,15 @@ def scan(docs: DataFrame) -> DataFrame:
     words = F.array_remove(F.split(lower_ascii(F.col("text").cast("string")), SEPARATORS), "")
     texts = numbered(docs).select(ROW, F.col("doc_id").cast("long").alias("doc_id"), words.alias("words"))
     n = F.size("words")
-    grams = F.zip_with(F.slice("words", 1, F.greatest(n - 1, F.lit(0))), F.slice("words", 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b))
+    # a k-gram carries its own words only, so that a text costs no more than its length
+    grams = F.zip_with(F.slice("words", 1, F.greatest(n - 1, F.lit(0))), F.slice("words", 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     # in front of the k-grams, one that stands for the text, so that texts without a match stay
-    places = texts.select(ROW, "doc_id", "words", n.cast("long").alias("n_words"), F.posexplode(F.concat(F.array(F.xxhash64(F.lit(""), F.lit(""))), grams)).alias("p", "hash"))
+    first = F.struct(F.lit("").alias("a"), F.lit("").alias("b"))
+    places = texts.select(ROW, "doc_id", n.cast("long").alias("n_words"), F.posexplode(F.concat(F.array(first), grams)).alias("p", "g"))
+    places = places.select(ROW, "doc_id", "n_words", "p", "g.a", "g.b", F.xxhash64("g.a", "g.b").alias("hash"))
     templates = _templates(docs.sparkSession)
     place = F.col("p") - 1
-    same = (F.try_element_at("words", place + 1) == F.col("gram")[0]) & (F.try_element_at("words", place + 2) == F.col("gram")[1])
+    same = (F.col("a") == F.col("gram")[0]) & (F.col("b") == F.col("gram")[1])
     votes = places.join(F.broadcast(templates), "hash").filter(F.when(F.col("template") < 0, F.col("p") == 0).otherwise((F.col("p") > 0) & same))
     votes = votes.select(ROW, "doc_id", "n_words", "template", "label", "base", "grams", (place - F.col("at")).alias("diagonal"), "at", place.alias("place")).repartition(ROW)
 

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
@@ -12,6 +13,13 @@ from lexweave.llm import byte_bpe, decontaminate, license_scan, url_filter
 EDGE = [(None, None), (1, ""), (2, "x " * 60000), (2, "x " * 60000)]
 
 
+def test_license_scan_of_a_very_long_text(spark, table):
+    """A text costs its length: a million words take seconds, where carrying the words along with each place took minutes."""
+    began = time.time()
+    row = license_scan.scan(table([(1, "wort " * 1_000_000 + "all rights reserved")])).first()
+    assert (row.n_words, row.n_base, row.first_word, row.labels) == (1_000_003, 1, 1_000_000, "reserved") and time.time() - began < 60
+
+
 def test_license_base_places(spark, table):
     rnd = random.Random(8)
     vocabulary = ["cc", "by", "general", "public", "license", "all", "rights", "reserved", "x", "CC-BY", "é"]

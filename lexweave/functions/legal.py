@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexweave.functions.scalars import let
+
 # Citation patterns with groups article, paragraph, letter. In RANGE the groups are first and last.
 ARTICLE_PATTERNS = [
     r"Art\.?\s*(\d+)\s*(?:Abs\.?\s*(\d+))?\s*(?:lit\.?\s*([a-z]))?\s*DSGVO",
@@ -60,9 +63,26 @@ TENOR_TERMS = ["datenschutz", "dsgvo", "personenbezogen", "bußgeld"]
 FLAGS = "(?iUd)"
 
 
-def found(text: Column, *patterns: str, flags: str = FLAGS) -> Column:
-    """Whether any of the patterns matches."""
-    return text.rlike(flags + "|".join(f"(?:{p})" for p in patterns))
+def literal(pattern: str) -> str:
+    """The longest run of letters, in lower case, that every match of the pattern holds; empty where none is sure."""
+    if re.search(r"\|", re.sub(r"\([^()]*\)", "", pattern)):  # alternatives
+        return ""
+    sure = re.sub(r"\[[^\]]*\][*+?]?|\\[bsdwW.][*+?]?", " ", re.sub(r"\((?:[^()]|\([^()]*\))*\)[*+?]?", " ", pattern))
+    return max(re.findall(r"[^\W\d_]+(?![^\W\d_]*[?*])", sure, re.UNICODE), key=len, default="").lower()
+
+
+def found(text: Column, *patterns: str, flags: str = FLAGS, low: Column | None = None) -> Column:
+    """Whether any of the patterns matches. Where matches hold a literal, the text is searched for that first, in ``low``, its lower-cased form."""
+    low = F.lower(text) if low is None else low
+    guarded: dict[str, list[str]] = {}
+    for pattern in patterns:
+        guarded.setdefault(literal(pattern) if flags == FLAGS else "", []).append(pattern)
+    out = F.lit(False)
+    for word, group in guarded.items():
+        match = text.rlike(flags + "|".join(f"(?:{p})" for p in group))
+        # the long s is an s to patterns, but stays in lower-cased texts
+        out = out | ((low.contains(word) | low.contains("\u017f")) & match if word else match)
+    return out
 
 
 def _groups(text: Column, pattern: str, n: int) -> Column:
@@ -103,17 +123,18 @@ def keywords(text: Column) -> Column:
     return F.array_distinct(F.array_remove(F.array(*hits), ""))
 
 
-def weighted(text: Column, weights: list[tuple[int, list[str]]], most: int = 50) -> Column:
-    """The sum of the weights of which a pattern matches, up to ``most``."""
+def weighted(text: Column, weights: list[tuple[int, list[str]]], most: int = 50, low: Column | None = None) -> Column:
+    """The sum of the weights of which a pattern matches, up to ``most``; ``low`` is the lower-cased text where that is at hand."""
     total = F.lit(0)
     for weight, patterns in weights:
-        total = total + F.when(found(text, *patterns), weight).otherwise(0)
+        total = total + F.when(found(text, *patterns, low=low), weight).otherwise(0)
     return F.least(total, F.lit(most))
 
 
 def relevance(*fields: Column) -> Column:
     """The case dump's relevance over its fields, nulls as empty."""
-    return weighted(F.lower(F.concat_ws(" ", *(F.coalesce(f, F.lit("")) for f in fields))), RELEVANCE)
+    low = F.lower(F.concat_ws(" ", *(F.coalesce(f, F.lit("")) for f in fields)))
+    return let(low, lambda x: weighted(x, RELEVANCE, low=x))
 
 
 # The states of a candidate.

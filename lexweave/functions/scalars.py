@@ -122,8 +122,14 @@ def last_path_part(url: Column) -> Column:
     return F.regexp_extract(F.split_part(F.split_part(url, F.lit("#"), F.lit(1)), F.lit("?"), F.lit(1)), r"([^/]+)/?$", 1)
 
 
+# What wrongly decoded signs stand for, in order.
+MOJIBAKE = {"Ã¼": "ü", "Ã¶": "ö", "Ã¤": "ä", "Ãœ": "Ü", "Ã–": "Ö", "Ã„": "Ä", "ÃŸ": "ß", "â€™": "'", "â€œ": '"', "â€": '"', 'â€"': "—"}
+
+
 def clean_text(text: Column) -> Column:
-    """Control characters out, blanks squeezed, at most one empty line."""
+    """Wrongly decoded umlauts and quotes mended, control characters out, blanks squeezed, at most one empty line."""
+    for wrong, right in MOJIBAKE.items():
+        text = F.replace(text, F.lit(wrong), F.lit(right))
     text = F.regexp_replace(text, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "")
     text = F.regexp_replace(text, r"[ \t]+", " ")
     return F.trim(F.regexp_replace(text, r"\n\s*\n\s*\n+", "\n\n"))

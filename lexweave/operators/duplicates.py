@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexweave.functions.scalars import content_hash, court_code, normalized, source_priority
 from lexweave.operators.graph import components
 from lexweave.operators.titles import title_pairs
+from lexweave.stages import spread_join, written
 
 #: Fixed value: least similarity of contents.
 CONTENT_FROM = 0.90
@@ -41,14 +44,16 @@ def similar_contents(docs: DataFrame, least: float = CONTENT_FROM, years: int =
     Texts are normalised. Of texts with equal sets in one year the smallest id stands for all, as
     content_classes tells. The join is exact: similar sets share a word among the rarest
     n - ceil(least * n) + 1 of each, so only these are joined, with length and position filters.
-    Texts without words have no pairs.
+    Texts without words have no pairs. Words are compared by 64 bits of a hash: among n different ones, about n * n / 2**65 pairs are taken for one.
     """
-    sets = docs.select("id", "year", F.array_distinct(F.filter(F.split(normalized(F.col("text")), " "), lambda w: w != "")).alias("words")).filter("size(words) > 0")
-    classes = sets.select("id", "year", F.sort_array("words").alias("words")).groupBy("year", "words").agg(F.min("id").alias("id"))
+    coded = F.array_sort(F.array_distinct(F.transform(F.filter(F.split(normalized(F.col("text")), " "), lambda w: w != ""), lambda w: F.xxhash64(w))))
+    # texts are read once; from here on, words are numbers
+    classes = written(docs.select("id", "year", coded.alias("words")).filter("size(words) > 0").groupBy("year", "words").agg(F.min("id").alias("id")), "contents")
     words = classes.select("id", F.explode("words").alias("word"))
     often = words.groupBy("word").agg(F.count("*").alias("c"))
     ranked = words.join(often, "word").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("c", "word"))).alias("s"))
     ranked = classes.select("id", "year").join(ranked, "id").select("id", "year", F.transform("s", lambda x: x["word"]).alias("words"), F.size("s").alias("n"))
+    ranked = written(ranked, "contents-ranked")
     prefix = ranked.select("id", "year", "n", F.posexplode(F.slice("words", 1, F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9).cast("int") + 1)).alias("at", "word"))
     share = least / (1 + least)
     fits = f"l.word = r.word AND l.id < r.id AND abs(l.year - r.year) <= {years} AND least(l.n, r.n) >= {least} * greatest(l.n, r.n) - 1e-9 AND least(l.n - l.at, r.n - r.at) >= {share} * (l.n + r.n) - 1e-9"
@@ -139,3 +144,22 @@ def upserted(existing: DataFrame, new: DataFrame, keys: tuple[str, ...], updated
 def without(df: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
     """df without the rows that ids names; apply it to child tables for a cascade."""
     return df.join(ids.select(key), key, "left_anti")
+
+
+def collected(*frames: DataFrame, keys: tuple[str, ...] = ("case_number", "court")) -> DataFrame:
+    """The rows of several sources with ``group``, the smallest id of the rows that agree in the keys, and ``master``, whether a row stands for its group.
+
+    Sources may lack columns; rows without one of the keys are groups of their own. The master is the row
+    of the preferred source, of these the one with the smallest id; ids are unique over all sources. Only keys and ids are grouped,
+    so a key of very many rows is summed up before it is shuffled, and its rows find their group without being gathered.
+    """
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    filled = reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys))
+    best = F.min(F.struct((-source_priority(F.col("source"))).alias("p"), "id"))["id"]
+    digest = F.sha2(F.to_json(F.struct(*keys)).cast("binary"), 256)
+    keyed = rows.withColumn("__key", F.when(filled, digest))
+    groups = written(keyed.filter("__key IS NOT NULL").groupBy("__key").agg(F.min("id").alias("group"), best.alias("__best"), F.count("*").alias("__rows")), "collected")
+    total = groups.agg(F.sum("__rows")).first()[0] or 0
+    named = spread_join(keyed.filter("__key IS NOT NULL"), groups, "__key", "__rows", total)
+    alone = keyed.filter("__key IS NULL").withColumns({"group": F.col("id"), "__best": F.col("id")})
+    return named.unionByName(alone).withColumn("master", F.col("id") == F.col("__best")).drop("__key", "__best")

@@ -130,10 +130,11 @@ CSV_NAMES = {
 }
 
 
-def csv_row(df: DataFrame) -> DataFrame:
-    """The CSV export's columns under their own names, in the order of df; no address gives an empty one."""
+def csv_row(df: DataFrame, *more: Column) -> DataFrame:
+    """The CSV export's columns under their own names, and any more, in the order of df; no address gives an empty one."""
     url = F.coalesce(F.col("source_url"), F.lit("")) if "source_url" in df.columns else F.lit("")
-    return export_row(df, url.alias("source_url")).select(*(F.col(name).alias(shown) for name, shown in CSV_NAMES.items()))
+    rows = export_row(df, url.alias("source_url"), *more)
+    return rows.select(*(F.col(name).alias(shown) for name, shown in CSV_NAMES.items()), *rows.columns[len(rows.columns) - len(more) :])
 
 
 # The columns of the export for administrators.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexweave.functions import anonymise, derived, legal, pages, scalars
+from lexweave.functions import anonymise, derived, html, legal, pages, scalars
 from lexweave.operators import candidates, event_stats, stats
 from lexweave.plans.queries import query, weights_sql
 
@@ -173,3 +173,35 @@ def dates_of_texts(v):
 def parts_of_titles(v):
     made = F.concat("court", F.lit(" ("), "source", F.lit(") - "), "case_number")
     return v.decisions.select("id", "court", "source", "case_number", scalars.title_parts(made).alias("p")).select("id", F.col("p.authority"), F.coalesce("p.country", "source").alias("country"), F.coalesce("p.case", "case_number").alias("case"))
+
+
+# --- pages
+
+
+def _replaced_sql(text: str, pairs: list[tuple[str, str]], plain: bool = True) -> str:
+    for a, b in pairs:
+        a, b = a.replace("'", "''"), b.replace("'", "''")
+        text = f"replace({text}, '{a}', '{b}')" if plain else f"regexp_replace({text}, '{a}', '{b}', 'g')"
+    return text
+
+
+_BARE_SQL = _replaced_sql("coalesce(html, '')", [(p, "") for p in html.NO_TEXT], plain=False)
+_ENTITY_PAIRS = list(html.ENTITIES.items())
+
+
+@query(rf"""WITH p AS (SELECT page_id, list_filter(list_transform(string_split_regex({_BARE_SQL}, '{html.TAG}'), lambda x: regexp_replace({_replaced_sql('x', _ENTITY_PAIRS)}, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS w FROM pages)
+  SELECT page_id, regexp_replace(regexp_replace(array_to_string(w, chr(10)), '\n{{3,}}', chr(10) || chr(10), 'g'), '(?m)^\[\d+\]', '', 'g') AS text FROM p""")
+def page_texts(v):
+    return v.table("pages").select("page_id", html.main_text(F.col("html")).alias("text"))
+
+
+_LINK_SQL = html.LINK.replace("'", "''")
+
+
+@query(rf"""WITH l AS (SELECT page_id, unnest(regexp_extract_all({_BARE_SQL}, '{_LINK_SQL}')) AS a FROM pages),
+  t AS (SELECT page_id, regexp_replace({_replaced_sql("regexp_replace(regexp_extract(a, '(?is)^<a[^>]*>(.*)</a>$', 1), '<[^>]*>', '', 'g')", _ENTITY_PAIRS)}, '^\s+|\s+$', '', 'g') AS title FROM l)
+  SELECT page_id, title, count(*) AS n FROM t GROUP BY page_id, title""")
+def page_links(v):
+    """The links of each page by their titles."""
+    found = v.table("pages").select("page_id", F.explode(html.links(F.col("html"))).alias("l"))
+    return found.groupBy("page_id", F.col("l.title").alias("title")).agg(F.count("*").alias("n"))

@@ -47,6 +47,14 @@ def complete_masters(v):
     return duplicates.masters(v.decisions.withColumn("score", score), "title", by=F.col("score")).select("title", "id", "score")
 
 
+@query("""WITH k AS (SELECT id, source, case WHEN court IS NULL THEN 'n' || id ELSE 'k' || case_number || '|' || court END AS k FROM decisions)
+  SELECT id, min(id) OVER (PARTITION BY k) AS "group", row_number() OVER (PARTITION BY k ORDER BY CASE source WHEN 'manual' THEN 4 WHEN 'gdprhub' THEN 3 WHEN 'openlegaldata' THEN 2 WHEN 'ris' THEN 1 ELSE 0 END DESC, id) = 1 AS master FROM k""")
+def collected_sources(v):
+    """The decisions of each source by itself, put together again, grouped and with a master for each group."""
+    parts = [v.decisions.filter(F.col("source") == s) for s in ("openlegaldata", "gdprhub", "ris", "manual", "swiss")]
+    return duplicates.collected(*parts).select("id", "group", "master")
+
+
 @query()
 def linked_groups(v):
     """Groups over exact and title links; SQL has no components."""

@@ -13,7 +13,7 @@ from lexweave.functions import references, variants
 from lexweave.functions.names import anonymised_by
 from lexweave.operators import filters
 from lexweave.plans.queries import query
-from lexweave.sources import counted, readers, sinks
+from lexweave.sources import counted, excel, readers, sinks
 from lexweave.sources.paged import PagedSource
 
 
@@ -91,6 +91,12 @@ def csv_export(v):
     return rows.toDF(*(c.replace("\ufeff", "") for c in rows.columns))
 
 
+@query("SELECT least(count(*), 10000) AS n, TRUE AS zipped FROM decisions")
+def excel_export(v):
+    """The spreadsheet of the first 10,000 decisions: its rows, and that it is a zip file."""
+    return excel.excel(v.decisions, {"Export": "Test"}).select("n", (F.hex(F.substring("workbook", 1, 2)) == "504B").alias("zipped"))
+
+
 @query("SELECT id, title, court, case_number, decision_date, source, quality_score, anonymization_applied, created_at FROM decisions")
 def admin_rows(v):
     return filters.admin_row(v.decisions)

@@ -5,13 +5,12 @@ from __future__ import annotations
 import gzip
 import json
 from functools import reduce
-from html.parser import HTMLParser
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from lexweave.functions import html as pages
 from lexweave.functions.scalars import field_name, parsed_date, typed
 from lexweave.schema import EVENT
 
@@ -81,6 +80,17 @@ def read_parquet_files(spark: SparkSession, *paths: str, limit: int | None = Non
     return rows if limit is None else rows.limit(limit)
 
 
+def read_dataset(spark: SparkSession, path: str, split: str = "train") -> DataFrame:
+    """A split of a published dataset that was downloaded: <split>/ or data/<split>-*, of Parquet files or JSON lines."""
+    where = spark._jvm.org.apache.hadoop.fs.Path
+    system = where(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    for folder, pattern in ((f"{path}/{split}", "*"), (f"{path}/data", f"{split}-*"), (path, f"{split}-*")):
+        for suffix, kind in ((".parquet", "parquet"), (".jsonl", "json"), (".jsonl.gz", "json")):
+            if system.globStatus(where(f"{folder}/{pattern}{suffix}")):
+                return spark.read.option("pathGlobFilter", f"{pattern}{suffix}").format(kind).load(folder)
+    raise ValueError(f"no split {split}: {path}")
+
+
 def document_count(spark: SparkSession, path: str, kind: str | None = None) -> int:
     """How many documents a file or folder has; blank and broken lines aren't any."""
     kind = kind or detect_format(spark, path)
@@ -227,49 +237,10 @@ def flat_events(events: DataFrame) -> DataFrame:
     )
 
 
-class _Page(HTMLParser):
-    """Text and links of a page, without scripts and styles."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.text: list[str] = []
-        self.links: list[tuple[str, str]] = []
-        self.hidden = 0
-        self.href: str | None = None
-
-    def handle_starttag(self, tag, attrs):
-        self.hidden += tag in ("script", "style")
-        if tag == "a":
-            self.href = dict(attrs).get("href")
-            self.links.append(("", self.href or ""))
-
-    def handle_endtag(self, tag):
-        self.hidden -= tag in ("script", "style") and self.hidden > 0
-        if tag == "a":
-            self.href = None
-
-    def handle_data(self, data):
-        if self.hidden:
-            return
-        if data.strip():
-            self.text.append(data.strip())
-        if self.href is not None and self.links:
-            self.links[-1] = (self.links[-1][0] + data, self.links[-1][1])
-
-
 def parsed_html(html: Column) -> Column:
-    """struct<text, links array<struct<title, href>>> of a page."""
-
-    @F.pandas_udf("text string, links array<struct<title:string,href:string>>")
-    def parse(pages: pd.Series) -> pd.DataFrame:
-        rows = []
-        for page in pages:
-            p = _Page()
-            p.feed(page or "")
-            rows.append(("\n".join(p.text), [{"title": t.strip(), "href": h} for t, h in p.links]))
-        return pd.DataFrame(rows, columns=["text", "links"])
-
-    return parse(html)
+    """struct<text, links array<struct<title, href>>> of a page; a link's title is its text."""
+    shown = F.transform(pages.links(html), lambda x: F.struct(x["text"].alias("title"), x["href"].alias("href")))
+    return F.struct(pages.main_text(html).alias("text"), shown.alias("links"))
 
 
 def gzip_lines(path: str) -> int:

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,3 +104,23 @@ def test_derived(spark):
     assert one(spark, "", lambda c: derived.title(c, c, c, c)) == "Unbenannte Entscheidung"
     assert one(spark, "Nach der DSGVO", lambda c: derived.relevant(F.array().cast("array<string>"), c))
     assert one(spark, "pending_stage1", lambda c: derived.decided(c, F.lit(90))) == "pending_stage1"
+
+
+def test_literals_change_no_match(spark):
+    """What a pattern finds is the same with the search for its literal in front, in all spellings."""
+    pieces = ["DSGVO", "dsgvo", "Datenschutz-Grundverordnung", "Art. 6", "§ 26 BDSG", "Verarbeitung", "personenbezogener", "Daten", "\n", "BfDI", "Recht auf Vergessenwerden", "Bußgeld", "BUSSGELD", "Löschungsanspruch", "EUR 5", "Auſkunft", "privacy by design", "x", "Einwilligung", "datenverarbeitung", "BDSG n.F."]
+    rng = random.Random(8)
+    texts = [(" ".join(rng.choice(pieces) for _ in range(rng.randrange(1, 7))),) for _ in range(150)] + [("",), (None,)]
+    patterns = [p for _, group in legal.RELEVANCE + legal.STAGE1 for p in group] + [p for group in [*legal.CONTEXT, legal.AGAINST] for p in group]
+    df = spark.createDataFrame(texts, "t string")
+    got = df.select(*(F.coalesce(legal.found(F.col("t"), p), F.lit(False)).alias(f"g{k}") for k, p in enumerate(patterns)), *(F.coalesce(F.col("t").rlike(legal.FLAGS + p), F.lit(False)).alias(f"w{k}") for k, p in enumerate(patterns))).collect()
+    n = len(patterns)
+    assert all(r[:n] == r[n:] for r in got) and sum(map(sum, (r[:n] for r in got))) > 300
+
+
+def test_reasons(spark):
+    docs = spark.createDataFrame([("1", "Mietvertrag", "nichts", "AG Bonn"), ("2", "DSGVO", "Datenschutz", "AG Bonn")], "id string, title string, content string, court string").selectExpr("*", "'1 K 1/20' AS case_number", "TIMESTAMP_NTZ '2020-01-01 00:00:00' AS decision_date")
+    rows = legal.two_stage(docs).orderBy("id").collect()
+    assert [r.rejection_reason for r in rows] == ["Stage 1 Score zu niedrig: 0", f"Confidence zu niedrig: {rows[1].confidence:.1f}%"]
+    sure = legal.two_stage(docs, legal.FilterConfig(review_from=5.0)).orderBy("id").collect()[1]
+    assert sure.status == legal.REVIEW_REQUIRED and sure.rejection_reason is None

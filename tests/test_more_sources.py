@@ -242,3 +242,53 @@ def test_reports(spark):
     perf = spark.createDataFrame([("c", 3, 1.5, 2.5)], "component string, n bigint, mean double, p95 double")
     errors = spark.createDataFrame([("type", "E", 2)], "kind string, value string, n bigint")
     assert json.loads(sinks.daily_report_json(perf, errors, "Tag")) == {"title": "Tag", "performance": [{"component": "c", "n": 3, "mean": 1.5, "p95": 2.5}], "errors": [{"kind": "type", "value": "E", "n": 2}]}
+
+
+def test_html_text_and_links(spark):
+    from lexweave.functions import html
+
+    page = "<!DOCTYPE html><p> A&amp;B <b>fett</b><script>var t='</p>';</script></p><!-- <a href='no'>x</a> -->\n[1]\n<style>p{}</style><a class='c' title=' T &lt; ' href='/x?a=1&amp;b=2'>L<i>k</i></a><a href=\"/y\"> zwei </a>"
+    row = spark.createDataFrame([(page,), (None,)], "h string").select(html.main_text(F.col("h")).alias("t"), html.links(F.col("h")).alias("l")).collect()
+    assert row[0].t == "A&B\nfett\n\nL\nk\nzwei" and [tuple(x) for x in row[0].l] == [("T <", "/x?a=1&b=2", "Lk"), ("zwei", "/y", "zwei")]
+    assert (row[1].t, row[1].l) == ("", [])
+    listing = "<ul class='mw-contributions-list'><li>10:12, 3 May 2024 <a href='/index.php?title=A' title='DPA (Italy) - 1'>x</a> (<a href='/index.php?h'>hist</a>)</li></ul><ul class='mw-contributions-list'><li><a href='/index.php?title=U' title='User:U'>x</a></li><li><a href='/other' title='B'>x</a></li></ul>"
+    category = "<div id='mw-pages'><ul><li><a href='/a' title='CJEU - C-1'>x</a></li><li><a href='/b' title='Category:Y'>x</a></li><li>leer</li></ul></div>"
+    got = spark.createDataFrame([(listing, category)], "l string, c string").select(html.new_pages(F.col("l")).alias("l"), html.category_pages(F.col("c")).alias("c")).first()
+    assert [tuple(x) for x in got.l] == [("DPA (Italy) - 1", "/index.php?title=A", "10:12, 3 May 2024")] and [tuple(x) for x in got.c] == [("CJEU - C-1", "/a", None)]
+
+
+def test_clean_text(spark):
+    from lexweave.functions import scalars
+
+    assert spark.createDataFrame([(" FÃ¼r â€œGrÃ¶ÃŸeâ€™s\x07  \t x\n\n\n\ny ",)], "t string").select(scalars.clean_text(F.col("t"))).first()[0] == "Für \"Größe's x\n\ny"
+
+
+def test_excel(spark, tmp_path, data):
+    import xml.etree.ElementTree as ET
+    import zipfile
+    from io import BytesIO
+
+    from lexweave.plans.views import Views
+    from lexweave.sources import excel
+
+    d = Views(spark, data).decisions.limit(50).withColumns({"title": F.concat(F.lit("<&\x01>"), "title"), "court": F.when(F.col("id") > "2", "BGH").otherwise(F.col("court"))})
+    row = excel.excel(d, {"Quelle": "alle"}).first()
+    book = zipfile.ZipFile(BytesIO(bytes(row.workbook)))
+    ns = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
+    sheets = {ET.fromstring(book.read(n)) for n in book.namelist() if "sheets/sheet" in n}
+    assert all(ET.fromstring(book.read(n)) is not None for n in book.namelist()) and len(sheets) == 2
+    rows = [[c.findtext("m:is/m:t", namespaces=ns) for c in r.findall("m:c", ns)] for r in ET.fromstring(book.read("xl/worksheets/sheet1.xml")).iter(f"{{{ns['m']}}}row")]
+    assert row.n == 50 and len(rows) == 51 and rows[0][:3] == ["ID", "Aktenzeichen", "Titel"] and rows[0][-1] == "Qualität" and rows[1][2].startswith("<&>Entscheidung")
+    styles = {c.get("s") for r in ET.fromstring(book.read("xl/worksheets/sheet1.xml")).iter(f"{{{ns['m']}}}c") for c in [r]}
+    assert {"0", "1", "2"} >= styles and "2" in styles
+    assert excel.excel(d.limit(0)).count() == 0
+
+
+def test_datasets(spark, tmp_path):
+    (tmp_path / "a" / "train").mkdir(parents=True)
+    (tmp_path / "a" / "train" / "x.jsonl").write_text('{"id": 1}\n{"id": 2}\n')
+    (tmp_path / "b" / "data").mkdir(parents=True)
+    spark.range(3).toPandas().to_parquet(tmp_path / "b" / "data" / "test-00000-of-00001.parquet")
+    assert readers.read_dataset(spark, str(tmp_path / "a")).count() == 2 and readers.read_dataset(spark, str(tmp_path / "b"), "test").count() == 3
+    with pytest.raises(ValueError, match="no split"):
+        readers.read_dataset(spark, str(tmp_path / "b"), "train")

@@ -179,3 +179,27 @@ def test_stems(spark):
     }
     got = spark.createDataFrame([(w,) for w in want], "w string").select("w", stems.stemmed(F.col("w")).alias("s")).collect()
     assert {r.w: r.s for r in got} == want
+
+
+def test_groups_over_links_of_all_kinds(spark):
+    """Exact, title and content links make groups together; 60 deliveries of one docket are one group."""
+    from lexweave.operators import duplicates
+
+    words = [f"wort{k}" for k in range(40)]
+    rows = [(f"a{k:02d}", f"Titel ganz eigener Art {k * 7919}", "BGH", "1 ZR 1/20", f"2020-01-{k % 28 + 1:02d}", None) for k in range(60)]
+    rows += [("b1", "Urteil zum Bußgeld gegen die Bank", "LG Bonn", "2 O 1/20", "2020-01-01", None), ("b2", "Urteil zum Bussgeld gegen die Bank", "LG Bonn", "9 O 9/20", "2020-05-01", " ".join(words))]
+    rows += [("c1", "Ganz anderes", None, None, "2020-06-01", " ".join(words[:39] + ["neu"])), ("c2", "Noch etwas", None, None, "2021-06-01", " ".join(reversed(words))), ("c3", "Allein", None, None, "2024-06-01", " ".join(words))]
+    df = spark.createDataFrame(rows, "id string, title string, court string, case_number string, d string, text string").withColumn("decision_date", F.to_timestamp("d").cast("timestamp_ntz"))
+    links = duplicates.find_duplicates(df, "text")
+    assert {(r.a, r.b, r.kind) for r in links.filter("kind <> 'exact'").collect()} >= {("b1", "b2", "title"), ("b2", "c1", "content"), ("b2", "c2", "content")}
+    got = {r.id: r["group"] for r in duplicates.grouped(links).collect()}
+    assert {i for i, g in got.items() if g == "a00"} == {f"a{k:02d}" for k in range(60)} and {i for i, g in got.items() if g == "b1"} == {"b1", "b2", "c1", "c2"} and "c3" not in got
+
+
+def test_sources_put_together(spark):
+    from lexweave.operators import duplicates
+
+    one = spark.createDataFrame([("1", "ris", "k", "BGH"), ("2", "ris", None, "BGH")], "id string, source string, case_number string, court string")
+    two = spark.createDataFrame([("3", "manual", "k", "BGH", "neu"), ("4", "swiss", None, "BGH", None)], "id string, source string, case_number string, court string, more string")
+    got = {r.id: (r["group"], r.master, r.more) for r in duplicates.collected(one, two).collect()}
+    assert got == {"1": ("1", False, None), "2": ("2", True, None), "3": ("1", True, "neu"), "4": ("4", True, None)}

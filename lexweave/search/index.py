@@ -204,7 +204,8 @@ def headline(text: Column, wanted: list[str], least: int = 25, most: int = 50, s
     """
     words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
     plain = lambda w: F.regexp_replace(F.lower(w), r"[^\p{L}\p{N}]", "")
-    meant = lambda w: (stem(plain(w)) if stem else plain(w)).isin(*wanted)
+    same = [stem(F.lit(w)) if stem else F.lit(w) for w in wanted]
+    meant = lambda w: F.array_contains(F.array(*same).cast("array<string>"), stem(plain(w)) if stem else plain(w))
 
     def cut(words: Column) -> Column:
         at = F.coalesce(F.array_min(F.filter(F.transform(words, lambda w, i: F.when(meant(w), i)), lambda i: i.isNotNull())), F.lit(0))
@@ -229,7 +230,8 @@ def results(page: DataFrame, df: DataFrame, key: str, text: str, query: str, ste
     The page is small, so df is read once and its texts only for the rows of the page.
     """
     wanted = wanted_words(alternatives(query))
-    have = {c: F.col(c) if c in df.columns else F.lit(None).cast("string") for c in RESULT if c not in ("snippet", "relevance")}
+    kinds = {"gdpr_articles": "array<string>", "decision_date": "timestamp_ntz"}
+    have = {c: F.col(c) if c in df.columns else F.lit(None).cast(kinds.get(c, "string")) for c in RESULT if c not in ("snippet", "relevance")}
     rows = df.join(F.broadcast(page), key)
     snippet = F.nullif(headline(F.col(text), wanted, stem=stem), F.lit(""))
     title = F.concat(F.substring(F.coalesce(have["title"], F.lit("")), 1, 200), F.lit("..."))

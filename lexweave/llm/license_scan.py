@@ -70,7 +70,9 @@ def scan(docs: DataFrame) -> DataFrame:
     grams = F.zip_with(F.slice("words", 1, F.greatest(n - 1, F.lit(0))), F.slice("words", 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     # in front of the k-grams, one that stands for the text, so that texts without a match stay
     first = F.struct(F.lit("").alias("a"), F.lit("").alias("b"))
-    places = texts.select(ROW, "doc_id", n.cast("long").alias("n_words"), F.posexplode(F.concat(F.array(first), grams)).alias("p", "g"))
+    # counted before the k-grams are listed, or each would come with the whole text
+    listed = texts.select(ROW, "doc_id", n.cast("long").alias("n_words"), F.concat(F.array(first), grams).alias("listed"))
+    places = listed.select(ROW, "doc_id", "n_words", F.posexplode("listed").alias("p", "g"))
     places = places.select(ROW, "doc_id", "n_words", "p", "g.a", "g.b", F.xxhash64("g.a", "g.b").alias("hash"))
     templates = _templates(docs.sparkSession)
     place = F.col("p") - 1

@@ -110,22 +110,6 @@ def hashed_with_heads(text: pa.Array, separators: np.ndarray, heads: tuple[int,
         yield at, hashes, cuts, parts
 
 
-def hashed_by_line(text: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """For runs of texts: the number of the first, the hashes of the blank-separated words, each word's line, and each text's bounds among the lines.
-
-    Lines end at a newline or at the end of the text, so that every text has one at least; those of a run are numbered from 0.
-    """
-    for at, data, bounds in _chunks(text):
-        breaks = np.flatnonzero(data == 10)
-        lines = np.concatenate([[0], np.cumsum(np.diff(np.searchsorted(breaks, bounds)) + 1)])
-        if len(data):
-            hashes, cuts, _, starts = _hash(data, bounds, BLANKS, ())
-            line = np.searchsorted(breaks, starts) + np.repeat(np.arange(len(bounds) - 1), np.diff(cuts))
-        else:
-            hashes, line = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        yield at, hashes, line, lines
-
-
 def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """A hash of two hashes in order."""
     with np.errstate(over="ignore"):

@@ -203,3 +203,26 @@ def test_sources_put_together(spark):
     two = spark.createDataFrame([("3", "manual", "k", "BGH", "neu"), ("4", "swiss", None, "BGH", None)], "id string, source string, case_number string, court string, more string")
     got = {r.id: (r["group"], r.master, r.more) for r in duplicates.collected(one, two).collect()}
     assert got == {"1": ("1", False, None), "2": ("2", True, None), "3": ("1", True, "neu"), "4": ("4", True, None)}
+
+
+def test_postings_stand_where_their_row_stands(spark):
+    """No shuffle before the one by lexeme; several rows of one key, and classes that share a word, are put together."""
+    df = spark.createDataFrame([(1, "b a b", ["a"]), (2, "", None), (3, None, ["c", "c d"])], "id bigint, t string, k array<string>")
+    found = index.postings(df, "id", {"t": "A", "k": "B"})
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    rows = lambda df: sorted((r.lexeme, r.id, r.weight, r.positions, r.first) for r in df.collect())
+    assert rows(found) == [("a", 1, "A", [2], True), ("a", 1, "B", [1], False), ("b", 1, "A", [1, 3], True), ("c", 3, "B", [1, 2], True), ("d", 3, "B", [3], True)]
+    twice = df.unionByName(df.limit(1))
+    assert rows(index.postings(twice, "id", {"t": "A"})) == [("a", 1, "A", [2, 2], True), ("b", 1, "A", [1, 1, 3, 3], True)]
+
+
+def test_a_word_of_all_rows_is_dealt_over_tasks(spark, tmp_path, monkeypatch):
+    spark.range(4000).selectExpr("id", "concat('immer wort', id) AS t").write.parquet(str(tmp_path / "in"))
+    monkeypatch.setattr(index, "PART_BYTES", 2_000)
+    df = spark.read.parquet(str(tmp_path / "in"))
+    found = index.PostingsIndex(spark, "test_dealt", "id", {"t": "C"}, buckets=2, path=str(tmp_path / "i"))
+    found.append(df)
+    files = found.table("postings").filter("lexeme = 'immer'").groupBy(F.col("_metadata.file_name").alias("f")).count().collect()
+    assert len(files) > 3 and max(r["count"] for r in files) < 2 * 4000 / len(files)
+    assert found.find("immer & wort7").collect()[0].id == 7 and found.find("immer").count() == 4000
+    assert found.frequencies("immer", "wort3").orderBy("lexeme").collect() == [("immer", 4000, 4000), ("wort3", 1, 1)]

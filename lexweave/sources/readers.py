@@ -104,21 +104,30 @@ def document_count(spark: SparkSession, path: str, kind: str | None = None) -> i
 EURLEX = {"id": "CELEX_NUMBER", "title": "TITLE", "date": "DATE_DOCUMENT", "court": "AUTHOR", "legal_area": "SUBJECT_MATTER", "procedure_type": "PROCEDURE_TYPE"}
 
 
+def flat(tag: str) -> str:
+    """A pattern of elements that hold nothing but up to 100 plain ones without attributes, entities and signs that XML changes or forbids: well-formed, and to be read by patterns."""
+    plain = r"[^<&\]\x00-\x08\x0B-\x1F\x{D800}-\x{DFFF}\x{FFFE}\x{FFFF}]*+"
+    return rf"^<{tag}>(?:\s*+<([A-Z_]++)>{plain}</\1>){{0,100}}+\s*+</{tag}>$"
+
+
 def read_eurlex(spark: SparkSession, path: str) -> DataFrame:
     """(source, id, title, date, court, legal_area, procedure_type, text) of the NOTICE and JUDGMENT elements that have a CELEX number.
 
     A file is split where an element ends, so that large files are read by many tasks; texts are joined
-    by a blank, missing elements are null. A broken element gives no row and harms no other.
+    by a blank, missing elements are null. A broken element gives no row and harms no other. Flat
+    elements, as most are, are read by patterns; only others take an XML parser, which reads them once a field.
     """
-    parts = []
+    parts, value = [], lambda element: f"<{element}>([^<]*)</{element}>"
     for tag in ("NOTICE", "JUDGMENT"):
         opened = spark.read.option("lineSep", f"</{tag}>").text(path).select(F.regexp_extract("value", rf"(?s)<{tag}[\s>].*", 0).alias("open")).filter("open <> ''")
-        xml = opened.select(F.concat("open", F.lit(f"</{tag}>")).alias("xml"))
+        xml = opened.select(F.concat("open", F.lit(f"</{tag}>")).alias("xml")).withColumn("flat", F.col("xml").rlike(flat(tag)))
         # xpath raises on what isn't well-formed, so such elements go first
         parsed = F.from_xml("xml", "CELEX_NUMBER STRING, _broken STRING", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
-        whole = xml.filter(parsed["_broken"].isNull() & ~F.col("xml").rlike(r"&(?!(amp|lt|gt|quot|apos|#\d+|#x[0-9A-Fa-f]+);)"))
-        fields = [F.nullif(F.trim(F.call_function("xpath_string", "xml", F.lit(f"//{element}"))), F.lit("")).alias(name) for name, element in EURLEX.items()]
-        text = F.nullif(F.array_join(F.array_remove(F.call_function("xpath", "xml", F.lit("//TEXT/text()")), ""), " "), F.lit("")).alias("text")
+        whole = xml.filter(F.col("flat") | (parsed["_broken"].isNull() & ~F.col("xml").rlike(r"&(?!(amp|lt|gt|quot|apos|#\d+|#x[0-9A-Fa-f]+);)")))
+        either = lambda pattern, path: F.when(F.col("flat"), pattern).otherwise(path)
+        fields = [F.nullif(F.trim(either(F.regexp_extract("xml", value(element), 1), F.call_function("xpath_string", "xml", F.lit(f"//{element}")))), F.lit("")).alias(name) for name, element in EURLEX.items()]
+        texts = either(F.regexp_extract_all("xml", F.lit(value("TEXT")), F.lit(1)), F.call_function("xpath", "xml", F.lit("//TEXT/text()")))
+        text = F.nullif(F.array_join(F.array_remove(texts, ""), " "), F.lit("")).alias("text")
         parts.append(whole.select(F.lit("eurlex").alias("source"), *fields, text))
     return parts[0].unionByName(parts[1]).filter("id IS NOT NULL")
 

@@ -292,3 +292,18 @@ def test_datasets(spark, tmp_path):
     assert readers.read_dataset(spark, str(tmp_path / "a")).count() == 2 and readers.read_dataset(spark, str(tmp_path / "b"), "test").count() == 3
     with pytest.raises(ValueError, match="no split"):
         readers.read_dataset(spark, str(tmp_path / "b"), "train")
+
+
+def test_flat_eurlex_elements_need_no_parser(spark, tmp_path):
+    """What the pattern takes is read as the parser reads it; all else, broken or not, is left to the parser."""
+    bodies = ["<CELEX_NUMBER>{}</CELEX_NUMBER>\n <TITLE> a\tb > c </TITLE><TEXT></TEXT><TEXT>x</TEXT><TEXT> </TEXT><AUTHOR/>", "<CELEX_NUMBER>{}</CELEX_NUMBER><TITLE>ä \U0001f600</TITLE><TITLE>zwei</TITLE><TEXT>x</TEXT><TEXT> y</TEXT>", "<CELEX_NUMBER>{}</CELEX_NUMBER><TITLE>a &amp; b</TITLE>",
+              "<A><CELEX_NUMBER>{}</CELEX_NUMBER><TITLE k='1'>in</TITLE></A>", "<CELEX_NUMBER>{}</CELEX_NUMBER><TITLE><![CDATA[<c>]]></TITLE>", "<CELEX_NUMBER>{}</CELEX_NUMBER><TITLE>a ]]> b</TITLE>", "<CELEX_NUMBER>{}</CELEX_NUMBER><TITLE>a</TITEL>",
+              "<CELEX_NUMBER>{}</CELEX_NUMBER><TITLE>\x0b</TITLE>", "<TITLE>{}</TITLE>", "<CELEX_NUMBER>{}</CELEX_NUMBER>text", "<!-- <TITLE>no</TITLE> --><CELEX_NUMBER>{}</CELEX_NUMBER>", "<CELEX_NUMBER>{}</CELEX_NUMBER>" + "<X>1</X>" * 500]
+    whole = [f"<NOTICE>{b.format(k)}</NOTICE>" for k, b in enumerate(bodies)]
+    df = spark.createDataFrame(list(enumerate(whole)), "k int, x string")
+    assert [r.k for r in df.filter(F.col("x").rlike(readers.flat("NOTICE"))).orderBy("k").collect()] == [1, 8]
+    (tmp_path / "e").mkdir()
+    (tmp_path / "e/x.xml").write_text("\n".join([*whole, whole[0].replace("<AUTHOR/>", "").replace(">0<", ">12<")]), encoding="utf-8")
+    got = {r.id: (r.title, r.court, r.text) for r in readers.read_eurlex(spark, str(tmp_path / "e")).collect()}
+    assert got["12"] == got["0"] == ("a\tb > c", None, "x  ") and got["1"] == ("ä \U0001f600", None, "x  y")
+    assert got["2"][0] == "a & b" and got["3"][0] == "in" and got["4"][0] == "<c>" and got["10"][0] is None and got["11"] == (None, None, None) and not {"6", "7", "8"} & set(got)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -71,17 +72,59 @@ def literal(pattern: str) -> str:
     return max(re.findall(r"[^\W\d_]+(?![^\W\d_]*[?*])", sure, re.UNICODE), key=len, default="").lower()
 
 
+def _parts(pattern: str) -> tuple[list[str], list[tuple[str, str]]]:
+    """The alternatives of a pattern outside of its groups, and its outermost groups with the sign that follows each."""
+    parts, groups, depth, begin, start, at = [], [], 0, 0, 0, 0
+    while at < len(pattern):
+        c = pattern[at]
+        if c == "\\":
+            at += 1
+        elif c == "[":
+            at = pattern.index("]", at)
+        elif c == "(":
+            start, depth = (at if depth == 0 else start), depth + 1
+        elif c == ")":
+            depth -= 1
+            if depth == 0:
+                groups.append((pattern[start + 1 : at], pattern[at + 1 : at + 2]))
+        elif c == "|" and depth == 0:
+            parts.append(pattern[begin:at])
+            begin = at + 1
+        at += 1
+    return [*parts, pattern[begin:]], groups
+
+
+def needed(pattern: str) -> tuple[tuple[str, ...], ...]:
+    """Sets of texts in lower case: every match of the pattern holds one of each set. None where nothing is sure."""
+
+    def sets(part: str) -> list[tuple[str, ...]]:
+        own = part.lower() if re.fullmatch(r"[^\W\d_]+(?: [^\W\d_]+)*", part) else literal(part)
+        inner = [needed(g.removeprefix("?:")) for g, after in _parts(part)[1] if after not in ("?", "*", "{") and (g.startswith("?:") or not g.startswith("?"))]
+        return sorted({*([(own,)] if own else []), *(x for found in inner for x in found)}, key=lambda x: (-min(map(len, x)), x))  # those that rarely hold come first
+
+    parts = [sets(part) for part in _parts(pattern)[0]]
+    if len(parts) == 1:
+        return tuple(parts[0])
+    return (tuple(dict.fromkeys(w for part in parts for w in part[0])),) if all(parts) else ()
+
+
+def _may(low: Column, sets: tuple[tuple[str, ...], ...]) -> Column:
+    """Whether a lower-cased text may hold a match; the long s and the dotted I are letters to patterns that stay or fall apart in lower-cased texts."""
+    if not sets:
+        return F.lit(True)
+    any_of = lambda words: reduce(lambda a, b: a | b, (low.contains(word) for word in words))
+    return reduce(lambda a, b: a & b, map(any_of, sets)) | low.contains("\u017f") | low.contains("i\u0307")
+
+
 def found(text: Column, *patterns: str, flags: str = FLAGS, low: Column | None = None) -> Column:
-    """Whether any of the patterns matches. Where matches hold a literal, the text is searched for that first, in ``low``, its lower-cased form."""
+    """Whether any of the patterns matches. Where matches hold one of some words, the text is searched for these first, in ``low``, its lower-cased form."""
     low = F.lower(text) if low is None else low
-    guarded: dict[str, list[str]] = {}
+    guarded: dict[tuple, list[str]] = {}
     for pattern in patterns:
-        guarded.setdefault(literal(pattern) if flags == FLAGS else "", []).append(pattern)
+        guarded.setdefault(needed(pattern) if flags == FLAGS else (), []).append(pattern)
     out = F.lit(False)
-    for word, group in guarded.items():
-        match = text.rlike(flags + "|".join(f"(?:{p})" for p in group))
-        # the long s is an s to patterns, but stays in lower-cased texts
-        out = out | ((low.contains(word) | low.contains("\u017f")) & match if word else match)
+    for sets, group in guarded.items():
+        out = out | _may(low, sets) & text.rlike(flags + "|".join(f"(?:{p})" for p in group))
     return out
 
 
@@ -153,44 +196,54 @@ class FilterConfig:
     use_metadata: bool = True
 
 
-def stage1_keywords(text: Column) -> Column:
-    """Up to ten first matches, of up to 50 characters, in the patterns' order."""
-    hits = [F.substring(F.regexp_extract(text, f"{FLAGS}({p})", 1), 1, 50) for _, patterns in STAGE1 for p in patterns]
+def stage1_keywords(text: Column, low: Column | None = None) -> Column:
+    """Up to ten first matches, of up to 50 characters, in the patterns' order; ``low`` as for found()."""
+    low = F.lower(text) if low is None else low
+    hits = [F.when(_may(low, needed(p)), F.substring(F.regexp_extract(text, f"{FLAGS}({p})", 1), 1, 50)).otherwise("") for _, patterns in STAGE1 for p in patterns]
     return F.slice(F.array_distinct(F.array_remove(F.array(*hits), "")), 1, 10)
 
 
-def context_score(content: Column, words: Column) -> Column:
+def context_score(content: Column, words: Column, low: Column | None = None) -> Column:
     """20 for each category of context, less 10 for each pattern against, 5 for each of five keywords with a context term within 200 characters; up to 100, without a floor."""
-    score = F.lit(0.0)
+    low, score = F.lower(content) if low is None else low, F.lit(0.0)
     for patterns in CONTEXT:
-        score = score + F.when(found(content, *patterns), 20.0).otherwise(0.0)
+        score = score + F.when(found(content, *patterns, low=low), 20.0).otherwise(0.0)
     for pattern in AGAINST:
-        score = score - F.when(found(content, pattern), 10.0).otherwise(0.0)
-    low = F.lower(content)
+        score = score - F.when(found(content, pattern, low=low), 10.0).otherwise(0.0)
 
     def near(word: Column) -> Column:
-        at = F.call_function("locate", F.lower(word), low)
-        start = F.greatest(F.lit(0), at - 1 - 200)
-        window = F.call_function("substring", low, start + 1, at - 1 + F.length(word) + 200 - start)
-        has = F.lit(False)
-        for term in CONTEXT_TERMS:
-            has = has | window.contains(term)
-        return (at > 0) & has
+        def window(at: Column) -> Column:
+            start = F.greatest(F.lit(0), at - 1 - 200)
+            return F.when(at > 0, F.call_function("substring", low, start + 1, at - 1 + F.length(word) + 200 - start))
+
+        def has(text: Column) -> Column:
+            out = F.lit(False)
+            for term in CONTEXT_TERMS:
+                out = out | text.contains(term)
+            return out
+
+        # each value once: a lambda works out what it names as often as it names it
+        return let(let(F.call_function("locate", F.lower(word), low), window), has)
 
     return F.least(score + 5.0 * F.size(F.filter(F.slice(words, 1, 5), near)), F.lit(100.0))
 
 
-def structure_score(content: Column) -> Column:
+def structure_score(content: Column, low: Column | None = None) -> Column:
     """40 for a tenor that concerns data protection, 10 each for headnote and reasons, 5 for a remedy."""
+    low = F.lower(content) if low is None else low
+
+    def about(tenor: Column) -> Column:
+        has = F.lit(False)
+        for term in TENOR_TERMS:
+            has = has | tenor.contains(term)
+        return has
+
     tenor = F.lower(F.regexp_extract(content, r"(?isUd)<h[1-4]>.*?Tenor.*?</h[1-4]>(.*?)(?:<h[1-4]>|$)", 1))
-    about = F.lit(False)
-    for term in TENOR_TERMS:
-        about = about | tenor.contains(term)
     return (
-        F.when(found(content, r"<h[1-4]>.*?Tenor.*?</h[1-4]>") & about, 40.0).otherwise(0.0)
-        + F.when(found(content, r"Leitsatz|Orientierungssatz"), 10.0).otherwise(0.0)
-        + F.when(found(content, r"<h[1-4]>.*?(?:Gründe|Entscheidungsgründe).*?</h[1-4]>"), 10.0).otherwise(0.0)
-        + F.when(found(content, r"Rechtsmittel|Revision|Berufung|Beschwerde"), 5.0).otherwise(0.0)
+        F.when(found(content, r"<h[1-4]>.*?Tenor.*?</h[1-4]>", low=low) & let(tenor, about), 40.0).otherwise(0.0)
+        + F.when(found(content, r"Leitsatz|Orientierungssatz", low=low), 10.0).otherwise(0.0)
+        + F.when(found(content, r"<h[1-4]>.*?(?:Gründe|Entscheidungsgründe).*?</h[1-4]>", low=low), 10.0).otherwise(0.0)
+        + F.when(found(content, r"Rechtsmittel|Revision|Berufung|Beschwerde", low=low), 5.0).otherwise(0.0)
     )
 
 
@@ -218,12 +271,14 @@ def two_stage(df: DataFrame, config: FilterConfig = FilterConfig(), title: str =
     null for what isn't rejected.
     """
     text = F.concat_ws(" ", *(F.coalesce(F.col(c), F.lit("")) for c in (title, content, court)))
-    out = df.withColumn("stage1_score", weighted(text, STAGE1)).withColumn("stage1_keywords", stage1_keywords(text))
+    # columns of their own, so that each is worked out once
+    out = df.withColumns({"__text": text, "__body": F.coalesce(F.col(content), F.lit(""))}).withColumns({"__low": F.lower("__text"), "__low_body": F.lower("__body")})
+    text, low, body, low_body = (F.col(c) for c in ("__text", "__low", "__body", "__low_body"))
+    out = out.withColumn("stage1_score", weighted(text, STAGE1, low=low)).withColumn("stage1_keywords", stage1_keywords(text, low))
     passed = F.col("stage1_score") >= config.least_stage1
-    body = F.coalesce(F.col(content), F.lit(""))
     parts = {
-        "context_score": context_score(body, F.col("stage1_keywords")) if config.use_context else F.lit(0.0),
-        "structure_score": structure_score(body) if config.use_structure else F.lit(0.0),
+        "context_score": context_score(body, F.col("stage1_keywords"), low_body) if config.use_context else F.lit(0.0),
+        "structure_score": structure_score(body, low_body) if config.use_structure else F.lit(0.0),
         "metadata_score": metadata_score(F.col(court), F.col(case_number), F.col(decision_date), F.col(title)) if config.use_metadata else F.lit(0.0),
     }
     for name, part in parts.items():
@@ -232,7 +287,7 @@ def two_stage(df: DataFrame, config: FilterConfig = FilterConfig(), title: str =
     status = F.when(~passed, REJECTED).when(F.col("confidence") >= config.approved_from, APPROVED).when(F.col("confidence") >= config.review_from, REVIEW_REQUIRED).otherwise(REJECTED)
     low = F.concat(F.lit("Stage 1 Score zu niedrig: "), F.col("stage1_score").cast("string"))
     unsure = F.concat(F.lit("Confidence zu niedrig: "), F.format_number("confidence", 1), F.lit("%"))
-    return out.withColumn("status", status).withColumn("rejection_reason", F.when(~passed, low).when(F.col("status") == REJECTED, unsure))
+    return out.withColumn("status", status).withColumn("rejection_reason", F.when(~passed, low).when(F.col("status") == REJECTED, unsure)).drop("__text", "__low", "__body", "__low_body")
 
 
 def pass_rates(filtered: DataFrame, least_stage1: int = 2) -> DataFrame:

@@ -124,3 +124,20 @@ def test_reasons(spark):
     assert [r.rejection_reason for r in rows] == ["Stage 1 Score zu niedrig: 0", f"Confidence zu niedrig: {rows[1].confidence:.1f}%"]
     sure = legal.two_stage(docs, legal.FilterConfig(review_from=5.0)).orderBy("id").collect()[1]
     assert sure.status == legal.REVIEW_REQUIRED and sure.rejection_reason is None
+
+
+def test_guards_lose_no_match(spark):
+    """Patterns behind their words find what they find without, with odd letters too."""
+    patterns = [*(p for group in legal.CONTEXT for p in group), *legal.AGAINST, *(p for _, ps in (*legal.STAGE1, *legal.RELEVANCE) for p in ps), "<h[1-4]>.*?(?:Gründe|Entscheidungsgründe).*?</h[1-4]>"]
+    texts = ["eİnwillIgung", "Buſſgeld Daten, Bußgeld EUR 5", "Löſchung angeordnet", "unbefugt verarbeitet", "ohne Einwilligung erhoben", "ohne\tEinwilligung erhoben", "Zustimmung fehlt", "RECHT AUF AUSKUNFT", "Artikel 6 Absatz 1 GDPR", "Art 6 der Verordnung", "DSK", "\u212aein DSGVO", "<h1>GRÜNDE</h1>", "Daten Vorfall", "Transparenz", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    both = df.select("t", *(F.array(legal.found(F.col("t"), p), F.col("t").rlike(legal.FLAGS + p)).alias(f"p{k}") for k, p in enumerate(patterns)))
+    rows = both.collect()
+    assert [(r.t, patterns[k]) for r in rows for k in range(len(patterns)) if r[k + 1][0] != r[k + 1][1]] == [] and sum(r[k + 1][0] for r in rows for k in range(len(patterns))) > 15
+    assert legal.needed("(?:ohne Einwilligung|x).*?Daten(?:schutz)?") == (("daten",), ("ohne einwilligung", "x")) and legal.needed("a|[bc]") == () and legal.needed("(?:a|b)?c") == (("c",),)
+
+
+def test_two_stage_lowers_a_text_twice(spark):
+    df = spark.createDataFrame([("a", "b", "c", "d", None)], "title string, content string, court string, case_number string, decision_date timestamp_ntz")
+    plan = legal.two_stage(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(content") + plan.count("lower(coalesce(content") + plan.count("lower(__") + plan.count("lower(concat_ws") <= 2

@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexweave.stages import written
+
 #: One over the sketch's error, the brackets' half width, and the rows from which on a group is bracketed.
 ACCURACY, HALF, BRACKETED_FROM = 20_000, 2e-4, 50_000
 #: Rows of a block of row numbers; seconds of a block of time.
@@ -91,3 +93,13 @@ def over_last_seconds(df: DataFrame, keys: list[str], time: str, seconds: int, b
     window = Window.partitionBy(*keys, "__block").orderBy("__at").rangeBetween(-seconds * 1_000_000, 0)
     out = dealt.select("*", *(c.over(window).alias(name) for name, c in aggregates.items()))
     return out.filter("__own = __block").drop("__at", "__own", "__block")
+
+
+def row_numbers(df: DataFrame, key: str, order: str, name: str) -> DataFrame:
+    """df with row numbers from 1 within each key, by ``order``: ranges of rows are numbered by themselves, and each adds what stands before it. df is written, so it should have the columns in need only."""
+    rows = written(df.repartitionByRange(key, order).withColumn("__part", F.spark_partition_id()), "row-numbers")
+    sizes = rows.groupBy(F.col(key).alias("__key"), F.col("__part").alias("__own")).agg(F.count("*").alias("n"))
+    before = sizes.select("__key", "__own", (F.sum("n").over(Window.partitionBy("__key").orderBy("__own")) - F.col("n")).alias("__before"))
+    numbered = rows.withColumn("__at", F.row_number().over(Window.partitionBy(key, "__part").orderBy(order)))
+    joined = numbered.join(F.broadcast(before), F.col(key).eqNullSafe(F.col("__key")) & (F.col("__part") == F.col("__own")))
+    return joined.select(*df.columns, (F.col("__before") + F.col("__at")).alias(name))

@@ -5,17 +5,20 @@ from __future__ import annotations
 import uuid
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexweave import stages
 from lexweave.functions import references, variants
 from lexweave.functions.names import anonymised_by
-from lexweave.operators import filters
+from lexweave.operators import filters, ordered
 from lexweave.plans.queries import query
 from lexweave.sources import counted, excel, readers, sinks
 from lexweave.sources.paged import PagedSource
 
+#: Folders that one task writes.
+FOLDERS_PER_TASK = 100
+
 
 def _folder(v, name: str) -> str:
     return f"{stages.folder(v.spark)}/{name}-{uuid.uuid4().hex}"
@@ -169,13 +172,14 @@ def event_files(v):
 @query("SELECT lang AS term, ((k - 1) // 20 + 1)::INT AS page, k - 1 AS place, doc_id::VARCHAR AS id, length(text) AS chars FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS k FROM documents WHERE lang IN ('de', 'en', 'fr'))")
 def paged_listing(v):
     """Listings of the documents of three languages, twenty a page, read through the data source of paged listings."""
-    path, order = _folder(v, "listing"), Window.partitionBy("lang").orderBy("doc_id")
-    docs = v.documents.filter("lang IN ('de', 'en', 'fr')").withColumn("k", F.row_number().over(order))
+    path = _folder(v, "listing")
+    docs = ordered.row_numbers(v.documents.filter("lang IN ('de', 'en', 'fr')").select("lang", "doc_id", F.length("text").alias("chars")), "lang", "doc_id", "k")
     counts = docs.groupBy("lang").agg(F.count("*").alias("count"))
-    item = F.struct("k", F.col("doc_id").alias("id"), F.lit("2024-01-01").alias("updated_date"), F.length("text").alias("chars"))
+    item = F.struct("k", F.col("doc_id").alias("id"), F.lit("2024-01-01").alias("updated_date"), "chars")
     pages = docs.groupBy("lang", (F.floor((F.col("k") - 1) / 20) + 1).alias("page")).agg(F.sort_array(F.collect_list(item)).alias("results"))
     answers = pages.join(counts, "lang").select(F.col("lang").alias("term"), "page", F.to_json(F.struct("count", "results")).alias("value"))
-    answers.repartition("term", "page").write.partitionBy("term", "page").text(path)
+    n = docs.count() // (20 * FOLDERS_PER_TASK) + 1  # a number of its own: by size, all folders would be one task's
+    answers.repartition(n, "term", "page").write.partitionBy("term", "page").text(path)
     v.spark.dataSource.register(PagedSource)
     rows = v.spark.read.format("paged").options(path=path, terms="de,en,fr", page_size="20", pages_per_task="3").load()
     return rows.select("term", "page", "place", "id", F.get_json_object("document", "$.chars").cast("long").alias("chars"))

@@ -226,3 +226,15 @@ def test_a_word_of_all_rows_is_dealt_over_tasks(spark, tmp_path, monkeypatch):
     assert len(files) > 3 and max(r["count"] for r in files) < 2 * 4000 / len(files)
     assert found.find("immer & wort7").collect()[0].id == 7 and found.find("immer").count() == 4000
     assert found.frequencies("immer", "wort3").orderBy("lexeme").collect() == [("immer", 4000, 4000), ("wort3", 1, 1)]
+
+
+def test_row_numbers_of_ranges(spark, monkeypatch):
+    """As one window numbers them, nulls first, without a task for a whole key."""
+    rng = random.Random(8)
+    rows = [(rng.choice(["de", "en", None]), k if k else None) for k in rng.sample(range(3000), 3000)]
+    df = spark.createDataFrame(rows, "lang string, id bigint")
+    seen = []
+    monkeypatch.setattr(ordered, "Window", type("W", (), {"partitionBy": staticmethod(lambda *c: seen.append(c) or Window.partitionBy(*c))}))
+    got = ordered.row_numbers(df, "lang", "id", "k")
+    want = df.select("lang", "id", F.row_number().over(Window.partitionBy("lang").orderBy("id")).alias("k"))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and ("lang", "__part") in seen

@@ -10,12 +10,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexweave.functions.anonymise import ROLES, anonymised
+from lexweave.stages import written
 
 #: Names of one automaton (some 100 MB in a task); more are looked for in further passes over the same batches.
 MOST_NAMES = 200_000
 # Placeholders by kind.
 PLACEHOLDERS = {"PERSON": "Person", "ORGANIZATION": "Organisation", "LOCATION": "Ort"}
 
+#: Rows and bytes of text that a task holds as Python values at once, whatever the size of the Arrow batches.
+SLICE_ROWS, SLICE_BYTES = 200, 4 << 20
+
 _SPANS = "array<struct<begin:int,end:int,kind:string>>"
 
 
@@ -27,10 +31,19 @@ def _automaton(names: list[tuple[str, str]]) -> ahocorasick.Automaton:
     return made
 
 
+def _slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of up to SLICE_ROWS rows, or of one row where it is so long."""
+    for batch in batches:
+        mean = max(1, batch.column(text).nbytes // max(1, batch.num_rows))
+        step = max(1, min(SLICE_ROWS, SLICE_BYTES // mean))
+        for begin in range(0, max(1, batch.num_rows), step):
+            yield batch.slice(begin, step)
+
+
 def _found(batches: Iterator[pa.RecordBatch], names: list[tuple[str, str]], text: str) -> Iterator[pa.RecordBatch]:
     """Adds the places where a name stands as whole words to the column of spans."""
     automaton = _automaton(names)
-    for batch in batches:
+    for batch in _slices(batches, text):
         every = []
         for value, spans in zip(batch.column(text).to_pylist(), batch.column("__spans").to_pylist(), strict=True):
             spans = spans or []
@@ -66,7 +79,7 @@ def replaced(text: str, spans: list[tuple[int, int, str]]) -> tuple[str, dict[st
 
 def _texts(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
     kinds = [("anonymised", pa.string()), ("names", pa.map_(pa.string(), pa.string())), ("error", pa.string())]
-    for batch in batches:
+    for batch in _slices(batches, text):
         rows = []
         for value, spans in zip(batch.column(text).to_pylist(), batch.column("__spans").to_pylist(), strict=True):
             try:
@@ -94,6 +107,7 @@ def without_names(docs: DataFrame, text: str, names: DataFrame) -> DataFrame:
         part = [(r["name"], r["kind"]) for r in known.filter(F.pmod(F.xxhash64("name"), F.lit(blocks)) == block).collect()]
         if part:
             sent = spark.sparkContext.broadcast(part)
+            rows = written(rows, "names") if block else rows  # otherwise the automata of all blocks stand in memory together
             rows = rows.mapInArrow(lambda it, sent=sent: _found(it, sent.value, text), rows.schema)
     out = docs.withColumns({"anonymised": F.lit(""), "names": F.lit(None).cast("map<string,string>"), "error": F.lit(None).cast("string")}).schema
     return rows.mapInArrow(lambda it: _texts(it, text), out)

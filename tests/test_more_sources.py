@@ -6,6 +6,7 @@ import statistics
 from datetime import date, datetime
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -307,3 +308,16 @@ def test_flat_eurlex_elements_need_no_parser(spark, tmp_path):
     got = {r.id: (r.title, r.court, r.text) for r in readers.read_eurlex(spark, str(tmp_path / "e")).collect()}
     assert got["12"] == got["0"] == ("a\tb > c", None, "x  ") and got["1"] == ("ä \U0001f600", None, "x  y")
     assert got["2"][0] == "a & b" and got["3"][0] == "in" and got["4"][0] == "<c>" and got["10"][0] is None and got["11"] == (None, None, None) and not {"6", "7", "8"} & set(got)
+
+
+def test_names_of_several_blocks_are_looked_for_one_after_another(spark, monkeypatch):
+    """A task has one automaton at a time, and few rows as Python values, with the same results."""
+    words = [f"Name{k}" for k in range(30)]
+    docs = spark.createDataFrame([(k, f"{words[k % 30]} und {words[(k * 7) % 30]}, Name, {words[k % 30]}x") for k in range(500)] + [(500, None), (501, "Name3 " * 3000)], "id bigint, t string").coalesce(1)
+    table = spark.createDataFrame([(w, "PERSON" if k % 2 else "LOCATION") for k, w in enumerate(words)], "name string, kind string")
+    want = sorted(map(str, names.without_names(docs, "t", table).collect()))
+    monkeypatch.setattr(names, "MOST_NAMES", 8)
+    got = names.without_names(docs, "t", table)
+    assert got._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 2 and sorted(map(str, got.collect())) == want
+    batch = pa.RecordBatch.from_pydict({"t": ["x" * 10] * 1000 + [None]})
+    assert [b.num_rows for b in names._slices(iter([batch]), "t")] == [200] * 5 + [1]

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lexweave import stages
 from lexweave.functions.scalars import normalized
 from lexweave.operators import event_stats, graph, ordered, titles
 from lexweave.search import index, stems
@@ -238,3 +239,28 @@ def test_row_numbers_of_ranges(spark, monkeypatch):
     got = ordered.row_numbers(df, "lang", "id", "k")
     want = df.select("lang", "id", F.row_number().over(Window.partitionBy("lang").orderBy("id")).alias("k"))
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and ("lang", "__part") in seen
+
+
+def test_content_join_is_exact_whatever_the_cells(spark, monkeypatch):
+    """The same pairs as brute force, with cells that many words share; words aren't joined with their counts."""
+    from lexweave.operators import duplicates
+
+    rng = random.Random(4)
+    base = [[f"w{rng.randrange(300)}" for _ in range(30)] for _ in range(12)]
+    rows = [(k, " ".join([*base[k % 12][: 30 - k % 4], f"n{k % 5}"]), 2000 + k % 3) for k in range(150)] + [(900, None, 2000), (901, "!", 2000)]
+    df = spark.createDataFrame(rows, "id bigint, text string, year int")
+    sets, first = {}, {}
+    for k, text, year in rows:
+        words = frozenset(w for w in (text or "").split() if w != "!")
+        if words and (year, words) not in first:
+            first[year, words] = k
+            sets[k] = (year, words)
+    want = {(a, b) for a, (y, v) in sets.items() for b, (z, w) in sets.items() if a < b and abs(y - z) <= 1 and 10 * len(v & w) >= 9 * len(v | w)}
+    for bits in (18, 2):
+        monkeypatch.setattr(duplicates, "CELL_BITS", bits)
+        found = duplicates.similar_contents(df)
+        assert {(r.a, r.b) for r in found.collect()} == want and len(want) > 20
+    monkeypatch.setattr(duplicates, "written", lambda df, name: seen.append(df._jdf.queryExecution().optimizedPlan().toString()) or stages.written(df, name))
+    seen = []
+    duplicates.similar_contents(df)
+    assert len(seen) == 2 and "Join" not in seen[1]

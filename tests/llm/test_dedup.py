@@ -1,11 +1,13 @@
 import hashlib
 import random
+import time
 from collections import defaultdict
 
 import pytest
 from conftest import AZ, words
+from pyspark.sql import functions as F
 
-from lexweave.llm import exact_dedup, line_dedup, minhash_dedup
+from lexweave.llm import exact_dedup, line_dedup, minhash_dedup, shared
 from lexweave.llm.shared import ROW, components, numbered
 
 EDGE = [(1, None), (2, ""), (3, "A b"), (4, "a B"), (4, "a B"), (None, "a b"), (5, "É"), (6, "é"), (7, "word " * 30000), (8, "word " * 30000), (9, "one"), (10, " \n\t ")]
@@ -177,3 +179,29 @@ def test_numbered(spark, table):
         assert got.select(ROW).distinct().count() == df.count() == got.count()
     with pytest.raises(ValueError):
         numbered(docs.withColumnRenamed("score", ROW))
+
+
+def test_saved_stages_leave_no_shuffle_files(spark):
+    def shuffled():
+        files = spark._jsparkSession.sparkContext().env().blockManager().diskBlockManager().getAllFiles()
+        return {f for f in str(files.mkString("\n")).split("\n") if "shuffle_" in f}
+
+    before = shuffled()
+    table = shared.saved(spark.range(20_000).groupBy((F.col("id") % 999).alias("k")).count(), "counts")
+    end = time.time() + 20  # files go in the background
+    while shuffled() - before and time.time() < end:
+        time.sleep(0.2)
+    assert not shuffled() - before
+    assert table.count() == 999
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_line_sets_meet_their_likeliest_first(spark, monkeypatch):
+    """Of many alike earlier lines a line meets one, and the others only where that one isn't similar enough."""
+    words = [f"w{k}" for k in range(20)]
+    rows = [(k, " ".join([*words, f"own{k}"])) for k in range(30)] + [(99, "quite another line of five")]
+    seen, verified = [], line_dedup._verified
+    monkeypatch.setattr(line_dedup, "_verified", lambda pairs, sets: seen.append(pairs.count()) or verified(pairs, sets))
+    got = {r.doc_id: r.removed for r in line_dedup.find_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {k: 0 < k < 99 for k, _ in rows}
+    assert sum(seen) == 29

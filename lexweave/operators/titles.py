@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexweave.functions.scalars import court_code, let, normalized
+from lexweave.stages import written
 
 #: Fixed value: least similarity of titles.
 TITLE_FROM = 0.85
@@ -30,10 +31,16 @@ def bag(text: Column) -> Column:
     return let(signs, lambda s: F.transform(s, lambda c, i: F.concat(c, (i - F.array_position(s, c) + 1).cast("string"))))
 
 
-def distinct_titles(df: DataFrame) -> DataFrame:
-    """(kind, norm, id) of df (id, title, court): each normalised title of a court type once, with its smallest id."""
-    rows = df.select("id", court_code(F.col("court")).alias("kind"), normalized(F.col("title")).alias("norm"))
-    return rows.filter("kind IS NOT NULL AND norm <> ''").groupBy("kind", "norm").agg(F.min("id").alias("id"))
+def titles_once(df: DataFrame) -> DataFrame:
+    """(kind, title, norm, id) of df (id, title, court): each title of a court type once as it stands, so that it is normalised once, with its smallest id."""
+    rows = df.select("id", "title", court_code(F.col("court")).alias("kind")).filter("kind IS NOT NULL AND title IS NOT NULL")
+    once = rows.groupBy("kind", "title").agg(F.min("id").alias("id"))
+    return once.select("kind", "title", normalized(F.col("title")).alias("norm"), "id").filter("norm <> ''")
+
+
+def distinct_titles(titles: DataFrame) -> DataFrame:
+    """(kind, norm, id) of what titles_once gives: each normalised title of a court type once, with its smallest id."""
+    return titles.groupBy("kind", "norm").agg(F.min("id").alias("id"))
 
 
 def bag_pairs(titles: DataFrame, least: float = TITLE_FROM) -> DataFrame:
@@ -70,7 +77,12 @@ def title_pairs(df: DataFrame, least: float = TITLE_FROM) -> DataFrame:
     Of equal titles of a court type the smallest id stands for all. Titles without words and courts
     of no known type have no pairs; an empty table has none.
     """
-    pairs = bag_pairs(distinct_titles(df), least).select("a", "b", "x", "y")
+    return pairs_among(written(distinct_titles(titles_once(df)), "titles"), least)
+
+
+def pairs_among(titles: DataFrame, least: float = TITLE_FROM) -> DataFrame:
+    """title_pairs of a written table that distinct_titles gives."""
+    pairs = bag_pairs(titles, least).select("a", "b", "x", "y")
     ids = pairs.schema
     kinds = f"a {ids['a'].dataType.simpleString()}, b {ids['b'].dataType.simpleString()}, similarity double"
     return pairs.mapInArrow(_ratios, kinds).filter(F.col("similarity") >= least)

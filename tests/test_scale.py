@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lexweave import stages
 from lexweave.functions.scalars import normalized
-from lexweave.operators import event_stats, graph, ordered, titles
+from lexweave.operators import duplicates, event_stats, graph, ordered, titles
 from lexweave.search import index, stems
 
 
@@ -42,6 +42,23 @@ def test_components_of_random_graphs(spark):
     assert graph.components(spark.createDataFrame([("x", "x")], "a string, b string")).count() == 0
 
 
+def test_stars_of_first_ids_go_in_one_round(spark, monkeypatch):
+    names, written = [], graph.written
+    monkeypatch.setattr(graph, "written", lambda df, name: names.append(name) or written(df, name))
+    links = spark.range(1000).select((F.col("id") - F.col("id") % 100).alias("a"), F.col("id").alias("b"))
+    got = {r.id: r["group"] for r in graph.components(links).collect()}
+    assert got == {k: k - k % 100 for k in range(1000)} and names.count("graph-names") == 1
+
+
+def test_titles_are_normalised_once(spark):
+    df = spark.createDataFrame([(1, "Urteil A", "BGH"), (2, "urteil a!", "BGH"), (3, "Urteil A", "BGH"), (4, "Urteil A", "LG Bonn"), (5, None, "BGH"), (6, "?", "BGH"), (7, "Urteil A", None)], "id bigint, title string, court string")
+    once = titles.titles_once(df)
+    assert sorted((r.title, r.norm, r.id) for r in once.collect()) == [("Urteil A", "urteil a", 1), ("Urteil A", "urteil a", 4), ("urteil a!", "urteil a", 2)]
+    assert sorted(r.id for r in titles.distinct_titles(once).collect()) == [1, 4]
+    cases = df.withColumns({"case_number": F.lit(None).cast("string"), "decision_date": F.lit(None).cast("timestamp_ntz")})
+    assert sorted((r.a, r.b) for r in duplicates.find_duplicates(cases).collect()) == [(1, 2), (1, 3)]
+
+
 def test_title_join_loses_no_pair(spark):
     rng = random.Random(3)
     words = ["Entscheidung", "Bußgeld", "Müller", "Auskunft", "Gericht", "über", "17", "4711", "Klage", "x", "ab\U0001f600"]

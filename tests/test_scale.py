@@ -281,3 +281,21 @@ def test_content_join_is_exact_whatever_the_cells(spark, monkeypatch):
     seen = []
     duplicates.similar_contents(df)
     assert len(seen) == 2 and "Join" not in seen[1]
+
+
+def test_postings_are_put_together_in_arrow_tasks(spark, monkeypatch):
+    """No expression over each word's neighbours is left, and runs of rows, classes, nulls and empty texts keep their places."""
+    monkeypatch.setattr(index, "GATHERED_ROWS", 3)
+    rng = random.Random(8)
+    texts = [(k, rng.choice([None, "", " ".join(rng.choice("abcdé") for _ in range(rng.randrange(9)))]), rng.choice([None, "a b a", "e"]), rng.choice([None, "c a"])) for k in range(40)]
+    df = spark.createDataFrame(texts, "id bigint, t string, u string, v string")
+    want = {}
+    for k, *fields in texts:
+        for kind, text in zip("CAC", fields, strict=True):
+            for at, word in enumerate((text or "").split(), 1):
+                want.setdefault((word, k), {}).setdefault(kind, []).append(at)
+    expected = sorted((w, k, kind, sorted(at), kind == min(kinds)) for (w, k), kinds in want.items() for kind, at in kinds.items())
+    found = index.postings(df, "id", {"t": "C", "u": "A", "v": "C"})
+    assert sorted((r.lexeme, r.id, r.weight, r.positions, r["first"]) for r in found.collect()) == expected
+    assert "lambdafunction(struct" not in found._jdf.queryExecution().executedPlan().toString()
+    assert index.postings(df.limit(0), "id", {"t": "C"}).count() == 0

@@ -299,3 +299,15 @@ def test_postings_are_put_together_in_arrow_tasks(spark, monkeypatch):
     assert sorted((r.lexeme, r.id, r.weight, r.positions, r["first"]) for r in found.collect()) == expected
     assert "lambdafunction(struct" not in found._jdf.queryExecution().executedPlan().toString()
     assert index.postings(df.limit(0), "id", {"t": "C"}).count() == 0
+
+
+def test_buckets_of_many_short_rows_are_dealt(spark, monkeypatch, tmp_path):
+    """A word of all rows isn't sorted by one task, even where the files are small."""
+    monkeypatch.setattr(index, "PART_ROWS", 100)
+    df = spark.range(1000).select("id", F.lit("alle").alias("t"))
+    made = index.PostingsIndex(spark, "short_rows", "id", {"t": "A"}, buckets=2, path=str(tmp_path / "short_rows"))
+    made.append(df)
+    postings = made.table("postings")
+    per_file = [r["count"] for r in postings.groupBy(F.input_file_name()).count().collect()]
+    assert len(per_file) == 10 and sum(per_file) == 1000 and max(per_file) < 200
+    assert made.find("alle").count() == 1000

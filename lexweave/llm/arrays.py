@@ -6,7 +6,7 @@ import mmap
 import os
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 from pyarrow import fs
@@ -25,6 +25,41 @@ def write(uri: str, values: np.ndarray) -> str:
     return uri
 
 
+def small(values: np.ndarray) -> np.ndarray:
+    """Counts as a byte each; those from 255 on follow with their places."""
+    big = np.flatnonzero(values >= 255)
+    tail = np.concatenate([big, values[big]]).astype("<i8").tobytes()
+    return np.concatenate([np.minimum(values, 255).astype(np.uint8), np.zeros(-len(values) % 8, np.uint8), np.frombuffer(tail, np.uint8)])
+
+
+def small_at(data: np.ndarray, size: int, places: np.ndarray) -> np.ndarray:
+    """The counts at places of what small() made of ``size`` counts."""
+    out = data[places].astype(np.int64)
+    at = np.flatnonzero(out == 255)
+    if len(at):
+        big, full = data[size + -size % 8 :].view("<i8").reshape(2, -1)
+        out[at] = full[np.searchsorted(big, places[at])]
+    return out
+
+
+def write_sections(uri: str, parts: Sequence[np.ndarray]) -> tuple[str, list[int]]:
+    """Write arrays to one file, each from a multiple of 8 on; its name, and where they begin and end."""
+    data, cuts = [], []
+    at = 0
+    for x in parts:
+        own = np.ascontiguousarray(x).view(np.uint8).ravel()
+        cuts += [at, at + len(own)]
+        data += [own, np.zeros(-len(own) % 8, np.uint8)]
+        at += len(own) + -len(own) % 8
+    return write(uri, np.concatenate(data)), cuts
+
+
+def sections(uri: str, cuts: Sequence[int], kinds: Sequence[str]) -> list[np.ndarray]:
+    """The arrays that write_sections() wrote."""
+    data = read(uri, "u1")
+    return [data[a:b].view(kind) for a, b, kind in zip(cuts[::2], cuts[1::2], kinds, strict=True)]
+
+
 _open: dict[tuple[str, str], np.ndarray] = {}
 
 
@@ -65,12 +100,18 @@ class Sorted:
                 out[a:b] = np.where(own[place] == keys[a:b], place + begin, -1)
         return out
 
+    def by_part(self, places: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """The numbers of the files that places (-1 for none) fall in, and which places do."""
+        order = np.argsort(places, kind="stable")
+        cuts = np.searchsorted(places[order], self.begin)
+        for k in np.flatnonzero(np.diff(cuts)):
+            yield int(k), order[cuts[k] : cuts[k + 1]]
+
     def values(self, places: np.ndarray, which: int, missing: float = 0) -> np.ndarray:
-        """The values at sorted or unsorted places; ``missing`` for -1."""
+        """The values at sorted or unsorted places; ``missing`` for -1. Those of the kind "small" are what small() makes of counts."""
         kind = self.kinds[which]
-        out = np.full(len(places), missing, kind)
-        part = np.searchsorted(self.begin, places, "right") - 1
-        for k in np.unique(part[places >= 0]):
-            at = np.flatnonzero((part == k) & (places >= 0))
-            out[at] = read(self.parts[k][3][which], kind)[places[at] - self.begin[k]]
+        out = np.full(len(places), missing, np.int64 if kind == "small" else kind)
+        for k, at in self.by_part(places):
+            own, file = places[at] - self.begin[k], self.parts[k][3][which]
+            out[at] = small_at(read(file, "u1"), self.parts[k][1], own) if kind == "small" else read(file, kind)[own]
         return out

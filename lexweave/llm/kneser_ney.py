@@ -1,10 +1,16 @@
 """Interpolated modified Kneser-Ney n-gram model, counted in Spark and memory-mapped for scoring.
 
-Spark counts words and n-grams, sorts them by range and writes them as sorted arrays: the words' 64-bit
-hashes, whose places are the words' numbers, the pairs of numbers, 32 bits each, and the 64-bit hashes
-of longer n-grams' numbers. Workers map these files into memory and look sorted keys up, so that a lookup moves forward through the files
-and the operating system shares their pages among workers. The driver only sees the list of files and
-the sums that the discounts need (Chen and Goodman, 1999).
+Spark counts words and writes their 64-bit hashes as sorted arrays, in which a word's place is its
+number. N-grams of the highest order are rows of numbers. Tasks count them by runs of texts and send
+them to parts, equal ranges of a hash of their context (all words but the last), as columns that are
+packed, so that a row takes some five bytes of the shuffle. A part sums its n-grams up, writes them as
+lists of last words and counts by context, and sends what follows for the next lower order: n-grams of
+that order with the number of different words before them, again by ranges of their hash. As those are
+the contexts of the order above, each in the same part and at the same place, no context is written
+twice. A context with a single word takes five bytes of its own and no list. Workers map the files
+into memory and look sorted keys up, so that a lookup moves forward through the files and the operating
+system shares their pages among workers. The driver only sees the list of files and the counts of
+counts that the discounts need (Chen and Goodman, 1999).
 
 P(w | v) = max(0, c(v w) - D) / c(v .) + g(v) * P1(w), where g(v) is the mass that discounting freed;
 P1 interpolates the continuation counts N1+(. w) in the same way with 1 / (V + 1), the share of any
@@ -16,6 +22,7 @@ mark, which is predicted.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,8 +32,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexweave.llm import arrays
-from lexweave.llm.shared import forget, saved, schema_with, shared_dir, small_batches
-from lexweave.llm.words import BLANKS, column, hashed, pair
+from lexweave.llm.shared import cleaned, forget, saved, schema_with, shared_dir, small_batches
+from lexweave.llm.words import BLANKS, column, hashed, mix, pair
 
 #: The hash that stands for the end mark (no word has it but by chance).
 END = np.uint64(0x454E44)
@@ -34,28 +41,29 @@ END = np.uint64(0x454E44)
 ORDER = 3
 #: Counts that a task gathers before it sends them on.
 GATHERED = 1 << 21
+#: Tokens for each part of the model, on average, so that a part fits a task's memory.
+PART = 1 << 21
+#: Turns in which a lower order is dealt out, so that its shuffle takes a fraction of the disk at a time.
+TURNS = 4
+#: Tokens that are looked up at a time.
+TOGETHER = 1 << 19
 
-
-@dataclass
-class Level:
-    """N-grams of three words or more."""
-
-    order: int
-    grams: arrays.Sorted  # by the hash of their words' numbers; value: count
-    contexts: arrays.Sorted  # by the hash of the numbers of all words but the last; values: g, sum of counts
-    discounts: tuple[float, float, float]
+#: What an n-gram has below the two highest orders: its count, and as a context the sum of the counts after it and how many of these are 1, 2 and more.
+_SUMS = ["c", "total", "once", "twice", "more"]
+_ROWS = "part int, size int, packed binary"
 
 
 @dataclass
 class Model:
+    order: int
     words: arrays.Sorted  # by hash; value: count
-    pairs: arrays.Sorted  # by the two words' numbers; value: count
-    stats: arrays.Sorted  # by word number; values: P1, g, c(v .)
     n_tokens: int
     n_words: int
+    levels: list[arrays.Sorted]  # orders from 1 to the last but one, by the hash of the numbers; values: the count and, but for the last, _SUMS
+    lists: list[tuple[str, list[int]]]  # of the highest order, by part of the last level: the file and where its sections begin
+    discounts: list[tuple[float, float, float]]  # of orders from 1 on
+    types: int  # the sum of the counts of order 1
     unknown: float  # P1 of an unknown word
-    discounts: tuple[float, float, float]
-    higher: list[Level]  # orders from 3 on
 
 
 class _Gather:
@@ -105,24 +113,6 @@ def _numbers(model_words: arrays.Sorted, words: np.ndarray) -> tuple[np.ndarray,
     return model_words.find(key), at
 
 
-def _pair_keys(number: np.ndarray, bounds: np.ndarray, n_words: int) -> np.ndarray:
-    """For each token the key of the token before it and itself; n_words is the start mark's number; -1 where either is unknown."""
-    before = np.empty_like(number)
-    before[1:] = number[:-1]
-    before[bounds[:-1]] = n_words
-    return np.where((before >= 0) & (number >= 0), before << 32 | number, -1)
-
-
-def _pairs(batches: Iterator[pa.RecordBatch], words: arrays.Sorted, n_words: int) -> Iterator[pa.RecordBatch]:
-    gather = _Gather()
-    for batch in batches:
-        for _, tokens, bounds in hashed(column(batch, "text"), BLANKS):
-            tokens, bounds = _with_ends(tokens, bounds)
-            number, at = _numbers(words, tokens)
-            yield from gather.add(_pair_keys(number[at], bounds, n_words))
-    yield from gather.flush()
-
-
 def _windows(number: np.ndarray, bounds: np.ndarray, order: int, start: int) -> np.ndarray:
     """A row for each token: the numbers of the order - 1 tokens before it, start marks where the text begins, and its own."""
     place = np.arange(len(number)) - np.repeat(bounds[:-1], np.diff(bounds))
@@ -133,60 +123,178 @@ def _windows(number: np.ndarray, bounds: np.ndarray, order: int, start: int) ->
     return out
 
 
-def _hashes(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of rows of numbers, and of the rows without their last number; -1 where a number is unknown (-1)."""
-    context = grams[:, 0].astype(np.uint64)
+def _keys(grams: np.ndarray) -> np.ndarray:
+    """Hashes of rows of numbers."""
+    key = mix(grams[:, 0].astype(np.uint64))
     for k in range(1, grams.shape[1]):
-        before, context = context, pair(context, grams[:, k].astype(np.uint64))
-    lost = (grams < 0).cumsum(axis=1) > 0
-    return np.where(lost[:, -1], -1, context.view(np.int64)), np.where(lost[:, -2], -1, before.view(np.int64))
+        key = pair(key, grams[:, k].astype(np.uint64))
+    return key.view(np.int64)
+
+
+def _parts_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each key, of so many equal ranges."""
+    return (((keys >> 33) + (1 << 30)) * parts) >> 31
+
 
+def _planes(x: np.ndarray) -> np.ndarray:
+    """The lowest bytes of all values, then the next ones, and so on: most are 0 and take no space when compressed."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.ravel()
 
-def _grams(batches: Iterator[pa.RecordBatch], words: arrays.Sorted, order: int, start: int) -> Iterator[pa.RecordBatch]:
-    """(text) -> (w0, w1, ..., c), counts by run of texts"""
+
+def _packed(grams: np.ndarray, sums: np.ndarray, keys: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+    """Rows of numbers and of their sums as _ROWS, a row for each part that the keys are in."""
+    part = _parts_of(keys, parts)
+    order = np.lexsort((*grams[:, 1::-1].T, part))
+    grams, sums, part = grams[order].astype("<i4"), sums[order].astype("<i8"), part[order]
+    codec, cuts = pa.Codec("zstd", compression_level=1), np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(part))
+    rows = []
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        columns = [np.diff(grams[a:b, 0], prepend=np.int32(0)), *grams[a:b, 1:].T, *sums[a:b].T]
+        rows.append((int(part[a]), int(b - a), codec.compress(np.concatenate([_planes(x) for x in columns]), asbytes=True)))
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], ["part", "size", "packed"])
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch], order: int, n_sums: int) -> tuple[int, np.ndarray, np.ndarray] | None:
+    """The part, numbers and sums of a task's _ROWS, which are of one part."""
+    codec, part, grams, sums = pa.Codec("zstd"), -1, [], []
     for batch in batches:
-        for _, tokens, bounds in hashed(column(batch, "text"), BLANKS):
-            tokens, bounds = _with_ends(tokens, bounds)
-            number, at = _numbers(words, tokens)
-            rows = _windows(number[at], bounds, order, start)
-            _, first, c = np.unique(_hashes(rows)[0], return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([*(pa.array(x.astype(np.int32)) for x in rows[first].T), pa.array(c)], [*_names(order), "c"])
+        for row in batch.to_pylist():
+            if part not in (-1, row["part"]):
+                raise RuntimeError("a task takes one part")
+            part, size = row["part"], row["size"]
+            data = np.frombuffer(codec.decompress(row["packed"], size * (4 * order + 8 * n_sums)), np.uint8)
+            take = lambda at, width, kind: np.ascontiguousarray(data[at * size : (at + width) * size].reshape(width, size).T).view(kind).ravel()  # noqa: B023, E731
+            columns = [take(4 * k, 4, "<i4") for k in range(order)]
+            columns[0] = np.cumsum(columns[0], dtype=np.int32)
+            grams.append(np.stack(columns, axis=1))
+            sums.append(np.stack([take(4 * order + 8 * k, 8, "<i8") for k in range(n_sums)], axis=1))
+    return (part, np.concatenate(grams), np.concatenate(sums)) if grams else None
+
+
+def _summed(keys: np.ndarray, grams: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One row for each key, in their order."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return keys[first], grams[order[first]], np.add.reduceat(sums[order], first, axis=0)
+
+
+def _grams(batches: Iterator[pa.RecordBatch], words: arrays.Sorted, order: int, start: int, parts: int) -> Iterator[pa.RecordBatch]:
+    """(text) -> n-grams with their counts, by run of texts, as _ROWS in the part of the context.
+
+    The n - 1 last tokens of a text are a context too, that of the number -1, which isn't counted.
+    """
+    runs, size = [], 0
 
+    def flush(most: int) -> Iterator[pa.RecordBatch]:
+        nonlocal runs, size
+        if not runs:
+            return
+        keys, grams, c = _summed(*(np.concatenate(x) for x in zip(*runs, strict=True)))
+        if len(keys) <= most:
+            runs, size = [(keys, grams, c)], len(keys)
+            return
+        runs, size = [], 0
+        yield from _packed(grams, c, _keys(grams[:, :-1]), parts)
 
-def _hashed_grams(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordBatch]:
-    """(w0, w1, ..., c) -> (key, context, c)"""
     for batch in batches:
-        key, context = _hashes(np.stack([batch.column(x).to_numpy().astype(np.int64) for x in _names(order)], axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(context), batch.column("c")], ["key", "context", "c"])
+        for tokens, bounds in _together(column(batch, "text")):
+            number, at = _numbers(words, tokens)
+            number = np.insert(number[at], bounds[1:], -1)
+            grams = _windows(number, bounds + np.arange(len(bounds)), order, start)
+            runs.append(_summed(_keys(grams), grams.astype(np.int32), (number >= 0).astype(np.int64)[:, None]))
+            size += len(runs[-1][0])
+            if size > GATHERED:
+                yield from flush(GATHERED // 2)
+    yield from flush(0)
+
+
+def _together(text: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hashes of the words and end marks of some texts, and their bounds."""
+    some, n = [], 0
+
+    def out() -> tuple[np.ndarray, np.ndarray]:
+        tokens = np.concatenate([x for x, _ in some])
+        return tokens, np.append(0, np.cumsum(np.concatenate([np.diff(b) for _, b in some])))
 
+    for _, words, bounds in hashed(text, BLANKS):
+        some.append(_with_ends(words, bounds))
+        n += len(some[-1][0])
+        if n > TOGETHER:
+            yield out()
+            some, n = [], 0
+    if some:
+        yield out()
 
-def _names(order: int) -> list[str]:
-    return [f"w{k}" for k in range(order)]
 
+def _counts(c: np.ndarray) -> list[int]:
+    """How many counts are 1, 2, 3, 4, and 3 or more, and their sum."""
+    return [*(int((c == k).sum()) for k in (1, 2, 3, 4)), int((c >= 3).sum()), int(c.sum())]
 
-def _level(counted: DataFrame, order: int, uri: str) -> Level:
-    """counted (w0, w1, ..., c), a written table, as sorted arrays of hashes."""
-    grams = counted.mapInArrow(lambda it: _hashed_grams(it, order), "key bigint, context bigint, c bigint")
-    c = F.col("c")
-    off = discounts(list(counted.agg(*(F.count_if(c == k) for k in (1, 2, 3, 4))).first()))
-    less = F.when(c >= 3, off[2]).when(c == 2, off[1]).otherwise(off[0])
-    contexts = saved(grams.groupBy("context").agg(F.sum(less).alias("freed"), F.sum(c).cast("double").alias("total")), "contexts")
-    by_context = _written(contexts.select("context", (F.col("freed") / F.col("total")).alias("g"), "total"), "context", {"g": "<f8", "total": "<f8"}, f"{uri}/contexts-{order}")
-    forget(contexts)
-    return Level(order, _written(grams, "key", {"c": "<i8"}, f"{uri}/grams-{order}"), by_context, off)
 
+def _said(**found: object) -> pa.RecordBatch:
+    """What the driver learns of a part, as a row of _ROWS without a part."""
+    return pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([0], pa.int32()), pa.array([json.dumps(found).encode()], pa.binary())], ["part", "size", "packed"])
 
-def _higher(texts: DataFrame, words: arrays.Sorted, order: int, n_words: int, uri: str) -> tuple[list[Level], DataFrame]:
-    """The levels from ``order`` down to 3, and (key, c) of the pairs, whose c is the number of different words before them."""
-    kinds = ", ".join(f"{x} int" for x in _names(order))
-    counted = saved(texts.mapInArrow(lambda it: _grams(it, words, order, n_words), f"{kinds}, c bigint").groupBy(*_names(order)).agg(F.sum("c").alias("c")), "grams")
-    levels = []
-    for k in range(order, 2, -1):
-        levels.append(_level(counted, k, uri))
-        shorter = counted.groupBy(*(F.col(f"w{i + 1}").alias(f"w{i}") for i in range(k - 1))).agg(F.count("*").alias("c"))
-        longer, counted = counted, saved(shorter, "grams")
-        forget(longer)
-    return levels[::-1], counted.select((F.shiftleft(F.col("w0").cast("bigint"), 32) + F.col("w1")).alias("key"), "c")
+
+def _highest(batches: Iterator[pa.RecordBatch], order: int, start: int, parts: int, uri: str) -> Iterator[pa.RecordBatch]:
+    """The n-grams of a part to its file, and the n-grams of the next lower order as _ROWS in the parts of their own keys.
+
+    The file has for each context, in the order of their keys, how many tokens it has, if they are of one word
+    and fewer than 255 (else 255, and 0 if there is none), and that word or the number of its list; for each list
+    its begin, _SUMS and words with their counts.
+    """
+    got = _unpacked(batches, order, 1)
+    if got is None:
+        return
+    part, grams, c = got
+    contexts, w = _keys(grams[:, :-1]), grams[:, -1]
+    by = np.lexsort((w, contexts))
+    contexts, w = contexts[by], w[by]
+    new = np.append(True, contexts[1:] != contexts[:-1])
+    first = np.flatnonzero(new | np.append(True, w[1:] != w[:-1]))
+    c, grams, w, at = np.add.reduceat(c[by, 0], first), grams[by[first]], w[first], np.cumsum(new)[first] - 1
+    n, real = int(new.sum()), w >= 0
+    c, grams, w, at = c[real], grams[real], w[real], at[real]
+    words, total = np.bincount(at, minlength=n), np.bincount(at, c, n).astype(np.int64)
+    listed = (words > 1) | (total >= 255)
+    kind = np.where(listed, 255, total).astype(np.uint8)
+    x = np.zeros(n, "<i4")
+    x[at] = w
+    x[listed] = np.arange(listed.sum())
+    some = listed[at]
+    sums = [np.bincount(at, k, n).astype(np.int64)[listed] for k in (c == 1, c == 2, c >= 3)]
+    begins = np.append(0, np.cumsum(words[listed])).astype("<i8")
+    file, sections = arrays.write_sections(f"{uri}/lists", [kind, x, begins, *(arrays.small(v) for v in (total[listed], *sums)), w[some].astype("<i4"), arrays.small(c[some])])
+    yield _said(part=part, size=n, file=file, sections=sections, counts=_counts(c))
+    lower = np.append(grams[:, 1:], np.full((1, order - 1), start, np.int32), axis=0)
+    ones = np.append(np.ones(len(grams), np.int64), 0)[:, None]
+    keys, lower, sums = _summed(_keys(lower), lower, ones)
+    yield from _packed(lower, sums, keys, parts)
+
+
+def _lower(batches: Iterator[pa.RecordBatch], order: int, n_sums: int, parts: int, uri: str) -> Iterator[pa.RecordBatch]:
+    """The n-grams of a part, in the order of their keys, to its files; for the next lower order the n-grams with what they have as ends and as contexts, as _ROWS."""
+    got = _unpacked(batches, order, n_sums)
+    if got is None:
+        return
+    part, grams, sums = got
+    keys, grams, sums = _summed(_keys(grams), grams, sums)
+    files = [arrays.write(f"{uri}/keys-{order}", keys.astype("<i8")), *(arrays.write(f"{uri}/{name}-{order}", arrays.small(x)) for name, x in zip(_SUMS, sums.T, strict=False))]
+    grams, c = grams[sums[:, 0] > 0], sums[sums[:, 0] > 0, 0]
+    yield _said(part=part, size=len(keys), first=int(keys[0]), files=files, counts=_counts(c))
+    if order > 1:
+        none = np.zeros_like(c)
+        lower = np.concatenate([grams[:, 1:], grams[:, :-1]])
+        own = np.stack([np.ones_like(c), none, none, none, none], axis=1), np.stack([none, c, c == 1, c == 2, c >= 3], axis=1)
+        keys, lower, own = _summed(_keys(lower), lower, np.concatenate(own))
+        yield from _packed(lower, own, keys, parts)
+
+
+def _heard(*tables: DataFrame) -> list[dict]:
+    """What the parts said, in the order of the parts."""
+    return sorted((json.loads(r.packed) for t in tables for r in t.filter("part < 0").select("packed").collect()), key=lambda x: x["part"])
 
 
 def _whole(batches: Iterator[pa.RecordBatch], columns: list[str]) -> list[np.ndarray]:
@@ -218,88 +326,115 @@ def discounts(n: list[int]) -> tuple[float, float, float]:
     return tuple(min(max(d, 0.01), top) for d, top in ((one, 1.0), (two, 2.0), (more, 3.0)))
 
 
-#: What a partition of pairs says of a word: c(v .), pairs (v .) with counts 1, 2, 3, 4 and 3 or more, and pairs (. v).
-_STATS = ["number", "total", "n1", "n2", "n3", "n4", "more", "follows"]
-
-
-def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, c), sorted within the partition -> _STATS"""
-    for batch in batches:
-        key, c = (batch.column(x).to_numpy() for x in ("key", "c"))
-        before, at = np.unique(key >> 32, return_inverse=True)
-        sums = [np.bincount(at, c), *(np.bincount(at, c == k) for k in (1, 2, 3, 4)), np.bincount(at, c >= 3)]
-        after, follows = np.unique(key & 0xFFFFFFFF, return_counts=True)
-        none = np.zeros(len(before), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([before, after])), *(pa.array(np.concatenate([x, 0 * after]).astype(np.int64)) for x in sums), pa.array(np.concatenate([none, follows]))], _STATS)
-
-
 def fit(docs: DataFrame, order: int = ORDER) -> Model:
-    """Count docs (text); null counts as empty. At most 2**31 distinct words; order is 2 at least."""
+    """Count docs (text); null counts as empty. At most 2**31 - 1 distinct words; order is 2 at least."""
     if order < 2:
         raise ValueError("the order is 2 at least")
-    uri = f"{shared_dir(docs.sparkSession)}/kneser-ney"
+    spark = docs.sparkSession
+    uri = f"{shared_dir(spark)}/kneser-ney"
     texts = docs.select(F.col("text").cast("string").alias("text"))
     counted = saved(texts.mapInArrow(_words, "key bigint, c bigint").groupBy("key").agg(F.sum("c").alias("c")), "words")
     n_tokens = counted.agg(F.sum("c")).first()[0] or 0
-    words = _written(counted, "key", {"c": "<i8"}, f"{uri}/words")
+    with cleaned(spark):
+        words = _written(counted, "key", {"c": "<i8"}, f"{uri}/words")
+    forget(counted)
     n_words = int(words.begin[-1])
     if not n_words:
-        return Model(words, arrays.Sorted([], ["<i8"]), arrays.Sorted([], ["<f8"] * 3), 0, 0, 1.0, (0.5, 1.0, 1.5), [])
-
-    if order > 2:
-        higher, pairs = _higher(texts, words, order, n_words, uri)
-    else:
-        higher, pairs = [], texts.mapInArrow(lambda it: _pairs(it, words, n_words), "key bigint, c bigint").groupBy("key").agg(F.sum("c").alias("c"))
-    pairs = saved(pairs.repartitionByRange("key").sortWithinPartitions("key"), "pairs")
-    stats = pairs.mapInArrow(_count_pairs, ", ".join(f"{x} bigint" for x in _STATS)).groupBy("number").agg(*(F.sum(x).alias(x) for x in _STATS[1:]))
-    stats = saved(stats, "word-stats")
-    two = discounts(list(stats.agg(*(F.sum(f"n{k}") for k in (1, 2, 3, 4))).first()))
-    follows = F.col("follows")
-    types, once, twice, thrice, four, more = stats.agg(F.sum(follows), *(F.sum((follows == k).cast("long")) for k in (1, 2, 3, 4)), F.sum((follows >= 3).cast("long"))).first()
-    one = discounts([once, twice, thrice, four])
-    unknown = (one[0] * once + one[1] * twice + one[2] * more) / types / (n_words + 1)
-    first = F.greatest(F.lit(0.0), follows - F.when(follows >= 3, one[2]).when(follows == 2, one[1]).otherwise(one[0])) / F.lit(float(types)) + unknown
-    freed = F.when(F.col("total") > 0, (two[0] * F.col("n1") + two[1] * F.col("n2") + two[2] * F.col("more")) / F.col("total")).otherwise(1.0)
-    by_number = _written(stats.select("number", first.alias("p"), freed.alias("g"), F.col("total").cast("double").alias("total")), "number", {"p": "<f8", "g": "<f8", "total": "<f8"}, f"{uri}/stats")
-    return Model(words, _written(pairs, "key", {"c": "<i8"}, f"{uri}/pairs"), by_number, n_tokens, n_words, unknown, two, higher)
-
-
-def _interpolated(lower: np.ndarray, level: Level, keys: np.ndarray, contexts: np.ndarray) -> np.ndarray:
-    """The probabilities of n-grams, given those of the next lower order; a context that training hasn't seen leaves these as they are."""
-    key, at = np.unique(keys, return_inverse=True)
-    c = level.grams.values(level.grams.find(key), 0)[at].astype(float)
-    context, at = np.unique(contexts, return_inverse=True)
-    found = level.contexts.find(context)
-    freed, total = (level.contexts.values(found, k, 1.0)[at] for k in (0, 1))
-    less = np.select([c >= 3, c == 2, c == 1], level.discounts[::-1], 0.0)
-    return (c - less) / total + freed * lower
+        return Model(order, words, 0, 0, [arrays.Sorted([], ["small"] * len(_SUMS))] * (order - 1), [], [(0.5, 1.0, 1.5)] * order, 0, 1.0)
+
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_tokens // PART))
+    dealt = texts.mapInArrow(lambda it: _grams(it, words, order, n_words, parts), _ROWS).repartitionById(parts, F.col("part"))
+    rows = [saved(dealt.mapInArrow(lambda it: _highest(it, order, n_words, parts, uri), _ROWS), "grams")]
+    lists = _heard(*rows)
+    counts, levels = [np.sum([x["counts"] for x in lists], axis=0)], []
+    for k in range(order - 1, 0, -1):
+        n_sums, turns = (1 if k == order - 1 else len(_SUMS)), (TURNS if k > 1 else 1)
+        run = lambda it, k=k, n_sums=n_sums: _lower(it, k, n_sums, parts, uri)
+        sent = [x.filter("part >= 0") for x in rows]
+        now = []
+        for turn in range(turns):
+            some = [x.filter(F.col("part") % turns == turn) for x in sent]
+            both = some[0]
+            for x in some[1:]:
+                both = both.unionByName(x)
+            now.append(saved(both.repartitionById(-(-parts // turns), F.floor(F.col("part") / turns).cast("int")).mapInArrow(run, _ROWS), "grams"))
+        forget(*rows)
+        rows, heard = now, _heard(*now)
+        levels.append(arrays.Sorted([(x["first"], x["size"], x["files"][0], x["files"][1:]) for x in heard], ["small"] * n_sums))
+        counts.append(np.sum([x["counts"] for x in heard], axis=0))
+        if k == order - 1 and [(x["part"], x["size"]) for x in heard] != [(x["part"], x["size"]) for x in lists]:
+            raise RuntimeError("the contexts of the highest order aren't the n-grams of the next lower one")
+    forget(*rows)
+    off = [discounts([int(n) for n in x[:4]]) for x in counts[::-1]]
+    once, twice, _, _, more, types = (int(n) for n in counts[-1])
+    unknown = (off[0][0] * once + off[0][1] * twice + off[0][2] * more) / types / (n_words + 1)
+    return Model(order, words, n_tokens, n_words, levels[::-1], [(x["file"], x["sections"]) for x in lists], off, types, unknown)
+
+
+def _after(model: Model, places: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """For contexts at places of the last level and words: the count of the word after the context, and the context's _SUMS but for its own count."""
+    out = np.zeros((5, len(places)), np.int64)
+    for k, at in model.levels[-1].by_part(places):
+        kinds, xs, begins, *sums, listed, counts = arrays.sections(*model.lists[k], ["u1", "<i4", "<i8", "u1", "u1", "u1", "u1", "<i4", "u1"])
+        own, word = places[at] - model.levels[-1].begin[k], w[at]
+        kind, x = kinds[own].astype(np.int64), xs[own]
+        out[:, at] = np.where(x == word, kind, 0), kind, kind == 1, kind == 2, kind > 2
+        many = np.flatnonzero(kind == 255)
+        if not len(many):
+            continue
+        number, word = x[many], word[many]
+        low, end = begins[number], begins[number + 1]
+        high = end.copy()
+        while len(still := np.flatnonzero(low < high)):
+            middle = (low[still] + high[still]) >> 1
+            less = listed[middle] < word[still]
+            low[still], high[still] = np.where(less, middle + 1, low[still]), np.where(less, high[still], middle)
+        found = (low < end) & (listed[np.minimum(low, len(listed) - 1)] == word)
+        c = np.zeros(len(many), np.int64)
+        c[found] = arrays.small_at(counts, len(listed), low[found])
+        out[:, at[many]] = c, *(arrays.small_at(x, len(begins) - 1, number) for x in sums)
+    return out
+
+
+def _less(c: np.ndarray, off: tuple[float, float, float]) -> np.ndarray:
+    return c - np.select([c >= 3, c == 2, c == 1], off[::-1], 0.0)
 
 
 def _scored(text: pa.Array, model: Model) -> Iterator[list[np.ndarray]]:
     """For runs of texts: tokens, known ones, base score and the model's score of each."""
-    for _, tokens, bounds in hashed(text, BLANKS):
-        tokens, bounds = _with_ends(tokens, bounds)
+    for tokens, bounds in _together(text):
         number, at = _numbers(model.words, tokens)
         count = model.words.values(number, 0)
-        context, place = np.unique(np.append(number, model.n_words), return_inverse=True)  # the distinct words and the start mark
-        found = model.stats.find(context)
-        p1, freed, total = (model.stats.values(found, k, missing)[place] for k, missing in enumerate((model.unknown, 1.0, 1.0)))
-        before = np.empty_like(at)
-        before[1:] = at[:-1]
-        before[bounds[:-1]] = len(number)
-        key, place = np.unique(_pair_keys(number[at], bounds, model.n_words), return_inverse=True)
-        c = model.pairs.values(model.pairs.find(key), 0)[place].astype(float)
-        less = np.select([c >= 3, c == 2, c == 1], model.discounts[::-1], 0.0)
-        p = (c - less) / np.maximum(total[before], 1) + freed[before] * p1[at]
-        for level in model.higher:
-            keys, contexts = _hashes(_windows(number[at], bounds, level.order, model.n_words))
-            p = _interpolated(p, level, keys, contexts)
-        known = (number >= 0)[at]
+        own = number[at]
+        before = np.arange(-1, len(own) - 1)
+        before[bounds[:-1]] = len(own)  # the start marks, which come last below
+        p = np.full(len(own), model.unknown)
+        for k in range(1, model.order):
+            grams = np.append(_windows(own, bounds, k, model.n_words), np.full((1, k), model.n_words), axis=0)
+            keys, place = np.unique(np.where((grams < 0).any(axis=1), -1, _keys(grams)), return_inverse=True)
+            level = model.levels[k - 1]
+            found = level.find(keys)
+            if k == 1 and model.types:
+                c = level.values(found, 0)[place[:-1]]
+                p = _less(c, model.discounts[0]) / model.types + model.unknown
+            if k > 1:
+                p = _interpolated(p, level.values(found, 0)[place[:-1]], sums, model.discounts[k - 1])
+            sums = [level.values(found, i)[place[before]] for i in range(1, len(_SUMS))] if k < model.order - 1 else None
+        c, *sums = _after(model, found[place[before]], own)
+        p = _interpolated(p, c, sums, model.discounts[-1])
+        known = own >= 0
         base = np.log10((count[at] + 1.0) / (model.n_tokens + model.n_words + 1.0))
         cut = bounds[:-1]
         yield [np.diff(bounds), np.add.reduceat(known.astype(np.int64), cut), np.add.reduceat(base, cut), np.add.reduceat(np.log10(p), cut)]
 
 
+def _interpolated(lower: np.ndarray, c: np.ndarray, sums: list[np.ndarray], off: tuple[float, float, float]) -> np.ndarray:
+    """The probabilities of n-grams, given those of the next lower order; a context that training hasn't seen leaves these as they are."""
+    total, once, twice, more = sums
+    freed = off[0] * once + off[1] * twice + off[2] * more
+    return np.where(total > 0, (_less(c, off) + freed * lower) / np.maximum(total, 1), lower)
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs (text, ...) with n_tokens, n_known, train_tokens, base_score, score and perplexity of each whole text.
 

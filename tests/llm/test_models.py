@@ -2,12 +2,14 @@ import math
 import random
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 from conftest import words
 
-from lexweave.llm import kneser_ney, quality, toxicity
+from lexweave.llm import arrays, kneser_ney, quality, toxicity
+from lexweave.llm.shared import shared_dir
 
 
 def test_maximal_segments_match_brute_force():
@@ -187,3 +189,18 @@ def test_kneser_ney_of_higher_order(spark, table, order):
         assert (r.doc_id, r.score) == (i, pytest.approx(want))
     with pytest.raises(ValueError):
         kneser_ney.fit(docs, 1)
+
+
+def test_kneser_ney_disk(spark, table):
+    """The model of order 3 takes fewer than 20 bytes for each different trigram: contexts aren't written once more for it."""
+    rnd = random.Random(23)
+    rows = [(i, " ".join(str(int(rnd.paretovariate(0.8))) for _ in range(400))) for i in range(300)]
+    grams = {g for _, t in rows for g in zip(["\0", "\0", *t.split()], ["\0", *t.split()], [*t.split(), "\1"], strict=False)}
+    docs, shared = table(rows), Path(shared_dir(spark).removeprefix("file:"))
+    before = set(shared.rglob("*"))
+    assert kneser_ney.score(docs, kneser_ney.fit(docs)).count() == len(rows)
+    kept = sum(p.stat().st_size for p in set(shared.rglob("*")) - before if p.is_file() and p.suffix != ".crc")
+    assert 0 < kept < 20 * len(grams)
+    # counts of 255 and more stand beside the bytes
+    values = np.array([0, 254, 255, 3, 1 << 40])
+    assert arrays.small_at(arrays.small(values), 5, np.array([4, 0, 2, 1, 3])).tolist() == [1 << 40, 0, 255, 254, 3]

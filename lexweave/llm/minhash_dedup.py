@@ -227,7 +227,7 @@ def _near(docs: DataFrame, width: int, similarity: int) -> DataFrame:
     # contract what is linked; rows outside a bucket's largest group then meet a few members of it, in turn
     hits_ = hits.drop("first")
     for turn in range(ROUNDS):
-        groups = _pointers(links) if turn < ROUNDS - 1 else components(links, "near-groups").withColumnRenamed("node", "cls")
+        groups = saved(_pointers(links) if turn < ROUNDS - 1 else components(links, "near-groups").withColumnRenamed("node", "cls"), "near-groups")
         parts = hits_.join(groups, "cls", "left").withColumn("comp", F.coalesce("component", "cls")).drop("component")
         sums = parts.groupBy("key", "comp").agg(F.count("*").alias("c"), F.min(F.xxhash64("cls", F.lit(turn))).alias("h"))
         main = sums.groupBy("key").agg(F.max(F.struct("c", "comp", "h")).alias("main"), F.count("*").alias("k")).filter("k > 1").select("key", F.col("main.comp").alias("main"), F.col("main.h").alias("h"))
@@ -240,7 +240,7 @@ def _near(docs: DataFrame, width: int, similarity: int) -> DataFrame:
         met = met.select(F.col("cls").alias("b"), F.explode(F.array_distinct(F.array("lo", "hi"))).alias("a")).select("a", "b")
         more = _links(met, sets, similarity)
         links = saved(old.unionByName(more), "near-links")
-        forget(old, more, mixed)
+        forget(old, more, mixed, groups)
     forget(hits)
     hits = mixed.drop("h")
     left = hits.select("cls").distinct().join(sized.select(ROW, "cls"), "cls")
@@ -248,13 +248,20 @@ def _near(docs: DataFrame, width: int, similarity: int) -> DataFrame:
     hits = hits.join(images, "cls").withColumn("pieces", F.array(*_WORDS[:PIECES])).drop(*_WORDS[:PIECES])
     fits = f"100 * least(l.n, r.n) >= {similarity} * greatest(l.n, r.n)"
     cross = hits.filter("comp <> main").alias("l").join(hits.alias("r"), F.expr(f"l.key = r.key AND l.comp <> r.comp AND (r.comp = r.main OR l.cls < r.cls) AND {fits} AND {_first_met(similarity)}"))
-    more = _links(cross.select(F.expr("least(l.cls, r.cls)").alias("a"), F.expr("greatest(l.cls, r.cls)").alias("b")), sets, similarity)
-
-    whole = components(links.unionByName(more), "near-components")
-    named = saved(sized.join(whole.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "rep", ROW, "copies", F.coalesce("component", "cls").alias("component")), "near-members")
+    cross = saved(cross.select(F.expr("least(l.cls, r.cls)").alias("a"), F.expr("greatest(l.cls, r.cls)").alias("b")), "near-cross")
+    more = _links(cross, sets, similarity)
+
+    # what is met last links components, of which few are left: their smallest classes are linked instead
+    named_by = lambda c: groups.select(F.col("cls").alias(c), F.col("component").alias(f"of_{c}"))
+    ends = more.join(named_by("a"), "a", "left").join(named_by("b"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    last = saved(components(ends, "near-components").select(F.col("node").alias("component"), F.col("component").alias("whole")), "near-last")
+    named = saved(sized.join(groups, "cls", "left").select("cls", "rep", ROW, "copies", F.coalesce("component", "cls").alias("component")), "near-members")
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"), F.min(ROW).alias("first_row"), F.count("*").alias("size"))
+    least = saved(least.join(last, "component", "left").withColumn("whole", F.coalesce("whole", "component")), "near-least")
+    wholes = saved(least.groupBy("whole").agg(F.min("component_id").alias("component_id"), F.min("first_row").alias("first_row"), F.count("*").alias("parts")), "near-wholes")
+    least = saved(hot_join(least.select("component", "size", "whole"), wholes, "whole", "parts", least.count()).drop("whole", "parts"), "near-least")
     named = saved(hot_join(named, least, "component", "size", named.count()).select("cls", "component_id", "first_row", "copies"), "near-named")
-    forget(mixed, images, sets, links, more, wanted)
+    forget(mixed, images, sets, links, more, wanted, groups, cross, last)
     full = rows.filter("n > 0").select(ROW, "doc_id", "cls", "n")
     out = hot_join(full, named, "cls", "copies", full.count()).select(ROW, "doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", "first_row")
     bare = rows.filter("n = 0").select(ROW, "doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col(ROW).alias("first_row"))

@@ -205,3 +205,20 @@ def test_line_sets_meet_their_likeliest_first(spark, monkeypatch):
     got = {r.doc_id: r.removed for r in line_dedup.find_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert got == {k: 0 < k < 99 for k, _ in rows}
     assert sum(seen) == 29
+
+
+def test_near_plans_are_small(spark, table, monkeypatch):
+    """No written step of near_duplicates plans more than 12 exchanges: the driver's memory grows with its plans."""
+    rnd, planned, write = random.Random(31), [], shared.saved
+    base = [f"w{rnd.randrange(5000)}" for _ in range(60)]
+    rows = [(i, " ".join(base) if i % 3 else noisy(base, 0.03, rnd)) for i in range(60)] + [(100 + i, f"other text {i} {i * i} {i % 7}") for i in range(60)]
+
+    def saved(df, name):
+        planned.append((df._jdf.queryExecution().executedPlan().toString().count("Exchange "), name))
+        return write(df, name)
+
+    monkeypatch.setattr(shared, "saved", saved)
+    monkeypatch.setattr(minhash_dedup, "saved", saved)
+    got = {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(table(rows), 2).collect()}
+    assert got == {i: rows[k][0] for (i, _), k in zip(rows, brute_components(rows, 2)[1], strict=True)}
+    assert max(planned)[0] <= 12, planned

@@ -53,7 +53,7 @@ def order_statistics(df: DataFrame, keys: list[str], value: str, shares: dict[st
     return out.select(*keys, "n", *more, *shares)
 
 
-def row_numbers(df: DataFrame, keys: list[str], time: str, *order: str, seconds: int = BLOCK_SECONDS) -> DataFrame:
+def block_numbers(df: DataFrame, keys: list[str], time: str, *order: str, seconds: int = BLOCK_SECONDS) -> DataFrame:
     """df with __n, each row's number, from 1, in its group by time and order: local numbers in blocks of time, and the counts of the blocks before."""
     block = F.floor(F.unix_micros(F.col(time).cast("timestamp")) / (seconds * 1_000_000))
     rows = df.withColumn("__block", block)
@@ -71,7 +71,7 @@ def over_last_rows(df: DataFrame, keys: list[str], time: str, *order: str, last:
     Groups are cut into blocks of ``rows`` row numbers; the last rows of a block go to the next one as well.
     """
     rows = max(rows, last)
-    numbered = row_numbers(df, keys, time, *order)
+    numbered = block_numbers(df, keys, time, *order)
     own = F.floor((F.col("__n") - 1) / rows)
     next_too = F.pmod(F.col("__n") - 1, F.lit(rows)) >= rows - (last - 1)
     dealt = numbered.withColumn("__own", own).withColumn("__block", F.explode(F.when(next_too, F.array(own, own + 1)).otherwise(F.array(own))))

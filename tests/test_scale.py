@@ -133,6 +133,20 @@ def test_windows_in_blocks(spark, seconds):
     assert sorted((r.event_id, r.n, r.top) for r in last.collect()) == sorted(map(tuple, events.select("event_id", F.count("*").over(window), F.max("event_id").over(window)).collect()))
 
 
+def test_block_numbers_and_ranges_of_rows_are_two_functions(spark):
+    """Blocks of time take several keys; numbers run on over blocks, as the percentiles of the last durations need them."""
+    events, rows = _events(spark, 600)
+    got = ordered.block_numbers(events, ["component", "operation"], "timestamp", "event_id", seconds=700)
+    window = Window.partitionBy("component").orderBy("s", "event_id")
+    assert sorted((r.event_id, r["__n"]) for r in got.collect()) == sorted(map(tuple, events.select("event_id", F.row_number().over(window)).collect()))
+    found = {r.event_id: (r.median, r.p95, r.p99) for r in event_stats.baseline_percentiles(events).collect()}
+    for c in ("c0", "c1"):
+        of = sorted((x[3], x[0], x[4]) for x in rows if x[1] == c)
+        for k, (_, event, _) in enumerate(of):
+            d = sorted(x[2] for x in of[max(0, k - 99) : k + 1] if x[2] is not None)
+            assert found[event] == tuple(d[min(int(len(d) * p), len(d) - 1)] if d else None for p in (0.5, 0.95, 0.99))
+
+
 def test_index_finds_appended_batches_and_reads_no_text(spark, tmp_path):
     rows = [(1, "Die Einwilligung der Betroffenen", ["Daten"]), (2, "Einwilligungen und Bußgelder", None), (3, None, ["Bußgeld"]), (4, "nichts davon", [])]
     df = spark.createDataFrame(rows, "id bigint, title string, keywords array<string>")

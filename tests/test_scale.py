@@ -147,6 +147,15 @@ def test_block_numbers_and_ranges_of_rows_are_two_functions(spark):
             assert found[event] == tuple(d[min(int(len(d) * p), len(d) - 1)] if d else None for p in (0.5, 0.95, 0.99))
 
 
+def test_baselines_of_two_keys(spark):
+    """An outlier among the last durations of its component and operation is an anomaly; another operation's rows don't count."""
+    rows = [(k, "c", f"op{k % 2}", 1_700_000_000 + 900 * k, 900.0 if k in (6, 60) else 10.0 + k % 3) for k in range(80)]
+    df = spark.createDataFrame(rows, "event_id bigint, component string, operation string, s bigint, duration_ms double")
+    df = df.withColumn("timestamp", F.timestamp_seconds("s").cast("timestamp_ntz"))
+    found = event_stats.baselines(df).collect()
+    assert {r.event_id: r.seen for r in found} == {k: k // 2 + 1 for k in range(80)} and [r.event_id for r in found if r.anomaly] == [60]
+
+
 def test_index_finds_appended_batches_and_reads_no_text(spark, tmp_path):
     rows = [(1, "Die Einwilligung der Betroffenen", ["Daten"]), (2, "Einwilligungen und Bußgelder", None), (3, None, ["Bußgeld"]), (4, "nichts davon", [])]
     df = spark.createDataFrame(rows, "id bigint, title string, keywords array<string>")

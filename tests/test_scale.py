@@ -156,6 +156,15 @@ def test_baselines_of_two_keys(spark):
     assert {r.event_id: r.seen for r in found} == {k: k // 2 + 1 for k in range(80)} and [r.event_id for r in found if r.anomaly] == [60]
 
 
+def test_metric_issues_of_two_keys(spark):
+    """Issues of a measurement itself, and one that only its baseline tells."""
+    rows = [(k, "c", f"op{k % 2}", 1_700_000_000 + 900 * k, {60: 900.0, 61: 6000.0}.get(k, 10.0 + k % 3), 501.0 if k == 7 else None, 81.0 if k == 9 else 5.0) for k in range(80)]
+    df = spark.createDataFrame(rows, "event_id bigint, component string, operation string, s bigint, duration_ms double, memory_mb double, cpu_percent double")
+    found = event_stats.metric_issues(df.withColumn("timestamp", F.timestamp_seconds("s").cast("timestamp_ntz"))).collect()
+    odd = {7: (["high_memory"], "medium"), 9: (["high_cpu"], "medium"), 60: (["duration_anomaly"], "medium"), 61: (["critical_duration"], "critical")}
+    assert {r.event_id: (r.issues, r.priority) for r in found} == {k: odd.get(k, ([], "info")) for k in range(80)}
+
+
 def test_index_finds_appended_batches_and_reads_no_text(spark, tmp_path):
     rows = [(1, "Die Einwilligung der Betroffenen", ["Daten"]), (2, "Einwilligungen und Bußgelder", None), (3, None, ["Bußgeld"]), (4, "nichts davon", [])]
     df = spark.createDataFrame(rows, "id bigint, title string, keywords array<string>")

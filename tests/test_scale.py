@@ -315,6 +315,28 @@ def test_content_join_is_exact_whatever_the_cells(spark, monkeypatch):
     assert len(seen) == 2 and "Join" not in seen[1]
 
 
+def test_contents_are_compared_in_rounds(spark, monkeypatch):
+    """Whole sets are written without a shuffle and read by rounds of pairs; equal sets of different years take no set along."""
+    rng = random.Random(6)
+    base = [[f"w{rng.randrange(400)}" for _ in range(40)] for _ in range(10)]
+    rows = [(k, " ".join([*base[k % 10][: 40 - k % 3], f"n{k % 4}"]), 2000 + k // 45) for k in range(90)]
+    rows += [(k + 200, text, year) for k, text, year in rows[:5]]
+    df = spark.createDataFrame(rows, "id bigint, text string, year int")
+    want = sorted(map(tuple, duplicates.similar_contents(df).collect()))
+    groups = sorted(map(tuple, duplicates.grouped(duplicates.content_links(df)).collect()))
+    sets = {k: frozenset(text.split()) for k, text, _ in rows}
+    assert all(abs(s - len(sets[a] & sets[b]) / len(sets[a] | sets[b])) < 1e-9 for a, b, s in want)
+    assert len(want) > 40 and any(s == 1 for *_, s in want) and len({g for _, g in groups}) <= 10 and len(groups) == 95
+    parts, plans = [], []
+    monkeypatch.setattr(duplicates, "ROUND_SHARE", 0)
+    monkeypatch.setattr(duplicates, "ROUND_WORDS", 500)
+    monkeypatch.setattr(duplicates, "appended", lambda frames, name: stages.appended([parts.append(name) or f for f in frames], name))
+    monkeypatch.setattr(duplicates, "written", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or stages.written(df, name))
+    assert sorted(map(tuple, duplicates.similar_contents(df).collect())) == want and parts.count("contents-similar") > 3
+    assert "Exchange" not in plans[0]
+    assert sorted(map(tuple, duplicates.grouped(duplicates.content_links(df)).collect())) == groups
+
+
 def test_postings_are_put_together_in_arrow_tasks(spark, monkeypatch):
     """No expression over each word's neighbours is left, and runs of rows, classes, nulls and empty texts keep their places."""
     monkeypatch.setattr(index, "GATHERED_ROWS", 3)
